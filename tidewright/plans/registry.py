@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = ("store_queries", "gap_queries")
+
+
+def _modules() -> list:
+    return [import_module(f"tidewright.plans.{m}") for m in MODULES]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["k4_topk_extractions"](spark, sf)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    found = {f.__name__: f for m in _modules() for f in m.QUERIES}
+    return found | import_module("tidewright.plans.problems").queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}

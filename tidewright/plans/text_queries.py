@@ -17,7 +17,8 @@ def _d(s, sf):
     return table(s, sf, "documents")
 
 
-C, X = F.col("context"), F.col("exact_text")
+def context():
+    return F.col("context")
 
 
 def t1_document_class(s, sf):
@@ -29,39 +30,39 @@ def s4_long_enough(s, sf):
 
 
 def t6_without_references(s, sf):
-    return _e(s, sf).select("id", T.without_references(C).alias("clean"))
+    return _e(s, sf).select("id", T.without_references(context()).alias("clean"))
 
 
 def t9_scan_quality(s, sf):
-    return _e(s, sf).select("id", F.round(T.scan_quality(C), 6).alias("quality"))
+    return _e(s, sf).select("id", F.round(T.scan_quality(context()), 6).alias("quality"))
 
 
 def t14_garbled(s, sf):
-    return _e(s, sf).select("id", T.is_garbled(C).alias("garbled"))
+    return _e(s, sf).select("id", T.is_garbled(context()).alias("garbled"))
 
 
 def t15_coherence(s, sf):
-    return _e(s, sf).select("id", T.coherence(C).alias("coherence"), (T.coherence(C) < 0.25).alias("incoherent"))
+    return _e(s, sf).select("id", T.coherence(context()).alias("coherence"), (T.coherence(context()) < 0.25).alias("incoherent"))
 
 
 def t17_citations(s, sf):
-    return _e(s, sf).select("id", T.is_citation(C).alias("citation"), T.citation_count(C).alias("n_citations"))
+    return _e(s, sf).select("id", T.is_citation(context()).alias("citation"), T.citation_count(context()).alias("n_citations"))
 
 
 def t24_relevance(s, sf):
-    return _e(s, sf).select("id", T.marine_relevance(C).alias("relevance"))
+    return _e(s, sf).select("id", T.marine_relevance(context()).alias("relevance"))
 
 
 def t25_false_positives(s, sf):
-    return _e(s, sf).select("id", T.false_positive(C, X).alias("reason")).where("reason is not null")
+    return _e(s, sf).select("id", T.false_positive(context(), F.col("exact_text")).alias("reason")).where("reason is not null")
 
 
 def t30_activities(s, sf):
-    return _e(s, sf).select("id", T.activity(C).alias("a")).select("id", F.col("a.name").alias("activity"), F.col("a.confidence").alias("confidence"))
+    return _e(s, sf).select("id", T.activity(context()).alias("a")).select("id", F.col("a.name").alias("activity"), F.col("a.confidence").alias("confidence"))
 
 
 def t31_reference_points(s, sf):
-    return _e(s, sf).select("id", T.reference_point(C).alias("r")).select("id", "r.term", "r.kind").where("term is not null")
+    return _e(s, sf).select("id", T.reference_point(context()).alias("r")).select("id", "r.term", "r.kind").where("term is not null")
 
 
 def t36_record_hash(s, sf):

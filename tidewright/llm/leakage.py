@@ -71,10 +71,14 @@ def passages(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def summed(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Sums of ``rows`` over [low, high)."""
-    total = np.zeros((len(rows) + 1, rows.shape[1]), np.float64)
-    np.cumsum(rows, axis=0, out=total[1:])
-    return total[high] - total[low]
+    """Sums of ``rows`` over [low, high), high > low: added up once between all edges, then over the edges."""
+    if not len(rows) or not len(low):
+        return np.zeros((len(low), rows.shape[1]))
+    edges = np.unique(np.concatenate([low, high]))
+    inner = edges[edges < len(rows)]
+    total = np.zeros((len(edges) + (len(inner) == len(edges)), rows.shape[1]))
+    np.cumsum(np.add.reduceat(rows, inner, axis=0), axis=0, out=total[1 : len(inner) + 1])
+    return total[np.searchsorted(edges, high)] - total[np.searchsorted(edges, low)]
 
 
 def normed(x: np.ndarray) -> np.ndarray:
@@ -82,7 +86,7 @@ def normed(x: np.ndarray) -> np.ndarray:
 
 
 def _columns(texts: list[list[str]], seen: dict[str, int]) -> np.ndarray:
-    return np.fromiter((column(w, seen) for t in texts for w in t), np.int64)
+    return np.array([seen.get(w) or column(w, seen) for t in texts for w in t], np.int64)
 
 
 def passage_counts(documents: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, int]:
@@ -172,7 +176,8 @@ class Items:
     vectors: np.ndarray
     owner: np.ndarray
     masks: list[dict[str, int]] = field(default_factory=list)
-    runs: list[set[tuple[str, ...]]] = field(default_factory=list)
+    runs: dict[tuple[str, ...], set[int]] = field(default_factory=dict)
+    firsts: np.ndarray | None = None
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], basis: np.ndarray) -> Items:
@@ -185,7 +190,9 @@ class Items:
             for i, x in enumerate(w):
                 mask[x] = mask.get(x, 0) | 1 << i
             new.masks.append(mask)
-            new.runs.append({tuple(w[i : i + RUN]) for i in range(len(w) - RUN + 1)})
+            for i in range(len(w) - RUN + 1):
+                new.runs.setdefault(tuple(w[i : i + RUN]), set()).add(len(new.masks) - 1)
+        new.firsts = np.searchsorted(which, np.arange(len(words)))
         return new
 
     def longest_common(self, k: int, words: list[str]) -> int:
@@ -197,34 +204,42 @@ class Items:
             v = ((v + u) | (v - u)) & full
         return n - v.bit_count()
 
-    def check(self, k: int, words: list[str]) -> tuple[int, float]:
-        """(length of the longest equal run if at least RUN, largest share of the item in order in one passage)."""
-        own, runs = self.words[k], self.runs[k]
-        best = 0
-        i = 0
-        while i + RUN <= len(words):
-            if tuple(words[i : i + RUN]) in runs:
-                n = RUN
+    def longest_run(self, k: int, words: list[str]) -> int:
+        """Length of the longest run of equal words of item k and ``words``, if at least RUN."""
+        own, best = self.words[k], 0
+        for i in range(len(words) - RUN + 1):
+            if k in self.runs.get(tuple(words[i : i + RUN]), ()):
                 for j in range(len(own) - RUN + 1):
                     if own[j : j + RUN] == words[i : i + RUN]:
                         m = RUN
                         while j + m < len(own) and i + m < len(words) and own[j + m] == words[i + m]:
                             m += 1
-                        n = max(n, m)
-                best = max(best, n)
-                i += n - RUN + 1
-            else:
-                i += 1
-        size = len(own)
+                        best = max(best, m)
+        return best
+
+    def share_in_order(self, k: int, words: list[str]) -> float:
+        """Largest share of item k that stands in order in one passage of ``words``, a little longer than the item."""
+        size = len(self.words[k])
         long = max(size, int(size / SHARE))
         step = max(1, size // 8)
-        mask = self.masks[k]
-        near = [w in mask for w in words]
+        near = [w in self.masks[k] for w in words]
         share = 0.0
         for s in range(0, max(1, len(words) - long + step), step):
             if sum(near[s : s + long]) >= SHARE * size:
                 share = max(share, self.longest_common(k, words[s : s + long]) / size)
-        return best, share
+        return share
+
+    def check(self, candidates: list[int], words: list[str]) -> Iterator[tuple[int, int, float]]:
+        """(item, longest run, share in order) of the candidates that a document's words hold."""
+        have = set(words)
+        runs: set[int] = set()
+        for i in range(len(words) - RUN + 1):
+            runs |= self.runs.get(tuple(words[i : i + RUN]), set())
+        for k in candidates:
+            own = self.words[k]
+            share = self.share_in_order(k, words) if sum(w in have for w in own) >= SHARE * len(own) else 0.0
+            if k in runs or share >= SHARE:
+                yield k, self.longest_run(k, words) if k in runs else 0, share
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE) -> DataFrame:
@@ -255,16 +270,15 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     continue
                 rows_of = normed(summed(vectors[_columns(words, seen)], low, high)).astype(np.float32)
                 keys = part[id_col].to_numpy()
+                best: dict[int, np.ndarray] = {}
                 for at in range(0, len(rows_of), 2048):
-                    hits = np.argwhere(rows_of[at : at + 2048] @ own.vectors.T >= cosine)
-                    best: dict[tuple[int, int], float] = {}
-                    for p, q in hits:
-                        pair = (int(which[at + p]), int(own.owner[q]))
-                        best[pair] = max(best.get(pair, 0.0), float(rows_of[at + p] @ own.vectors[q]))
-                    for (d, k), c in best.items():
-                        run, share = own.check(k, words[d])
-                        if run >= RUN or share >= SHARE:
-                            out.append((keys[d], own.ids[k], c, run, share))
+                    cosines = rows_of[at : at + 2048] @ own.vectors.T
+                    for p in np.flatnonzero(cosines.max(1) >= cosine):
+                        d, top = int(which[at + p]), np.maximum.reduceat(cosines[p], own.firsts)
+                        best[d] = np.maximum(best[d], top) if d in best else top
+                for d, top in best.items():
+                    for k, run, share in own.check(np.flatnonzero(top >= cosine).tolist(), words[d]):
+                        out.append((keys[d], own.ids[k], float(top[k]), run, share))
             yield pd.DataFrame(out, columns=[id_col, "item_id", "cosine", "longest_run", "share_in_order"])
 
     found = spread(slim, id_col).mapInPandas(search, schema)

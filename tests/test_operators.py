@@ -106,3 +106,55 @@ def test_event_stream(spark, tmp_path):
     q = event_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("append").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select sum(n) from counts").first()[0] >= 3
+
+
+def test_parsers(spark):
+    from tidewright.functions import parsers as P
+
+    t = ["1.400 m", "at least 1,5 km", "between 500 and 100 m", "10–20", "none", None, "1.234.567", "41°00'30\"N 28°58'30\"W", "59.100 TL", "14 ay", "2 years"]
+    df = spark.createDataFrame([(x,) for x in t], "t string")
+    c = F.col("t")
+    assert [r[0] for r in df.select(P.number(c)).collect()] == [1400.0, 1.5, 500.0, 10.0, None, None, 1234567.0, 41.0, 59100.0, 14.0, 2.0]
+    r = P.number_range(c)
+    assert [tuple(x) for x in df.select(r["low"], r["high"], r["is_range"]).collect()][1:4] == [(1.5, 1.5, False), (100.0, 500.0, True), (10.0, 20.0, True)]
+    assert [r[0] for r in df.select(P.qualifier(c)).collect()][:2] == [None, "minimum"]
+    assert tuple(df.select(P.latitude(c), P.longitude(c)).collect()[7]) == (41.008333, -28.975)
+    assert df.select(P.currency(c)).collect()[8][0] == "TL"
+    assert [r[0] for r in df.select(P.months(c)).collect()][-2:] == [14.0, 24.0]
+
+
+def test_greedy_matching_against_brute_force(spark):
+    from tidewright.operators import matching
+
+    rng = random.Random(9)
+    make = lambda p: [(" ".join(sorted({rng.choice("abcdef") for _ in range(rng.randrange(1, 5))})), f"{p}{i:03}") for i in range(25)]
+
+    def classes(rows):
+        return spark.createDataFrame(rows, "text string, id string").groupBy("text").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+
+    def first(rows):
+        out = {}
+        for t, i in rows:
+            out[t] = min(out.get(t, i), i)
+        return sorted((i, t) for t, i in out.items())
+
+    a, b = make("f"), make("t")
+    free, want = dict(first(b)), set()
+    for _, t in first(a):
+        sims = [(-round(len(set(t.split()) & set(u.split())) / len(set(t.split()) | set(u.split())), 9), j, u) for j, u in free.items()]
+        sims = sorted(s for s in sims if -s[0] >= 0.5)
+        if sims:
+            want.add((t, sims[0][2]))
+            del free[sims[0][1]]
+    got = {(r["found_text"], r["true_text"]) for r in matching.greedy_matches(classes(a), classes(b), 0.5).collect()}
+    assert got == want
+
+
+def test_classifier(spark):
+    from tidewright.operators import matching
+
+    rows = [("good harbour rule", 1.0)] * 40 + [("bad garbled row", 0.0)] * 40
+    df = spark.createDataFrame(rows, "text string, label double")
+    model = matching.quality_classifier(df)
+    assert model.transform(df).where("prediction = label").count() == 80
+    assert matching.quality_classifier(df.limit(20)) is None

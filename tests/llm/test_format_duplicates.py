@@ -84,3 +84,14 @@ def test_hot_group_against_brute_force(spark, monkeypatch):
 
     rows = [row(i) for i in range(1500)]
     assert found(spark, rows) == brute(rows)
+
+
+def test_sql_oracle(spark, small):
+    import duckdb
+
+    from tidewright.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view extractions as select * from '{small}/extractions.parquet'")
+    want = set(con.execute(queries.P2_FOUND).fetchall())
+    assert want and {tuple(r) for r in queries.p2_found(spark, small).collect()} == want

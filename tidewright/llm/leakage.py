@@ -32,7 +32,9 @@ from tidewright.sources.tables import bounded_sample, spread
 
 WINDOW, STRIDE, RUN, SHARE = 24, 8, 12, 0.75
 DIMS, RANK, BLOCK = 1 << 14, 64, 1 << 10
-COSINE = 0.55
+#: Bounds of a word's weight: a few very frequent or very rare words must not decide a cosine by themselves.
+IDF = (1.0, 4.0)
+COSINE = 0.4
 FIT_DOCUMENTS = 4000
 MOST_ITEMS = 200_000
 TOKEN = re.compile(r"[^\W_]+")
@@ -178,6 +180,8 @@ class Items:
     masks: list[dict[str, int]] = field(default_factory=list)
     runs: dict[tuple[str, ...], set[int]] = field(default_factory=dict)
     firsts: np.ndarray | None = None
+    vocabulary: frozenset[str] = frozenset()
+    shortest: int = 0
 
     @classmethod
     def of(cls, rows: list[tuple[int, str]], basis: np.ndarray) -> Items:
@@ -192,6 +196,7 @@ class Items:
             new.masks.append(mask)
             for i in range(len(w) - RUN + 1):
                 new.runs.setdefault(tuple(w[i : i + RUN]), set()).add(len(new.masks) - 1)
+        new.vocabulary, new.shortest = frozenset(x for w in words for x in w), min(map(len, words))
         new.firsts = np.searchsorted(which, np.arange(len(words)))
         return new
 
@@ -231,10 +236,18 @@ class Items:
 
     def check(self, candidates: list[int], words: list[str]) -> Iterator[tuple[int, int, float]]:
         """(item, longest run, share in order) of the candidates that a document's words hold."""
-        have = set(words)
+        flags = np.fromiter((w in self.vocabulary for w in words), bool, len(words))
+        total = np.concatenate([[0], np.cumsum(flags)])
         runs: set[int] = set()
-        for i in range(len(words) - RUN + 1):
-            runs |= self.runs.get(tuple(words[i : i + RUN]), set())
+        if len(words) >= RUN:
+            for i in np.flatnonzero(total[RUN:] - total[:-RUN] == RUN):
+                runs |= self.runs.get(tuple(words[i : i + RUN]), set())
+        # A passage that holds three quarters of any item has a stretch as long as the shortest item's that is as dense.
+        long = min(len(words), int(self.shortest / SHARE) + 1)
+        dense = (total[long:] - total[:-long]).max() >= SHARE * self.shortest * 0.9 if long else False
+        if not runs and not dense:
+            return
+        have = set(words)
         for k in candidates:
             own = self.words[k]
             share = self.share_in_order(k, words) if sum(w in have for w in own) >= SHARE * len(own) else 0.0
@@ -253,7 +266,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     counts, n = passage_counts(documents, id_col, text_col)
     if not rows or not n:
         return spark.createDataFrame([], schema)
-    idf = np.log((n + 1) / (counts + 0.5)).clip(0.05)
+    idf = np.log((n + 1) / (counts + 0.5)).clip(*IDF)
     basis = latent_basis(documents, [t for _, t in rows], idf, id_col, text_col).astype(np.float32)
     shared = spark.sparkContext.broadcast((basis, Items.of(rows, basis)))
 

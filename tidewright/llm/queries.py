@@ -1,4 +1,4 @@
-"""The pN_ queries of the operators in this subpackage. None has an SQL oracle: see the README."""
+"""The pN_ queries of the operators in this subpackage. Only p2_found has an SQL oracle; the others are tested otherwise."""
 
 from __future__ import annotations
 
@@ -106,5 +106,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _normal_sql(text: str) -> str:
+    """Normalized text in SQL: single marks between digits are fenced, other gaps between digits become one sign, the rest goes."""
+    t = f"replace(replace(replace(lower(translate({text}, 'İIı', 'iii')), 'ß', 'ss'), 'ﬁ', 'fi'), 'ﬂ', 'fl')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])([^\\p{{L}}\\p{{N}}\\s\x02\x03])([0-9])', '\\1\x02\\2\x03\\3', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([0-9])[^\\p{{L}}\\p{{N}}\x01\x02\x03]+([0-9])', '\\1\x01\\2', 'g')"
+    return f"regexp_replace({t}, '(\x02.\x03|\x01)|[^\\p{{L}}\\p{{N}}]', '\\1', 'g')"
+
+
+P2_FOUND = f"""with j as (select id, try_cast(metadata as json) as m from extractions where metadata is not null),
+    u as (select id, case when json_type(m) = 'VARCHAR' then try_cast(m ->> '$' as json) else m end as m from j),
+    f as (select id, case when json_type(m) = 'OBJECT' and len(json_keys(m)) = 1 and json_keys(m)[1] = 'fields' then m -> '$.fields' else m end as m from u),
+    o as (select id, m, unnest(json_keys(m)) as n from f where json_type(m) = 'OBJECT'), a as (select id, unnest(from_json(m, '["JSON"]')) as e from f where json_type(m) = 'ARRAY'),
+    p as (select id, n, m -> ('$."' || n || '"') as v from o
+        union all select id, case when json_type(e) = 'OBJECT' then e ->> '$.attribute' else e ->> '$[0]' end, case when json_type(e) = 'OBJECT' then e -> '$.value' else e -> '$[1]' end from a),
+    x as (select id, list_sort(list(n || '=' || coalesce(v::varchar, 'null'))) as x from p group by id),
+    k as (select e.id, document_id, category, page_number, {_normal_sql('exact_text')} as t, {_normal_sql('context')} as c, metadata is null as no, x.x from extractions e left join x using (id)),
+    g as (select id, min(id) over (partition by document_id, category, page_number, t, c, no, x) as kept_id from k)
+    select kept_id, id as copy_id from g where id <> kept_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND}

@@ -25,4 +25,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    found = {name: sql for m in _modules() for name, sql in m.ORACLES.items()}
+    return found | import_module("tidewright.plans.problems").ORACLES

@@ -24,6 +24,8 @@ from pyspark.sql import types as T
 
 from tidewright.functions.metadata import metadata_pairs
 
+#: Entities per shuffle partition: some hundred bytes of register each.
+PARTITION_ENTITIES = 200_000
 #: Attributes by category, STRING unless given. Fixed values.
 CATEGORIES: dict[str, dict[str, str]] = {
     category: dict((x.split(":") + ["string"])[:2] for x in columns.split())
@@ -176,8 +178,8 @@ def wide_table(df: DataFrame, id_col: str = "id", category_col: str = "category"
                         yield entity, (at, cell)
 
     slim = df.select(F.col(id_col), F.col(category_col), F.col(metadata_col)).where(F.col(metadata_col).isNotNull())
+    partitions = max(df.sparkSession.sparkContext.defaultParallelism, slim.count() // PARTITION_ENTITIES)
     rdd = slim.rdd.map(tuple)
-    partitions = max(rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
     rows = wide_rows(rdd.mapPartitions(cells), len(columns) + 1, partitions).map(lambda kv: (kv[0], *kv[1]))
     kinds = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType()}
     schema = T.StructType([T.StructField("extraction_id", slim.schema[id_col].dataType), T.StructField("category", T.StringType()), *[T.StructField(n, kinds[k]) for n, k in columns.items()]])

@@ -61,8 +61,8 @@ def test_unit_from_level(spark):
     assert got[40] == "metre" and got[41] in ("kilometre", "nautical_mile") and got[42] == got[41]
 
 
-def viterbi(block):
-    e = units.emissions(block)
+def viterbi(values, stated, level):
+    e = units.emissions(values, stated, level)
     score, back = e[0] - math.log(units.K), []
     for row in e[1:]:
         both = score[:, None] + units.SWITCH
@@ -74,24 +74,35 @@ def viterbi(block):
     return path[::-1], float(score.max())
 
 
-def test_blocks_are_one_chain():
+def score_of(path, e):
+    return e[0, path[0]] - math.log(units.K) + sum(units.SWITCH[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False)))
+
+
+def test_blocks_are_one_chain(monkeypatch):
     """A chain cut into blocks has the score of the whole one (levels held still, as they restart with a block)."""
+    monkeypatch.setattr(units, "SMOOTH", 0.0)
     rng = random.Random(3)
-    old, units.SMOOTH = units.SMOOTH, 0.0
-    try:
-        for _ in range(20):
-            n = rng.randrange(2, 40)
-            rows = [(math.exp(rng.gauss(5, 2)), rng.choice([None, None, "metre", "kilometre"]), 5.5) for _ in range(n)]
-            df = pd.DataFrame(rows, columns=["value", "unit", "level"])
-            cut = rng.randrange(1, n)
-            a, b = df.iloc[:cut], df.iloc[cut:]
-            first = units.transfer(a) - units.SWITCH.max(1)[:, None] - math.log(units.K)
-            e0 = units.emissions(a)[0] - math.log(units.K)
-            score = e0
-            for row in units.emissions(a)[1:]:
-                score = (score[:, None] + units.SWITCH).max(0) + row
-            total = (score[:, None] + units.transfer(b)).max()
-            assert first.shape == (units.K, units.K)
-            assert np.isclose(total, viterbi(df)[1])
-    finally:
-        units.SMOOTH = old
+    for _ in range(30):
+        n = rng.randrange(3, 40)
+        values = np.array([math.exp(rng.gauss(5, 2)) for _ in range(n)])
+        stated = np.array([rng.choice([-1, -1, 0, 1]) for _ in range(n)])
+        cuts = [0, *sorted(rng.sample(range(1, n), 2)), n]
+        parts = [(values[a:b], stated[a:b], 5.5) for a, b in zip(cuts, cuts[1:], strict=False)]
+        leave = units.through([units.transfer(*p) for p in parts])
+        enter = [-1, *leave[:-1]]
+        path = [k for p, i, o in zip(parts, enter, leave, strict=True) for k in units.decode(*p, i, o)]
+        _, best = viterbi(values, stated, 5.5)
+        assert np.isclose(score_of(path, units.emissions(values, stated, 5.5)), best)
+
+
+def test_stated_blocks_have_the_same_matrix():
+    values, stated = np.array([10.0, 20.0, 30.0]), np.array([0, 1, 0])
+    m = None
+    for e in units.emissions(values, stated, 5.0):
+        m = units.SWITCH + e if m is None else (m[:, :, None] + (units.SWITCH + e)[None]).max(1)
+    assert np.allclose(units.transfer(values, stated, 5.0)[:, 0], m[:, 0])
+
+
+def test_runs_pass_over_batches():
+    batches = [pd.DataFrame({"k": list("aab"), "v": [1, 2, 3]}), pd.DataFrame({"k": list("bbc"), "v": [4, 5, 6]}), pd.DataFrame({"k": [], "v": []})]
+    assert [(r["k"][0], r["v"].tolist()) for r in units.runs(iter(batches), ["k"])] == [("a", [1, 2]), ("b", [3, 4, 5]), ("c", [6])]

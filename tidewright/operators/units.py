@@ -59,35 +59,38 @@ def observation(value: str | None, unit: str | None, text: str | None) -> tuple[
     return None, None, own.kind
 
 
-def emissions(block: pd.DataFrame) -> np.ndarray:
-    """Log-probability of each row of an ordered block under each unit."""
-    out = np.zeros((len(block), K))
-    level = float(block["level"].iloc[0])
-    for i, (v, u) in enumerate(zip(block["value"], block["unit"], strict=True)):
-        if v != v or v is None or v <= 0:
-            continue
-        if isinstance(u, str):
-            k = UNITS.index(u)
+def emissions(values: np.ndarray, stated: np.ndarray, level: float) -> np.ndarray:
+    """Log-probability of each row of an ordered block under each unit; ``stated`` holds unit numbers, -1 for none."""
+    out = np.zeros((len(values), K))
+    for i, (v, k) in enumerate(zip(values.tolist(), stated.tolist(), strict=True)):
+        if k >= 0:
             out[i] = PINNED
             out[i, k] = 0.0
-            level += SMOOTH * (math.log(v) + LOGS[k] - level)
-        else:
+            if v > 0:
+                level += SMOOTH * (math.log(v) + LOGS[k] - level)
+        elif v > 0:
             out[i] = -((math.log(v) + LOGS - level) ** 2) / (2 * SPREAD**2)
     return out
 
 
-def transfer(block: pd.DataFrame) -> np.ndarray:
+def transfer(values: np.ndarray, stated: np.ndarray, level: float) -> np.ndarray:
     """Max-plus matrix of an ordered block: the best score from each entering to each leaving state."""
+    if (stated >= 0).all():
+        m = np.full((K, K), PINNED)
+        m[:, stated[-1]] = SWITCH[:, stated[0]] + SWITCH[stated[:-1], stated[1:]].sum()
+        return m
     m = None
-    for e in emissions(block):
+    for e in emissions(values, stated, level):
         step = SWITCH + e
         m = step if m is None else (m[:, :, None] + step[None]).max(1)
     return m
 
 
-def decode(block: pd.DataFrame, enter: int, leave: int) -> list[int]:
+def decode(values: np.ndarray, stated: np.ndarray, level: float, enter: int, leave: int) -> list[int]:
     """Viterbi path of an ordered block between two states; a negative ``enter`` is the start of the chain."""
-    e = emissions(block)
+    if (stated >= 0).all():
+        return stated.tolist()
+    e = emissions(values, stated, level)
     score = e[0] + (SWITCH[enter] if enter >= 0 else -math.log(K))
     back = []
     for row in e[1:]:
@@ -100,6 +103,43 @@ def decode(block: pd.DataFrame, enter: int, leave: int) -> list[int]:
     return path[::-1]
 
 
+def through(matrices: list[np.ndarray]) -> list[int]:
+    """The leaving state of each block of a chain, from the blocks' matrices in order."""
+    score, back = None, []
+    for m in matrices:
+        both = m - SWITCH.max(1)[:, None] - math.log(K) if score is None else score[:, None] + m
+        back.append(both.argmax(0))
+        score = both.max(0)
+    leave = [int(score.argmax())]
+    for x in reversed(back[1:]):
+        leave.append(int(x[leave[-1]]))
+    return leave[::-1]
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of equal keys over sorted batches, as arrays by column; a run may pass from one batch to the next."""
+    carry: pd.DataFrame | None = None
+    for b in batches:
+        b = b if carry is None else pd.concat([carry, b], ignore_index=True)
+        if not len(b):
+            continue
+        columns = {c: b[c].to_numpy() for c in b.columns}
+        change = np.zeros(len(b) - 1, bool)
+        for k in keys:
+            change |= columns[k][1:] != columns[k][:-1]
+        edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for low, high in zip(edges, edges[1:], strict=False):
+            yield {c: x[low:high] for c, x in columns.items()}
+        carry = b.iloc[edges[-1] :]
+    if carry is not None and len(carry):
+        yield {c: carry[c].to_numpy() for c in carry.columns}
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a key in one partition, one after the other in the given order."""
+    return df.repartition(*keys).sortWithinPartitions(*order)
+
+
 def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_file", value_col: str = "value", unit_col: str = "unit", text_col: str = "exact_text") -> DataFrame:
     """(id, kind, value, stated_unit, unit, metres): the decoded unit and the metres of every record; NULL where no one distance is stated."""
     slim = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(value_col).cast("string").alias("v"), F.col(unit_col).alias("u"), F.col(text_col).alias("t"))
@@ -112,42 +152,38 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
 
     seen = cut(spread(slim, "id").mapInPandas(observed, f"id {key}, source STRING, value DOUBLE, stated_unit STRING, kind STRING"))
     factor = F.element_at(F.create_map(*[x for u, f in METRES.items() for x in (F.lit(u), F.lit(f))]), F.col("stated_unit"))
-    chain = seen.where("kind = 'distance' and value is not null").select("id", F.coalesce("source", F.lit("")).alias("source"), "value", F.col("stated_unit").alias("unit"), F.floor(F.col("id") / BLOCK).alias("block"))
+    number = F.coalesce(F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("stated_unit")) - 1, F.lit(-1)).cast("int")
+    chain = seen.where("kind = 'distance' and value is not null").select("id", F.coalesce("source", F.lit("")).alias("source"), "value", number.alias("stated"), F.floor(F.col("id") / BLOCK).alias("block"))
     stated = seen.where("kind = 'distance' and stated_unit is not null and value > 0").select(F.coalesce("source", F.lit("")).alias("source"), F.log(F.col("value") * factor).alias("x"))
     levels = stated.groupBy("source").agg(F.avg("x").alias("__own"))
     every = stated.agg(F.coalesce(F.avg("x"), F.lit(math.log(300.0))).alias("__all"))
     starts = chain.select("source", "block").distinct().join(levels, "source", "left").crossJoin(F.broadcast(every)).select("source", "block", F.coalesce("__own", "__all").alias("level"))
     blocks = chain.join(starts, ["source", "block"])
-
-    def matrices(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")
-        return pd.DataFrame({"source": [b["source"].iloc[0]], "block": [b["block"].iloc[0]], "m": [transfer(b).ravel()]})
-
-    def through(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("block")
-        score, back = None, []
-        for m in b["m"]:
-            m = np.asarray(m).reshape(K, K)
-            if score is None:
-                both = m - SWITCH.max(1)[:, None] - math.log(K)
-            else:
-                both = score[:, None] + m
-            back.append(both.argmax(0))
-            score = both.max(0)
-        leave = [int(score.argmax())]
-        for x in reversed(back[1:]):
-            leave.append(int(x[leave[-1]]))
-        leave = leave[::-1]
-        return pd.DataFrame({"source": b["source"], "block": b["block"], "enter": [-1, *leave[:-1]], "leave": leave})
-
-    def decoded(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")
-        path = decode(b, int(b["enter"].iloc[0]), int(b["leave"].iloc[0]))
-        return pd.DataFrame({"id": b["id"], "unit": [UNITS[k] for k in path]})
-
-    summary = blocks.groupBy("source", "block").applyInPandas(matrices, "source STRING, block BIGINT, m ARRAY<DOUBLE>")
-    ends = summary.groupBy("source").applyInPandas(through, "source STRING, block BIGINT, enter INT, leave INT")
-    states = blocks.join(ends, ["source", "block"]).groupBy("source", "block").applyInPandas(decoded, f"id {key}, unit STRING").distinct()
+    keys = ["source", "block"]
+
+    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(r["source"][0], r["block"][0], transfer(r["value"], r["stated"], float(r["level"][0])).ravel()) for r in runs(batches, keys)]
+        yield pd.DataFrame(rows, columns=["source", "block", "m"])
+
+    def states_between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in runs(batches, ["source"]):
+            leave = through([np.asarray(m).reshape(K, K) for m in r["m"]])
+            yield pd.DataFrame({"source": r["source"], "block": r["block"], "enter": [-1, *leave[:-1]], "leave": leave})
+
+    def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, found = [], []
+        for r in runs(batches, keys):
+            ids += r["id"].tolist()
+            found += decode(r["value"], r["stated"], float(r["level"][0]), int(r["enter"][0]), int(r["leave"][0]))
+            if len(ids) > 10_000:
+                yield pd.DataFrame({"id": ids, "unit": [UNITS[k] for k in found]})
+                ids, found = [], []
+        if ids:
+            yield pd.DataFrame({"id": ids, "unit": [UNITS[k] for k in found]})
+
+    summary = in_order(blocks, keys, [*keys, "id"]).mapInPandas(matrices, "source STRING, block BIGINT, m ARRAY<DOUBLE>")
+    ends = in_order(summary, ["source"], keys).mapInPandas(states_between, "source STRING, block BIGINT, enter INT, leave INT")
+    states = in_order(blocks.join(ends, keys), keys, [*keys, "id"]).mapInPandas(decoded, f"id {key}, unit STRING").distinct()
     found = F.element_at(F.create_map(*[x for u, f in METRES.items() for x in (F.lit(u), F.lit(f))]), F.col("unit"))
     exact = F.when(found >= 1, F.col("value") * found).otherwise(F.col("value") * found)
     return seen.join(states, "id", "left").select("id", "kind", "value", "stated_unit", "unit", F.bround(F.round(exact, 6)).cast("bigint").alias("metres"))

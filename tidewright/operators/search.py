@@ -37,9 +37,10 @@ def search_extractions(extractions: DataFrame, documents: DataFrame, keyword: st
 
 
 def entity_summary(extractions: DataFrame, documents: DataFrame, category: str, field: str) -> DataFrame:
-    """(entity, display_name, n_mentions, n_documents, filenames, avg_confidence) of one category's entities.
+    """(entity, display_name, n_mentions, n_files, first_filename, avg_confidence) of one category's entities.
 
-    The display name is the most confident spelling; a missing confidence counts as 0 in the average.
+    The display name is the most confident spelling; a missing confidence counts as 0 in the average. The files of an
+    entity, of which there is no bound, are rows of :func:`entity_files` rather than a list in one.
     """
     d = documents.select(F.col("id").alias("document_id"), "filename")
     e = extractions.where(F.col("category") == category).select("id", "document_id", "confidence", entity_name(field).alias("name")).where("name is not null")
@@ -51,12 +52,19 @@ def entity_summary(extractions: DataFrame, documents: DataFrame, category: str,
             F.max_by("name", order).alias("display_name"),
             F.count(F.lit(1)).alias("n_mentions"),
             F.countDistinct("filename").alias("n_files"),
-            F.array_join(F.sort_array(F.collect_set("filename")), "|").alias("filenames"),
+            F.min("filename").alias("first_filename"),
             F.round(F.avg(F.coalesce("confidence", F.lit(0.0))) + 1e-9, 3).alias("avg_confidence"),
         )
     )
 
 
+def entity_files(extractions: DataFrame, documents: DataFrame, category: str, field: str) -> DataFrame:
+    """(entity, filename, n_mentions): the files that name each entity of a category."""
+    d = documents.where("filename is not null").select(F.col("id").alias("document_id"), "filename")
+    e = extractions.where(F.col("category") == category).select("document_id", entity_name(field).alias("name")).where("name is not null")
+    return e.join(d, "document_id").groupBy(folded("name").alias("entity"), "filename").agg(F.count(F.lit(1)).alias("n_mentions"))
+
+
 #: Categories that state a requirement. Fixed values.
 REQUIREMENTS = ("distance", "penalty", "temporal", "permit", "prohibition", "protected_area")
 

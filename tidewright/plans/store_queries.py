@@ -75,6 +75,10 @@ def q2_species_summary(s, sf):
     return search.entity_summary(_e(s, sf), _d(s, sf), "species", "species_name")
 
 
+def q2_species_files(s, sf):
+    return search.entity_files(_e(s, sf), _d(s, sf), "species", "species_name")
+
+
 def q3_methods_summary(s, sf):
     return search.entity_summary(_e(s, sf), _d(s, sf), "method", "method_type")
 
@@ -129,7 +133,7 @@ def l7_entity_names(s, sf):
 
 QUERIES = (
     k1_insert_documents, k2_insert_extractions, k4_topk_extractions, k4_all_extractions, k5_document_summary, k6_extraction_counts, k7_cross_references, k8_upsert_integrated,
-    q1_search, q1_search_all, q2_species_summary, q3_methods_summary, q4_requirements_for_activity, q5_cross_document_entity, q6_statistics,
+    q1_search, q1_search_all, q2_species_summary, q2_species_files, q3_methods_summary, q4_requirements_for_activity, q5_cross_document_entity, q6_statistics,
     l1_species_links, l1_species_members, l2_methods_data, l2b_methods_data_words, l4_conflicts_stakeholders, l5_conflicts_places, l6_integrated, l7_entity_names,
 )
 
@@ -140,7 +144,7 @@ def summary_sql(category: str, field: str) -> str:
     return f"""
         with n as (select e.id, e.confidence, d.filename, {name_sql(field)} as name from extractions e join documents d on e.document_id = d.id where e.category = '{category}')
         select {FOLD.format('name')} as entity, arg_max(name, row(coalesce(confidence, -1.0), id)) as display_name, count(*) as n_mentions, count(distinct filename) as n_files,
-               coalesce(array_to_string(list_sort(list(distinct filename) filter (where filename is not null)), '|'), '') as filenames, round(avg(coalesce(confidence, 0.0)) + 1e-9, 3) as avg_confidence
+               min(filename) as first_filename, round(avg(coalesce(confidence, 0.0)) + 1e-9, 3) as avg_confidence
         from n where name is not null group by 1"""
 
 
@@ -178,6 +182,7 @@ ORACLES = {
     "q1_search": f"select e.id, e.document_id, category, page_number, confidence, filename, doc_type from extractions e join documents d on e.document_id = d.id where {HAS.format('seagrass')} order by confidence desc nulls last, e.id limit 100",
     "q1_search_all": f"select e.id, e.document_id, category, page_number, confidence, filename, doc_type from extractions e join documents d on e.document_id = d.id where {HAS.format('deniz çayiri')}",
     "q2_species_summary": summary_sql("species", "species_name"),
+    "q2_species_files": f"select {FOLD.format('name')} as entity, filename, count(*) as n_mentions from (select d.filename, {name_sql('species_name')} as name from extractions e join documents d on e.document_id = d.id where e.category = 'species') where name is not null and filename is not null group by 1, 2",
     "q3_methods_summary": summary_sql("method", "method_type"),
     "q4_requirements_for_activity": f"""select category, count(*) as n_requirements, min(e.id) as first_id, max(confidence) as best_confidence from extractions e join documents d on e.document_id = d.id
         where doc_type = 'legal' and category in ('distance', 'penalty', 'temporal', 'permit', 'prohibition', 'protected_area') and {HAS.format('anchoring')} group by category""",

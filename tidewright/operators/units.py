@@ -105,6 +105,8 @@ def decode(values: np.ndarray, stated: np.ndarray, level: float, enter: int, lea
 
 def through(matrices: list[np.ndarray]) -> list[int]:
     """The leaving state of each block of a chain, from the blocks' matrices in order."""
+    if len(matrices) == 1:
+        return [int((matrices[0] - SWITCH.max(1)[:, None]).max(0).argmax())]
     score, back = None, []
     for m in matrices:
         both = m - SWITCH.max(1)[:, None] - math.log(K) if score is None else score[:, None] + m
@@ -166,9 +168,14 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
         yield pd.DataFrame(rows, columns=["source", "block", "m"])
 
     def states_between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for r in runs(batches, ["source"]):
             leave = through([np.asarray(m).reshape(K, K) for m in r["m"]])
-            yield pd.DataFrame({"source": r["source"], "block": r["block"], "enter": [-1, *leave[:-1]], "leave": leave})
+            rows += zip(r["source"].tolist(), r["block"].tolist(), [-1, *leave[:-1]], leave, strict=True)
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=["source", "block", "enter", "leave"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["source", "block", "enter", "leave"])
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, found = [], []

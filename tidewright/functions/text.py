@@ -55,6 +55,11 @@ def fold_term(term: str) -> str:
     return term.translate({ord("İ"): "i", ord("I"): "i", ord("ı"): "i"}).lower()
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def presence(text: Column, terms: tuple[str, ...]) -> Column:
     """How many of the terms stand in the (folded) text."""
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(fold_term(t))).cast("int") for t in terms])
@@ -103,15 +108,17 @@ def is_garbled(text: Column) -> Column:
 
 def coherence(text: Column) -> Column:
     """Half common letter pairs, a quarter each vowel share near 0.4 and word length near 5.5; 0.5 for very short text."""
-    clean = F.regexp_replace(folded(text), "[^a-zğüşöç]", "")
-    n = F.length(clean)
-    pairs = F.regexp_count(clean, F.lit("(?=" + "|".join(BIGRAMS) + ").")) / (n - 1)
     within = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    vowels = within(1 - F.abs(F.regexp_count(clean, F.lit("[aeiouöü]")) / n - 0.4) * 3)
-    words = F.regexp_count(text, F.lit(r"[^ \t\r\n]+"))
-    size = F.length(F.regexp_replace(text, r"[ \t\r\n]+", "")) / words
-    score = pairs * 0.5 + vowels * 0.25 + within(1 - F.abs(size - 5.5) / 5) * 0.25
-    return F.when(text.isNull() | (F.length(text) < 10) | (n < 6), 0.5).otherwise(F.round(score, 6))
+
+    def score(clean: Column) -> Column:
+        n = F.length(clean)
+        pairs = F.regexp_count(clean, F.lit("(?=" + "|".join(BIGRAMS) + ").")) / (n - 1)
+        vowels = within(1 - F.abs(F.regexp_count(clean, F.lit("[aeiouöü]")) / n - 0.4) * 3)
+        size = F.length(F.regexp_replace(text, r"[ \t\r\n]+", "")) / F.regexp_count(text, F.lit(r"[^ \t\r\n]+"))
+        total = pairs * 0.5 + vowels * 0.25 + within(1 - F.abs(size - 5.5) / 5) * 0.25
+        return F.when(text.isNull() | (F.length(text) < 10) | (n < 6), 0.5).otherwise(F.round(total, 6))
+
+    return F.coalesce(let(F.regexp_replace(folded(text), "[^a-zğüşöç]", ""), score), F.lit(0.5))
 
 
 def citation_count(text: Column) -> Column:
@@ -127,9 +134,9 @@ def is_citation(text: Column) -> Column:
 
 def marine_relevance(text: Column) -> Column:
     """Share of marine among marine and building terms; 0.5 where there are neither."""
-    low = folded(text)
-    m, b = occurrences(low, MARINE + MARINE_TURKISH), occurrences(low, BUILDING)
-    return F.when(text.isNull() | (m + b == 0), 0.5).otherwise(F.round(m / (m + b), 6))
+    counts = lambda low: F.struct(occurrences(low, MARINE + MARINE_TURKISH).alias("m"), occurrences(low, BUILDING).alias("b"))
+    share = lambda c: F.when(c["m"] + c["b"] == 0, 0.5).otherwise(F.round(c["m"] / (c["m"] + c["b"]), 6))
+    return F.when(text.isNull(), 0.5).otherwise(let(let(folded(text), counts), share))
 
 
 def false_positive(text: Column, match: Column) -> Column:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.operators import extraction as X
-from tidewright.sources.tables import table
+from tidewright.sources.tables import spread, table
+
+
+def _d(s, sf):
+    return spread(table(s, sf, "documents").select("doc_id", "doc_type", "text"), "doc_id")
 
 
 def _extractor(category: str):
     names = list(X.SPECS[category].fields)
 
     def query(s, sf):
-        found = X.extract(table(s, sf, "documents"), (category,))
+        found = X.extract(_d(s, sf), (category,))
         return found.select("doc_id", "record_hash", "position", "exact_text", *[F.col("fields").getItem(n).alias(n) for n in names], "confidence", "n_mentions")
 
     query.__name__ = f"x_{category}"
@@ -21,14 +25,14 @@ def _extractor(category: str):
 
 def x_all_routed(s, sf):
     """All extractors of each document's type in one scan, counted by type of document and category."""
-    d = table(s, sf, "documents")
+    d = _d(s, sf)
     found = X.extract(d, routed=True).join(d.select("doc_id", "doc_type"), "doc_id")
     return found.groupBy("doc_type", "category").agg(F.count(F.lit(1)).alias("n_records"), F.sum("n_mentions").alias("n_mentions"))
 
 
 def x_relevant(s, sf):
     """Records of all extractors that pass their least relevance, by category."""
-    d = table(s, sf, "documents")
+    d = _d(s, sf)
     return X.with_relevance(X.extract(d), d).groupBy("category").agg(F.count(F.lit(1)).alias("n_records"), F.round(F.avg("marine_relevance") + 1e-9, 4).alias("avg_relevance"))
 
 

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
 from tidewright.plans.store_queries import FOLD
-from tidewright.sources.tables import table
+from tidewright.sources.tables import spread, table
 
 
 def _e(s, sf):
-    return table(s, sf, "extractions")
+    return spread(table(s, sf, "extractions").select("id", "document_id", "category", "exact_text", "context"), "id")
 
 
 def _d(s, sf):
-    return table(s, sf, "documents")
+    return spread(table(s, sf, "documents").select("doc_id", "text"), "doc_id")
 
 
 def context():
@@ -42,7 +42,7 @@ def t14_garbled(s, sf):
 
 
 def t15_coherence(s, sf):
-    return _e(s, sf).select("id", T.coherence(context()).alias("coherence"), (T.coherence(context()) < 0.25).alias("incoherent"))
+    return _e(s, sf).select("id", T.coherence(context()).alias("coherence")).select("id", "coherence", (F.col("coherence") < 0.25).alias("incoherent"))
 
 
 def t17_citations(s, sf):

@@ -88,9 +88,12 @@ def plain_words(c: Column | str) -> Column:
 
 def sequences(text: Column, longest: int) -> Column:
     """All runs of up to ``longest`` words of a text from :func:`plain_words`."""
-    w = F.split(text, " ")
-    run = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    return F.array_distinct(F.flatten(F.array_compact(F.array(*[run(n) for n in range(1, longest + 1)]))))
+
+    def of(w: Column) -> Column:
+        run = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
+        return F.array_distinct(F.flatten(F.array_compact(F.array(*[run(n) for n in range(1, longest + 1)]))))
+
+    return F.get(F.transform(F.array(F.split(text, " ")), of), F.lit(0))
 
 
 def missing_penalties(e: DataFrame) -> DataFrame:
@@ -161,7 +164,7 @@ def legal_data_mismatch(e: DataFrame) -> DataFrame:
 
 def _unnamed(names: DataFrame, texts: DataFrame) -> DataFrame:
     """Names (of at most four words) that stand in none of the texts, word for word."""
-    said = texts.where("text <> ''").select(F.explode(sequences(F.col("text"), 4)).alias("name")).distinct()
+    said = texts.where("text <> ''").select(F.explode(sequences(F.col("text"), 4)).alias("name")).join(names, "name", "left_semi").distinct()
     return names.join(said, "name", "left_anti")
 
 

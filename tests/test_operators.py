@@ -158,3 +158,20 @@ def test_classifier(spark):
     model = matching.quality_classifier(df)
     assert model.transform(df).where("prediction = label").count() == 80
     assert matching.quality_classifier(df.limit(20)) is None
+
+
+def test_activities_of_the_whole_dictionary(spark):
+    texts = {
+        "The gillnet and the longline were counted": ("fishing", 0.4),
+        "Salmon, oyster and hatchery: mariculture": ("aquaculture", 0.64),
+        "naval base of the navy": ("military", 0.6),
+        "offshore drilling for petroleum": ("oil_gas", 0.48),
+        "The status of the agreement": ("unspecified", 0.25),
+        "balıkçı barınağı için düzenleme": ("fishing", 0.4),
+        "midye üretimi için kafes açıldı": ("aquaculture", 0.4),
+        "doğalgaz araması için sondaj yapıldı": ("oil_gas", 0.4),
+        None: ("unspecified", 0.25),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", T.activity(F.col("t")).alias("a")).collect()
+    assert {r["t"]: (r["a"]["name"], round(r["a"]["confidence"], 4)) for r in got} == texts

@@ -35,7 +35,22 @@ BIGRAMS = (
 ).split()
 INLINE_CITATIONS = (r"\([A-Z][a-z]+(?: (?:et al\.?|and|&)(?: [A-Z][a-z]+)?)?, [0-9]{4}[a-z]?\)", r"\[[0-9]+(?:[,; -]+[0-9]+)*\]", r"[A-Z][a-z]+ et al\.? \([0-9]{4}\)", r"[A-Z][a-z]+ (?:and|&) [A-Z][a-z]+ \([0-9]{4}\)")
 REFERENCE_ENTRIES = (r"(?:doi|DOI)[: ]*10\.[0-9]{4,}", r"https?://(?:dx\.)?doi\.org/10\.[0-9]{4,}", r"(?:Vol\.?|Volume) *[0-9]+.*(?:pp?\.? *[0-9]+|No\.? *[0-9]+)", r"(?:ISSN|ISBN)[ :-]*[0-9X-]+")
-#: Activity, keywords, weight.
+#: Activity: Turkish keywords, English keywords, weight.
+KEYWORDS = {
+    "aquaculture": (("su ürünleri", "su ürünleri yetiştiriciliği", "yetiştiricilik", "balık çiftliği", "balık yetiştiriciliği", "balık üretimi", "midye", "istiridye", "kabuklu", "karides", "kafes", "balık kafesi", "ağ kafes", "yüzer kafes", "yetiştirme tesisi", "kuluçkahane", "marikultur", "akvakültür", "deniz yetiştiriciliği", "alabalık", "levrek", "çipura", "ton balığı", "orkinos", "yemleme", "stoklama", "hasat", "yavru balık"), ("aquaculture", "fish farm", "fish farming", "mariculture", "cage culture", "net pen", "shellfish", "mussel", "oyster", "shrimp", "hatchery", "finfish", "salmon", "sea bass", "sea bream", "trout", "tuna", "feeding", "stocking"), 4),
+    "fishing": (("balıkçılık", "balıkçı", "avcılık", "su ürünleri avcılığı", "ticari balıkçılık", "kıyı balıkçılığı", "açık deniz balıkçılığı", "trol", "gırgır", "paragat", "uzatma ağı", "olta", "dalyan", "avlanma", "av sahası", "av bölgesi", "avlak", "yumurtlama alanı", "üreme alanı", "balık stoku", "kota", "av yasağı", "boy limiti", "göz açıklığı", "balıkçı barınağı", "balıkçı teknesi"), ("fishing", "fishery", "fisheries", "trawling", "trawl", "seine", "purse seine", "gillnet", "longline", "driftnet", "artisanal fishing", "commercial fishing", "recreational fishing", "catch", "quota", "stock", "overfishing", "bycatch", "spawning area", "breeding ground", "fishing ground"), 4),
+    "shipping_navigation": (("denizcilik", "gemi", "seyrüsefer", "seyir", "deniz taşımacılığı", "gemi trafiği", "seyir hattı", "trafik ayrım", "TAS", "geçiş", "boğaz geçişi", "kanal", "demirleme", "demirleme alanı", "yanaşma", "kılavuzluk", "pilotaj", "römorkaj", "feribot", "ro-ro", "konteyner gemisi", "tanker", "yük gemisi"), ("shipping", "maritime transport", "navigation", "vessel", "ship", "maritime traffic", "shipping lane", "traffic separation", "TSS", "passage", "strait", "channel", "anchorage", "berthing", "pilotage", "towage", "ferry", "container ship", "tanker", "cargo ship", "bulk carrier"), 3),
+    "ports_harbors": (("liman", "iskele", "rıhtım", "terminal", "yanaşma yeri", "ticari liman", "konteyner terminali", "kruvaziyer limanı", "yat limanı", "marina", "barınak", "sığınak", "dalgakıran", "mendirek", "liman tesisi", "liman havzası"), ("port", "harbor", "harbour", "terminal", "berth", "commercial port", "container terminal", "cruise terminal", "marina", "yacht harbor", "fishing harbor", "shelter", "breakwater", "jetty", "pier", "quay", "wharf"), 3),
+    "tourism": (("turizm", "turistik", "rekreasyon", "kıyı turizmi", "deniz turizmi", "dalış", "tüplü dalış", "dalgıç", "şnorkel", "plaj", "kumsal", "sahil", "yüzme", "yüzme alanı", "yat", "yelken", "tekne turu", "mavi yolculuk", "su sporları", "sörf", "kano", "jet ski"), ("tourism", "coastal tourism", "marine tourism", "recreation", "diving", "scuba diving", "snorkeling", "beach", "swimming", "yacht", "yachting", "sailing", "boat tour", "cruise", "water sports", "surfing", "kayaking", "jet ski", "ecotourism", "whale watching"), 3),
+    "offshore_energy": (("açık deniz rüzgar", "deniz üstü rüzgar", "rüzgar enerjisi", "rüzgar türbini", "rüzgar santrali", "dalga enerjisi", "deniz enerjisi", "yenilenebilir enerji", "enerji platformu"), ("offshore wind", "wind farm", "wind turbine", "wind energy", "wave energy", "tidal energy", "marine energy", "renewable energy", "offshore renewable", "OWEZ"), 4),
+    "oil_gas": (("petrol", "doğalgaz", "doğal gaz", "hidrokarbon", "sondaj", "arama sondajı", "üretim platformu", "petrol platformu", "denizaltı boru hattı", "sismik", "TPAO"), ("oil", "gas", "petroleum", "hydrocarbon", "drilling", "exploration", "production platform", "oil platform", "subsea pipeline", "seismic survey", "offshore drilling"), 4),
+    "military": (("askeri", "donanma", "savunma", "milli savunma", "TSK", "deniz kuvvetleri", "deniz üssü", "askeri bölge", "yasak bölge", "güvenlik bölgesi", "tatbikat alanı", "sahil güvenlik"), ("military", "naval", "defense", "defence", "navy", "naval base", "military zone", "restricted area", "security zone", "exercise area", "coast guard"), 5),
+    "cables_pipelines": (("kablo", "denizaltı kablosu", "elektrik kablosu", "fiber optik", "boru hattı", "gaz boru hattı", "denizaltı altyapısı"), ("cable", "submarine cable", "subsea cable", "fiber optic", "pipeline", "gas pipeline", "subsea infrastructure", "interconnector", "power cable"), 3),
+    "dredging_mining": (("tarama", "kum çıkarımı", "çakıl çıkarımı", "agrega", "deniz madenciliği", "dip taraması"), ("dredging", "sand extraction", "gravel extraction", "aggregate", "marine mining", "seabed mining", "deep sea mining"), 3),
+    "conservation": (("koruma", "doğa koruma", "habitat koruma", "ekosistem", "biyoçeşitlilik", "nesli tehlike", "endemik", "restorasyon"), ("conservation", "protection", "habitat protection", "ecosystem", "biodiversity", "endangered", "endemic", "restoration", "rehabilitation", "marine conservation"), 3),
+    "research": (("araştırma", "bilimsel", "izleme", "ölçüm", "oşinografi"), ("research", "scientific", "monitoring", "survey", "oceanography", "marine science", "study", "sampling"), 2),
+}
+#: The shorter list that the SQL of t30_activities holds; no operator reads it.
 ACTIVITIES = (
     ("aquaculture", ("aquaculture", "shellfish farming", "mussel", "yetiştiriciliği"), 4),
     ("fishing", ("fishing", "trawl", "avcılığı", "avcılık", "balıkçılığı"), 4),
@@ -155,14 +170,26 @@ def false_positive(text: Column, match: Column) -> Column:
     )
 
 
+def is_turkish(text: Column) -> Column:
+    """Whether a single statement counts as Turkish: more than two letters that English does not have."""
+    return F.regexp_count(text, F.lit("[çğışöüÇĞİŞÖÜ]")) > 2
+
+
 def activity(text: Column) -> Column:
-    """struct(name, confidence): the activity with the highest weighted number of keywords; the first wins ties."""
-    low = folded(text)
-    best = F.array_max(F.array(*[F.struct((presence(low, words) * weight).alias("score"), F.lit(-i).alias("i")) for i, (_, words, weight) in enumerate(ACTIVITIES)]))
-    name = F.element_at(F.array(*[F.lit(a[0]) for a in ACTIVITIES]), 1 - best["i"])
-    most = 5 * max(a[2] for a in ACTIVITIES)
-    known = best["score"] >= 2
-    return F.struct(F.when(known, name).otherwise("unspecified").alias("name"), F.when(known, F.greatest(F.lit(0.4), F.least(F.lit(1.0), best["score"] / most))).otherwise(0.25).alias("confidence"))
+    """struct(name, confidence): the activity with the highest weighted number of keywords of the text's language; the first wins ties."""
+
+    def best(low: Column, language: int) -> Column:
+        present = lambda words: F.size(F.filter(F.array(*[F.lit(fold_term(w)) for w in dict.fromkeys(words)]), lambda w: F.contains(low, w)))
+        return F.array_max(F.array(*[F.struct((present(a[language]) * a[2]).alias("score"), F.lit(-i).alias("i")) for i, a in enumerate(KEYWORDS.values())]))
+
+    def named(best: Column) -> Column:
+        name = F.element_at(F.array(*[F.lit(a) for a in KEYWORDS]), 1 - best["i"])
+        most = 5 * max(a[2] for a in KEYWORDS.values())
+        known = best["score"] >= 2
+        return F.struct(F.when(known, name).otherwise("unspecified").alias("name"), F.when(known, F.greatest(F.lit(0.4), F.least(F.lit(1.0), best["score"] / most))).otherwise(0.25).alias("confidence"))
+
+    scored = let(folded(text), lambda low: F.when(is_turkish(text), best(low, 0)).otherwise(best(low, 1)))
+    return let(scored, named)
 
 
 def reference_point(text: Column) -> Column:

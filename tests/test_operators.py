@@ -175,3 +175,22 @@ def test_activities_of_the_whole_dictionary(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", T.activity(F.col("t")).alias("a")).collect()
     assert {r["t"]: (r["a"]["name"], round(r["a"]["confidence"], 4)) for r in got} == texts
+
+
+def test_gap_names_of_any_length(spark):
+    area, deed = "Grand Old North Harbour Mouth Marine Reserve of Saint Anne", "anchoring of any boat over the old eel grass beds at night"
+    rows = [
+        ("1", "protected_area", f'{{"name": "{area}"}}', ""),
+        ("2", "protected_area", '{"name": "Far Bay"}', ""),
+        ("3", "data_source", "{}", f"A survey of {area} in 1999"),
+        ("4", "prohibition", f'{{"activity": "{deed}"}}', ""),
+        ("5", "penalty", f'{{"violation": "{deed}"}}', ""),
+        ("6", "prohibition", '{"activity": "night fishing"}', ""),
+        *[(f"m{i}", "method", '{"method_type": "rapid visual census of all the fishes"}', "") for i in range(5)],
+        ("7", "permit", "{}", "A rapid visual census of all the fishes is needed"),
+    ]
+    e = spark.createDataFrame([(*r, "d") for r in rows], "id string, category string, metadata string, context string, document_id string")
+    d = spark.createDataFrame([("d", "legal")], "id string, doc_type string")
+    assert [r["subject"] for r in gaps.unmonitored_areas(e).collect()] == ["far bay"]
+    assert [r["subject"] for r in gaps.missing_penalties(e).collect()] == ["night fishing"]
+    assert gaps.method_legal_disconnect(e, d).count() == 0

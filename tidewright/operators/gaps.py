@@ -86,22 +86,28 @@ def plain_words(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " "))
 
 
-def sequences(text: Column, longest: int) -> Column:
-    """All runs of up to ``longest`` words of a text from :func:`plain_words`."""
+def sequences(text: Column, lengths: Column) -> Column:
+    """All runs of as many words as any of ``lengths`` says, of a text from :func:`plain_words`."""
 
     def of(w: Column) -> Column:
         run = lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " ")))
-        return F.array_distinct(F.flatten(F.array_compact(F.array(*[run(n) for n in range(1, longest + 1)]))))
+        return F.array_distinct(F.flatten(F.array_compact(F.transform(lengths, run))))
 
     return F.get(F.transform(F.array(F.split(text, " ")), of), F.lit(0))
 
 
+def _runs(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """The texts' columns and, as ``name``, every run of words of ``text`` that is as long as any of the names."""
+    lengths = names.agg(F.collect_set(F.size(F.split(name, " "))).alias("__n"))
+    return texts.crossJoin(F.broadcast(lengths)).withColumn(name, F.explode(sequences(F.col(text), F.col("__n")))).drop("__n")
+
+
 def missing_penalties(e: DataFrame) -> DataFrame:
     """Prohibited activities that no violation contains or is contained in, word for word."""
     p = e.where("category = 'prohibition'").select(plain_words(attribute("activity")).alias("p")).where("p <> ''").distinct()
     v = e.where("category = 'penalty'").select(plain_words(attribute("violation")).alias("v")).where("v <> ''").distinct()
-    inside = p.withColumn("v", F.explode(sequences(F.col("p"), 6))).join(v, "v", "left_semi").select("p")
-    around = v.withColumn("p", F.explode(sequences(F.col("v"), 6))).select("p").distinct()
+    inside = _runs(p, "p", v, "v").join(v, "v", "left_semi").select("p")
+    around = _runs(v, "v", p, "p").select("p").distinct()
     none = p.join(inside, "p", "left_anti").join(around, "p", "left_anti")
     return gap(none, "legal", "missing_penalty", "important", F.col("p"))
 
@@ -163,8 +169,8 @@ def legal_data_mismatch(e: DataFrame) -> DataFrame:
 
 
 def _unnamed(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Names (of at most four words) that stand in none of the texts, word for word."""
-    said = texts.where("text <> ''").select(F.explode(sequences(F.col("text"), 4)).alias("name")).join(names, "name", "left_semi").distinct()
+    """Names that stand in none of the texts, word for word."""
+    said = _runs(texts.where("text <> ''"), "text", names, "name").select("name").join(names, "name", "left_semi").distinct()
     return names.join(said, "name", "left_anti")
 
 

@@ -194,3 +194,32 @@ def test_gap_names_of_any_length(spark):
     assert [r["subject"] for r in gaps.unmonitored_areas(e).collect()] == ["far bay"]
     assert [r["subject"] for r in gaps.missing_penalties(e).collect()] == ["night fishing"]
     assert gaps.method_legal_disconnect(e, d).count() == 0
+
+
+def test_building_statements(spark):
+    cases = {
+        "Kat yüksekliği 3 m, ön bahçe 5 m olur": "building_patterns",
+        "The floor height and the front yard by the sea": "building_patterns",
+        "Pencere ile balkon ve otopark düzenlenir": "building",
+        "The plot ratio of a parcel": "score",
+        "TAKS ve garaj hesabı": "score",
+        "Deniz kıyısında emsal değer": None,
+        "kapılar ve temelinde": None,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", T.false_positive(F.col("t"), F.lit("zzz"))).collect()} == cases
+    share = {r[0]: r[1] for r in df.select("t", T.marine_relevance(F.col("t"))).collect()}
+    assert share["Pencere ile balkon ve otopark düzenlenir"] == 0.0 and share["kapılar ve temelinde"] == 0.5
+
+
+def test_bibliography_runs_and_credits():
+    entries = " ".join(f"[{i}] Aa title." for i in range(6))
+    text = f"Body. {entries} Last entry without a number."
+    assert D.bibliography(text) == [(6, len(text))]
+    years = "Body. " + " ".join(f"Smith, J.{c}., 2010. Title." for c in "ABCDE") + " End."
+    assert D.bibliography(years) == [(6, len(years))]
+    dois = "Body. doi:10.1234/a doi:10.1234/b doi:10.1234/c and the rest"
+    assert D.bibliography(dois) == [(6, len(dois))]
+    credits = "Body.\nAcknowledgement\n" + "We thank all. " * 20 + "\n5. Results\nThe sea."
+    assert D.bibliography(credits) == [(6, credits.index("\n5. Results"))]
+    assert D.bibliography("Body.\n7. References\nx")[0][0] == 6

@@ -19,10 +19,12 @@ LEAST = 15
 ARTICLE = re.compile(r"\s+(?=(?:Madde|MADDE|Article|ARTICLE)\s+\d+\s*[-–—])")
 NUMBER_WORD = "|".join(sorted({*WORDS, *SCALES, *PARTS}, key=len, reverse=True))
 NUMBER_RUN = re.compile(rf"(?<![^\W\d_])(?:{NUMBER_WORD})(?:(?:[\s-]+and)?[\s-]+(?:{NUMBER_WORD}))*(?![^\W\d_])", re.I)
-HEADER = re.compile(r"^\s*(?:references|bibliography|literature cited|works cited|kaynaklar|kaynakça)\s*:?\s*$", re.I | re.M)
-DOI = re.compile(r"10\.\d{4,}/\S+")
-NUMBERED = re.compile(r"\[\d{1,3}\]\s*[A-ZÇĞİÖŞÜ][^\W\d_]")
-AUTHOR_YEAR = re.compile(r"[A-ZÇĞİÖŞÜ][^\W\d_]+,\s*[A-Z]\.[^()\n]{0,80}\(\d{4}\)")
+HEADER = re.compile(r"^\s*(?:\d+\.?\s+)?(?:references|reference\s+list|bibliography|literature\s+cited|works\s+cited|kaynaklar|kaynakça|kaynak(?:lar)?\s+listesi)\s*:?\s*$", re.I | re.M)
+CREDITS = re.compile(r"CRediT\s+author(?:ship)?\s+contribution|Author\s+contributions?\s*:|Declaration\s+of\s+(?:competing\s+)?interest|Acknowledgement|Data\s+availability|Funding\s*(?::|$)", re.I)
+NEXT_SECTION = re.compile(r"\n\s*\d+\.\s+[A-Z]|\n\s*[A-Z][a-z]+\s+[a-z]")
+DOI = re.compile(r"(?:doi|https?://doi\.org)[:/]\s*10\.\d{4,}|10\.\d{4,}/\S+", re.I)
+NUMBERED = re.compile(r"\[\d{1,3}\]\s*[A-ZÇĞİÖŞÜ][a-zçğıöşü]")
+AUTHOR_YEAR = re.compile(r"[A-ZÇĞİÖŞÜ][^\W\d_]+,\s*[A-Z]\.(?:(?:[A-Z]\.)?,?\s*(?:et\s+al\.?,?\s*)?(?:19|20)\d{2}[.,]|[^()\n]{0,80}\(\d{4}\))")
 
 
 def sentences(text: str | None) -> list[str]:
@@ -69,13 +71,18 @@ def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def bibliography(text: str | None) -> list[tuple[int, int]]:
-    """Ranges of a text that are references: from a heading to the end, and dense runs of entries."""
+    """Ranges of a text that are references: from a heading, or the first dense run of entries, to the end; and credits
+    and acknowledgements up to the next section (sought after 200 characters), of 3000 characters at most."""
     if not text:
         return []
     found = [(m.start(), len(text)) for m in HEADER.finditer(text)][:1]
+    for m in CREDITS.finditer(text):
+        end = min(m.end() + 3000, len(text))
+        section = NEXT_SECTION.search(text[m.end() + 200 : end])
+        found.append((m.start(), m.end() + 200 + section.start() if section else end))
     for pattern, count, width in ((DOI, 3, 2000), (NUMBERED, 5, 2000), (AUTHOR_YEAR, 5, 3000)):
-        at = [m.start() for m in pattern.finditer(text)]
-        found += [(at[i], at[i + count - 1]) for i in range(len(at) - count + 1) if at[i + count - 1] - at[i] < width]
+        at = [m.span() for m in pattern.finditer(text)]
+        found += [(at[i][0], len(text)) for i in range(len(at) - count + 1) if at[i + count - 1][1] - at[i][0] < width][:1]
     return merged_ranges(found)
 
 

@@ -27,6 +27,10 @@ SCIENTIFIC = {
 MARINE = ("coast", "shore", "sea", "ocean", "marine", "maritime", "offshore", "bay", "gulf", "island", "beach", "fishing", "fisher", "aquaculture", "trawl", "cage", "port", "harbour", "harbor", "pier", "vessel", "ship", "boat", "breakwater", "navigation", "anchor", "mooring", "discharge", "reef", "depth", "seabed", "lagoon", "lighthouse")
 MARINE_TURKISH = ("kıyı", "sahil", "deniz", "körfez", "koy", "ada", "balık", "avcılık", "avcılığı", "yetiştiricilik", "kafes", "trol", "liman", "iskele", "tekne", "gemi", "dalgakıran", "rıhtım", "seyir", "demirleme", "deşarj", "lagün", "derinlik", "fener")
 BUILDING = ("building height", "floor height", "storey", "floor area", "plot ratio", "site coverage", "setback", "front yard", "rear yard", "side yard", "parcel", "zoning", "land use", "residential", "commercial", "construction", "foundation", "basement", "parking", "garage", "elevator")
+#: Building terms that count as whole words only; the SQL of t24 and t25 does not hold them.
+BUILDING_WORDS = ("story", "lot", "attic", "stairwell", "kat yüksekliği", "kat adedi", "bina yüksekliği", "bina derinliği", "bina cephesi", "bina gabarisi", "gabari", "asma kat", "ara kat", "bodrum kat", "zemin kat", "çatı katı", "teras katı", "çekme kat", "taban alanı", "inşaat alanı", "yapı alanı", "brüt alan", "emsal", "TAKS", "KAKS", "imar hakkı", "çekme mesafesi", "yapı yaklaşma", "ön bahçe", "yan bahçe", "arka bahçe", "komşu mesafe", "yol cephesi", "cephe hattı", "bina cephe", "parsel", "parsel sınır", "parsel hudut", "parsel köşe", "ifraz", "tevhid", "kadastro", "pencere", "kapı", "merdiven genişliği", "koridor genişliği", "oda yüksekliği", "tavan yüksekliği", "döşeme", "duvar kalınlığı", "balkon", "teras", "saçak", "parapet", "baca", "asansör", "otopark", "garaj", "sığınak", "kazan dairesi", "konut alanı", "ticaret alanı", "sanayi alanı", "yeşil alan", "imar planı", "imar durumu", "yapılaşma koşul", "temel", "kolon", "kiriş", "çatı", "cephe kaplama")
+#: Forms that speak of a building, whatever the language.
+BUILDING_PATTERNS = (r"\bkat\s+(?:yüksekliği|adedi|sayısı)\b", r"\bbina\s+(?:yüksekliği|derinliği|gabarisi)\b", r"\b(?:ön|yan|arka)\s+bahçe\b", r"\bçekme\s+mesafe", r"\bparsel\s+(?:sınır|hudut)", r"\b(?:TAKS|KAKS|emsal)\b", r"\byapı\s+(?:yaklaşma|ruhsat)", r"\b[0-9]+\s*(?:inci|nci|üncü|ncı)\s+kat\b", r"\bfloor\s+(?:height|area|ratio)\b", r"\bbuilding\s+(?:height|setback|coverage)\b", r"\b(?:front|rear|side)\s+yard\b", r"\bplot\s+(?:ratio|coverage|area)\b")
 OTHER_DOMAIN = ("neural network", "deep learning", "machine learning", "path planning", "motion planning", "robot", "autonomous vehicle", "object detection", "reinforcement learning", "learning rate", "loss function")
 LAW_REFERENCES = (r"(?i)(?:madde|mad\.)\s*[0-9]+", r"[0-9]+\s*sayılı\s*(?:Kanun|Yönetmelik|Tebliğ)", r"R\.?G\.?\s*[-:]\s*[0-9]+", r"[0-9]+[./][0-9]+[./][0-9]{4}\s*tarih", r"Article\s+[0-9]+", r"Section\s+[0-9]+", r"Regulation\s+(?:No\.?\s*)?[0-9]+", r"Law\s+No\.?\s*[0-9]+")
 BIGRAMS = (
@@ -147,27 +151,38 @@ def is_citation(text: Column) -> Column:
     return F.coalesce(inline | entry, F.lit(False))
 
 
+def building_terms(low: Column) -> Column:
+    """How often building terms stand in the (folded) text."""
+    words = "|".join(dict.fromkeys(fold_term(t) for t in BUILDING_WORDS))
+    return occurrences(low, BUILDING) + F.regexp_count(low, F.lit(rf"(?U)\b(?:{words})\b"))
+
+
 def marine_relevance(text: Column) -> Column:
     """Share of marine among marine and building terms; 0.5 where there are neither."""
-    counts = lambda low: F.struct(occurrences(low, MARINE + MARINE_TURKISH).alias("m"), occurrences(low, BUILDING).alias("b"))
+    counts = lambda low: F.struct(occurrences(low, MARINE + MARINE_TURKISH).alias("m"), building_terms(low).alias("b"))
     share = lambda c: F.when(c["m"] + c["b"] == 0, 0.5).otherwise(F.round(c["m"] / (c["m"] + c["b"]), 6))
     return F.when(text.isNull(), 0.5).otherwise(let(let(folded(text), counts), share))
 
 
 def false_positive(text: Column, match: Column) -> Column:
     """The reason why a match is no marine statement, or NULL: rules in order."""
-    low = folded(text)
-    m, b, o = occurrences(low, MARINE + MARINE_TURKISH), occurrences(low, BUILDING), occurrences(low, OTHER_DOMAIN)
+    forms = reduce(lambda a, b: a + b, [text.rlike(f"(?iuU){p}").cast("int") for p in BUILDING_PATTERNS])
+    counts = lambda low: F.struct(occurrences(low, MARINE + MARINE_TURKISH).alias("m"), building_terms(low).alias("b"), occurrences(low, OTHER_DOMAIN).alias("o"), forms.alias("p"))
     at = F.instr(text, match)
     near = F.substr(text, F.greatest(F.lit(1), at - 50), F.length(match) + 100)
     law = reduce(lambda a, b: a | b, [near.rlike(p) for p in LAW_REFERENCES])
-    return (
-        F.when(text.isNull() | (text == ""), "empty")
-        .when((o >= 2) & (m == 0), "other_domain")
-        .when((b >= 3) & (m == 0), "building")
-        .when((at > 0) & law, "law_reference")
-        .when((2 * b - 4 * m > 5) & (m == 0), "score")
-    )
+
+    def reason(c: Column) -> Column:
+        return (
+            F.when(text.isNull() | (text == ""), "empty")
+            .when((c["o"] >= 2) & (c["m"] == 0), "other_domain")
+            .when((c["b"] >= 3) & (c["m"] == 0), "building")
+            .when(c["p"] >= 2, "building_patterns")
+            .when((at > 0) & law, "law_reference")
+            .when((2 * c["b"] + 3 * c["p"] - 4 * c["m"] > 5) & (c["m"] == 0), "score")
+        )
+
+    return let(let(folded(text), counts), reason)
 
 
 def is_turkish(text: Column) -> Column:

@@ -1,20 +1,24 @@
 """Declarative extraction of typed facts from text.
 
 An extractor is a specification: a category, a pattern, fields read from the match, a least relevance and a base
-confidence. All extractors of a route run in one scan: the text is normalized once, each pattern gives an array of
-matches, and one explode turns them into rows. Relevance, false-positive reasons and confidence are computed on the
-sentence-like context around the match, and records are kept first per document, category and hash.
+confidence. Extractors with surveyed lists (:mod:`tidewright.operators.patterns`) scan a document with the patterns of its
+language in Arrow batches. The others run in one scan of expressions: the text is normalized once, each pattern gives an
+array of matches, and one explode turns them into rows. Records are kept first per document, category and hash.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
+from tidewright.operators import patterns
 
 W = r"[\p{L}’'-]+"
 NUM = r"[0-9]+(?:[.,][0-9]+)*"
@@ -22,7 +26,10 @@ NUM = r"[0-9]+(?:[.,][0-9]+)*"
 
 @dataclass(frozen=True)
 class ExtractorSpec:
-    """What one extractor looks for. ``fields`` maps names to patterns whose first group is read from the match."""
+    """What one extractor looks for. ``fields`` maps names to patterns whose first group is read from the match.
+
+    For a category in ``patterns.LISTS`` they come on top of the lists; those of conflict say all that its pattern does.
+    """
 
     category: str
     pattern: str
@@ -75,8 +82,42 @@ def extract(documents: DataFrame, categories: tuple[str, ...] = tuple(SPECS), id
 
     ``routed`` runs only the extractors of a document's type. NULL and empty texts and unknown types give no rows.
     """
-    d = documents.select(F.col(id_col), *([F.col("doc_type")] if routed else []), one_line(F.col(text_col)).alias("__t"))
-    specs = [SPECS[c] for c in categories]
+    kind = [F.col("doc_type")] if routed else []
+    d = documents.select(F.col(id_col), *kind, one_line(F.col(text_col)).alias("__t"))
+    specs = [SPECS[c] for c in categories if c not in patterns.LISTS]
+    listed = tuple(c for c in categories if c in patterns.LISTS)
+    found = _native(d, specs, id_col, routed) if specs else None
+    if listed:
+        spoken = documents.select(F.col(id_col), *kind, one_line(F.col(text_col)).alias("__t"), T.document_class(F.col(text_col)).endswith("turkish").alias("__turkish"))
+        scanned = _scanned(spoken, listed, id_col, routed)
+        found = found.unionByName(scanned) if specs else scanned
+    rows = found.withColumn("record_hash", F.substring(F.md5(F.concat_ws("|", "category", F.lower("exact_text"))), 1, 16))
+    keep = rows.groupBy(id_col, "category", "record_hash").agg(F.min_by(F.struct("position", "exact_text", "fields", "confidence"), "position").alias("r"), F.count(F.lit(1)).alias("n_mentions"))
+    return keep.select(id_col, "category", "record_hash", "r.*", "n_mentions")
+
+
+def _scanned(d: DataFrame, categories: tuple[str, ...], id_col: str, routed: bool) -> DataFrame:
+    """Matches of the surveyed lists: the patterns of each document's language."""
+    key = d.schema[id_col].dataType.simpleString()
+    more = {c: (re.compile(SPECS[c].pattern), {n: re.compile(p) for n, p in SPECS[c].fields.items()}) for c in categories if c != "conflict"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for n, t, turkish, kind in zip(b[id_col], b["__t"], b["__turkish"], b["doc_type"] if routed else [None] * len(b), strict=True):
+                mine = tuple(c for c in categories if c in ROUTES.get(kind, ())) if routed else categories
+                rows += [(n, *r) for r in patterns.scan(t or "", "turkish" if turkish else "english", mine, more)]
+            yield pd.DataFrame(rows, columns=[id_col, "category", "position", "exact_text", "fields"])
+
+    rows = d.mapInPandas(run, f"{id_col} {key}, category STRING, position INT, exact_text STRING, fields MAP<STRING, STRING>")
+    of = lambda value: F.element_at(F.create_map(*[x for c in categories for x in (F.lit(c), F.lit(getattr(SPECS[c], value)))]), F.col("category"))
+    filled = F.exists(F.map_values("fields"), lambda v: v.isNotNull())
+    confidence = F.round(of("base") + F.when(filled, of("bonus")).otherwise(0.0), 6)
+    return rows.withColumn("exact_text", F.regexp_replace("exact_text", r"[ .,;)]+$", "")).withColumn("confidence", confidence)
+
+
+def _native(d: DataFrame, specs: list[ExtractorSpec], id_col: str, routed: bool) -> DataFrame:
+    """Matches of single patterns, as expressions."""
     arrays = []
     for s in specs:
         found = F.regexp_extract_all("__t", F.lit(s.pattern), F.lit(0))
@@ -93,10 +134,7 @@ def extract(documents: DataFrame, categories: tuple[str, ...] = tuple(SPECS), id
         mine = F.col("category") == s.category
         filled = F.when(mine, values).otherwise(filled)
         confidence = F.when(mine, F.lit(s.base) + F.when(F.size(F.filter(F.map_values(values), lambda v: v.isNotNull())) > 0, s.bonus).otherwise(0.0)).otherwise(confidence)
-    rows = rows.withColumn("fields", filled).withColumn("confidence", F.round(confidence, 6))
-    rows = rows.withColumn("record_hash", F.substring(F.md5(F.concat_ws("|", "category", F.lower("exact_text"))), 1, 16))
-    keep = rows.groupBy(id_col, "category", "record_hash").agg(F.min_by(F.struct("position", "exact_text", "fields", "confidence"), "position").alias("r"), F.count(F.lit(1)).alias("n_mentions"))
-    return keep.select(id_col, "category", "record_hash", "r.*", "n_mentions")
+    return rows.withColumn("fields", filled).withColumn("confidence", F.round(confidence, 6))
 
 
 def _tagged(found: Column, category: str) -> Column:

@@ -4,6 +4,9 @@ An extractor is a specification: a category, a pattern, fields read from the mat
 confidence. Extractors with surveyed lists (:mod:`tidewright.operators.patterns`) scan a document with the patterns of its
 language in Arrow batches. The others run in one scan of expressions: the text is normalized once, each pattern gives an
 array of matches, and one explode turns them into rows. Records are kept first per document, category and hash.
+
+Nothing is computed on the sentence around a match: no false-positive reason, no skip of references or garble, no reject of
+a single extractor; relevance is that of the whole document.
 """
 
 from __future__ import annotations

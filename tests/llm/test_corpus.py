@@ -73,6 +73,31 @@ def test_leaks_against_brute_force(spark):
     assert want and len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def test_planted_runs_are_found_whatever_their_cosine(spark):
+    """Runs of twelve item words at random places of all documents: every one is found."""
+    rng = random.Random(11)
+    items = [(r["item_id"], r["text"]) for r in table(spark, DATA, "eval_items").collect()]
+    docs, planted = [], set()
+    for r in table(spark, DATA, "documents").where("text is not null").select("doc_id", "text").collect():
+        words, (item, text) = r["text"].split(" "), rng.choice(items)
+        own = text.split()
+        at, i = rng.randrange(len(words) + 1), rng.randrange(max(1, len(own) - 14))
+        if len(leakage.tokens(" ".join(own[i : i + 14]))) >= leakage.RUN:
+            planted.add((r["doc_id"], item))
+            docs.append((r["doc_id"], " ".join([*words[:at], *own[i : i + 14], *words[at:]])))
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), table(spark, DATA, "eval_items")).collect()}
+    assert len(planted) > 500 and planted <= got
+
+
+def test_items_in_lots(spark, monkeypatch):
+    """Many items are searched in several passes, with the same result."""
+    d, i = table(spark, DATA, "documents"), table(spark, DATA, "eval_items")
+    want = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, i).collect()}
+    monkeypatch.setattr(leakage, "ITEMS_A_PASS", 60)
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 37)
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(d, i).collect()} == want
+
+
 def test_leak_edges(spark):
     words = [f"w{i}" for i in range(60)]
     item = " ".join(words[:40])

@@ -4,11 +4,12 @@ Documents and items are cut into overlapping passages of ``WINDOW`` words. Their
 ``DIMS`` columns; passage counts over all documents) is reduced by a distributed randomised SVD, every passage of every
 document is projected and held against the item passages by cosine, and the pairs above ``COSINE`` are checked: a run
 of ``RUN`` equal words, or a passage whose longest common subsequence with the item has three quarters of its words.
+A run of equal words counts whatever its cosine: all runs of the items are looked up in every document.
 
-Sizes: items are a fixed set (refused beyond ``MOST_ITEMS``); the basis is DIMS x RANK numbers, fitted on a bounded
-sample of documents (``FIT_DOCUMENTS``) and all items; every document is searched whole, in one pass without a shuffle.
-A run of RUN words lies whole in some passage of the document, since passages start every STRIDE words and
-WINDOW >= RUN + STRIDE.
+Sizes: items are searched ``ITEMS_A_PASS`` at a time, each lot in one pass over the documents, so that what a task holds
+does not grow with their number; cosines are taken against ``ITEM_BLOCK`` item passages at once. The basis is DIMS x
+RANK numbers, fitted on a bounded sample of documents (``FIT_DOCUMENTS``) and of items (``FIT_ITEMS``); every document
+is searched whole, without a shuffle of texts.
 
 Defined results: NULL and empty texts leak nothing; an item of fewer than RUN words leaks as a passage only; repeated
 documents each report their items; repeated items each are reported; extra columns are ignored; empty tables give no
@@ -35,8 +36,8 @@ DIMS, RANK, BLOCK = 1 << 14, 64, 1 << 10
 #: Bounds of a word's weight: a few very frequent or very rare words must not decide a cosine by themselves.
 IDF = (1.0, 4.0)
 COSINE = 0.4
-FIT_DOCUMENTS = 4000
-MOST_ITEMS = 200_000
+FIT_DOCUMENTS, FIT_ITEMS = 4000, 4000
+ITEMS_A_PASS, ITEM_BLOCK = 20_000, 8192
 TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -179,8 +180,8 @@ class Items:
     owner: np.ndarray
     masks: list[dict[str, int]] = field(default_factory=list)
     runs: dict[tuple[str, ...], set[int]] = field(default_factory=dict)
-    firsts: np.ndarray | None = None
     vocabulary: frozenset[str] = frozenset()
+    columns: np.ndarray | None = None
     shortest: int = 0
 
     @classmethod
@@ -197,9 +198,43 @@ class Items:
             for i in range(len(w) - RUN + 1):
                 new.runs.setdefault(tuple(w[i : i + RUN]), set()).add(len(new.masks) - 1)
         new.vocabulary, new.shortest = frozenset(x for w in words for x in w), min(map(len, words))
-        new.firsts = np.searchsorted(which, np.arange(len(words)))
+        new.columns = np.zeros(DIMS, bool)
+        new.columns[c] = True
         return new
 
+    def nearest(self, rows: np.ndarray, texts: np.ndarray, least: float) -> dict[int, dict[int, float]]:
+        """By text, the items with a passage at least so close to one of the text's, with the best cosine; in blocks."""
+        keys, found = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+        for at in range(0, len(rows), 2048):
+            for low in range(0, len(self.vectors), ITEM_BLOCK):
+                close = rows[at : at + 2048] @ self.vectors[low : low + ITEM_BLOCK].T
+                i, j = np.nonzero(close >= least)
+                keys.append(texts[at + i] * len(self.words) + self.owner[low + j])
+                found.append(close[i, j])
+        key, value = np.concatenate(keys), np.concatenate(found)
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], value[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        best: dict[int, dict[int, float]] = {}
+        if len(first):
+            for k, x in zip(key[first].tolist(), np.maximum.reduceat(value, first).tolist(), strict=True):
+                best.setdefault(k // len(self.words), {})[k % len(self.words)] = x
+        return best
+
+    def runs_of(self, columns: np.ndarray, sizes: list[int], words: list[list[str]]) -> dict[int, set[int]]:
+        """The items whose runs each text of a batch holds; hashed columns tell where a run can start."""
+        found: dict[int, set[int]] = {}
+        total = np.concatenate([[0], np.cumsum(self.columns[columns])])
+        if len(total) <= RUN:
+            return found
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.flatnonzero(total[RUN:] - total[:-RUN] == RUN)
+        texts = np.searchsorted(edges, at, "right") - 1
+        for d, i in zip(texts.tolist(), (at - edges[texts]).tolist(), strict=True):
+            if i + RUN <= sizes[d] and (own := self.runs.get(tuple(words[d][i : i + RUN]))):
+                found.setdefault(d, set()).update(own)
+        return found
+
     def longest_common(self, k: int, words: list[str]) -> int:
         """Length of the longest common subsequence of item k and ``words``, bit-parallel."""
         n, mask = len(self.words[k]), self.masks[k]
@@ -234,21 +269,17 @@ class Items:
                 share = max(share, self.longest_common(k, words[s : s + long]) / size)
         return share
 
-    def check(self, candidates: list[int], words: list[str]) -> Iterator[tuple[int, int, float]]:
-        """(item, longest run, share in order) of the candidates that a document's words hold."""
+    def check(self, candidates: set[int], runs: set[int], words: list[str]) -> Iterator[tuple[int, int, float]]:
+        """(item, longest run, share in order) of the items that a document's words hold, of its candidates and runs."""
         flags = np.fromiter((w in self.vocabulary for w in words), bool, len(words))
         total = np.concatenate([[0], np.cumsum(flags)])
-        runs: set[int] = set()
-        if len(words) >= RUN:
-            for i in np.flatnonzero(total[RUN:] - total[:-RUN] == RUN):
-                runs |= self.runs.get(tuple(words[i : i + RUN]), set())
         # A passage that holds three quarters of any item has a stretch as long as the shortest item's that is as dense.
         long = min(len(words), int(self.shortest / SHARE) + 1)
         dense = (total[long:] - total[:-long]).max() >= SHARE * self.shortest * 0.9 if long else False
         if not runs and not dense:
             return
         have = set(words)
-        for k in candidates:
+        for k in sorted(candidates | runs):
             own = self.words[k]
             share = self.share_in_order(k, words) if sum(w in have for w in own) >= SHARE * len(own) else 0.0
             if k in runs or share >= SHARE:
@@ -257,18 +288,30 @@ class Items:
 
 def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE) -> DataFrame:
     """(id, item_id, cosine, longest_run, share_in_order) of every document and the items it holds."""
-    rows = [(r[0], r[1]) for r in items.where(F.col(item_id).isNotNull()).select(item_id, item_text).orderBy(item_id).limit(MOST_ITEMS + 1).collect() if tokens(r[1])]
-    if len(rows) > MOST_ITEMS:
-        raise ValueError(f"more than {MOST_ITEMS} items")
+    spark = documents.sparkSession
     slim = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
     schema = f"{id_col} {slim.schema[id_col].dataType.simpleString()}, item_id BIGINT, cosine DOUBLE, longest_run INT, share_in_order DOUBLE"
-    spark = documents.sparkSession
+    given = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("__id"), F.col(item_text).alias("__text"))
+    lots = -(-given.count() // ITEMS_A_PASS)
     counts, n = passage_counts(documents, id_col, text_col)
-    if not rows or not n:
+    if not lots or not n:
         return spark.createDataFrame([], schema)
     idf = np.log((n + 1) / (counts + 0.5)).clip(*IDF)
-    basis = latent_basis(documents, [t for _, t in rows], idf, id_col, text_col).astype(np.float32)
-    shared = spark.sparkContext.broadcast((basis, Items.of(rows, basis)))
+    fit = [r["__text"] for r in bounded_sample(given, "__id", FIT_ITEMS).collect() if tokens(r["__text"])]
+    basis = latent_basis(documents, fit, idf, id_col, text_col).astype(np.float32)
+    found = None
+    for lot in range(lots):
+        mine = given.where(F.pmod(F.xxhash64("__id"), F.lit(lots)) == lot).orderBy("__id", "__text")
+        rows = [(r[0], r[1]) for r in mine.collect() if tokens(r[1])]  # about ITEMS_A_PASS
+        if rows:
+            part = _search(slim, Items.of(rows, basis), basis, id_col, schema, cosine)
+            found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _search(slim: DataFrame, items: Items, basis: np.ndarray, id_col: str, schema: str, cosine: float) -> DataFrame:
+    """The leaks of one lot of items, which is broadcast with the basis."""
+    shared = slim.sparkSession.sparkContext.broadcast((basis, items))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vectors, own = shared.value
@@ -278,20 +321,22 @@ def leaks(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
             for first in range(0, len(b), 256):
                 part = b.iloc[first : first + 256]
                 words = [tokens(t) for t in part["__text"]]
-                which, low, high = passages(list(map(len, words)))
+                sizes = list(map(len, words))
+                which, low, high = passages(sizes)
                 if not len(which):
                     continue
-                rows_of = normed(summed(vectors[_columns(words, seen)], low, high)).astype(np.float32)
+                columns = _columns(words, seen)
+                rows_of = normed(summed(vectors[columns], low, high)).astype(np.float32)
                 keys = part[id_col].to_numpy()
-                best: dict[int, np.ndarray] = {}
-                for at in range(0, len(rows_of), 2048):
-                    cosines = rows_of[at : at + 2048] @ own.vectors.T
-                    for p in np.flatnonzero(cosines.max(1) >= cosine):
-                        d, top = int(which[at + p]), np.maximum.reduceat(cosines[p], own.firsts)
-                        best[d] = np.maximum(best[d], top) if d in best else top
-                for d, top in best.items():
-                    for k, run, share in own.check(np.flatnonzero(top >= cosine).tolist(), words[d]):
-                        out.append((keys[d], own.ids[k], float(top[k]), run, share))
+                best = own.nearest(rows_of, which, cosine)
+                runs = own.runs_of(columns, sizes, words)
+                for d in best.keys() | runs.keys():
+                    top = best.get(d, {})
+                    for k, run, share in own.check(set(top), runs.get(d, set()), words[d]):
+                        near = top.get(k)
+                        if near is None:
+                            near = (rows_of[which == d] @ own.vectors[own.owner == k].T).max()
+                        out.append((keys[d], own.ids[k], float(near), run, share))
             yield pd.DataFrame(out, columns=[id_col, "item_id", "cosine", "longest_run", "share_in_order"])
 
     found = spread(slim, id_col).mapInPandas(search, schema)

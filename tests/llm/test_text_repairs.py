@@ -112,6 +112,15 @@ def test_encoding_mixed_and_lost():
     assert restore(None) == (False, None, True) and restore("") == (False, "", True)
 
 
+def test_many_ambiguous_letters():
+    """A word may hold any number of characters that stand for several letters."""
+    v = Vocabulary({"ş" * 14: 5, "şişşşşşşşşşşşş" * 3: 5})
+    restore = encoding.Restorer(v).restore
+    assert restore("þ" * 14) == (True, "ş" * 14, True)
+    assert restore("þiþþþþþþþþþþþþ" * 3) == (True, "şişşşşşşşşşşşş" * 3, True)
+    assert restore("þ" * 2000)[0] is False
+
+
 def test_vocabulary(spark):
     df = spark.createDataFrame([(1, "Sea sea SEA lagoon multi-part"), (2, None), (3, "")], "id int, t string")
     counts = {r["word"]: r["n"] for r in word_counts(df, "t", "id").collect()}

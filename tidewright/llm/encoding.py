@@ -2,12 +2,14 @@
 
 For every pair of an encoding a text may have been written in and one it may have been read in, the sequence that
 each letter turns into is computed beforehand (also for the misreading applied twice). An Aho-Corasick automaton over
-all sequences finds the spans; only matched spans are replaced, so correct text around them stays as it is.
+all sequences, single characters and signs of loss included, finds the spans; only matched spans are replaced, so
+correct text around them stays as it is. A sequence that stands for several letters is read as the vocabulary has it.
 
 A sequence of two or more characters, a C1 control character and U+FFFD are garble wherever they stand. A sequence of
 one character that is also a letter or mark of real text counts only where the restored word is known and much more
-frequent than the word as it stands: the vocabulary is bounded (``tidewright.llm.vocabulary``). Lost letters ("?" or U+FFFD) are restored where
-exactly one known word fits.
+frequent than the word as it stands; the readings of all its characters are walked together with the sorted
+vocabulary, so that a word may hold any number of them. Lost letters ("?" or U+FFFD) are restored where exactly one
+known word fits.
 
 One pass over whole texts in Arrow batches after the word count of the reference texts; no text is shuffled.
 Defined results: NULL and empty texts are no cases; repeated rows give repeated results; an empty vocabulary leaves
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,12 +35,13 @@ from tidewright.sources.tables import spread
 #: Letters outside ASCII of Turkish, English, French, German and Spanish, Latin letters of foreign names, and the marks of printed text.
 LETTERS = "ıİşŞğĞçÇöÖüÜâÂîÎûÛáÁéÉíÍóÓúÚñÑàÀèÈìÌòÒùÙêÊôÔëËïÏÿŸäÄßœŒæÆøØåÅãÃõÕðÐþÞýÝ"
 MARKS = "“”‘’„–—…•«»°ºª€§·±²³µ¿¡†‡™©®\xa0"
-#: Encodings a text may have been written in, and those it may have been read in.
-WRITTEN = ("utf-8", "cp1254", "cp857", "cp1252", "cp850")
-READ = ("cp1252", "latin-1", "cp1254", "mac_roman", "cp850", "cp437", "cp857")
-SINGLE_READ = ("cp1252", "latin-1", "cp1254")
+#: Encodings a text may have been written and read in; all pairs are considered, in this order.
+WRITTEN = ("utf-8", "cp1254", "cp857", "cp1252", "cp850", "iso8859-9", "mac_roman", "mac_turkish", "cp437")
+READ = ("cp1252", "latin-1", "cp1254", "mac_roman", "cp850", "cp437", "cp857", "iso8859-9", "mac_turkish")
 C1 = re.compile("[\x80-\x9f]")
 TOKEN = re.compile(r"[^\s.,;:()“\[\]\"'«»–—/]+")
+LEFT, RIGHT = re.compile(r"[^\W\d_]*$"), re.compile(r"[^\W\d_]*")
+FLUSH = 200_000
 LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_?])|(?<=[^\W\d_])\?+(?=[^\W\d_])")
 ASKED = re.compile(r"\S*[^\W\d_]\S*\?\S*|\S*\?\S*[^\W\d_]\S*")
 
@@ -58,17 +62,17 @@ def _misread(char: str, written: str, read: str) -> str | None:
 
 
 @lru_cache(1)
-def garble_tables() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
-    """(sure, single): sequences of several characters or with a control, with what they stand for; and single ones."""
-    sure: dict[str, str] = {}
+def garble_tables() -> tuple[dict[str, tuple[str, ...]], dict[str, tuple[str, ...]]]:
+    """(sure, single): what sequences of several characters stand for, and single characters; in order of the pairs."""
+    sure: dict[str, list[str]] = {}
     single: dict[str, set[str]] = {}
     for written, read in itertools.product(WRITTEN, READ):
-        if written == read or (written != "utf-8" and read not in SINGLE_READ):
+        if written == read:
             continue
         once = {c: g for c in LETTERS + MARKS if (g := _misread(c, written, read)) not in (None, c)}
         for c, g in once.items():
             if len(g) > 1:
-                sure.setdefault(g, c)
+                sure.setdefault(g, []).append(c)
             elif C1.match(g) and c not in MARKS:
                 single.setdefault(g, set()).add(c)
             elif not g.isascii() and c in LETTERS:
@@ -77,8 +81,8 @@ def garble_tables() -> tuple[dict[str, str], dict[str, tuple[str, ...]]]:
             for c, g in once.items():
                 parts = [_misread(x, written, read) if not x.isascii() else x for x in g]
                 if None not in parts and (twice := "".join(parts)) != g:
-                    sure.setdefault(twice, c)
-    return sure, {g: tuple(sorted(c)) for g, c in single.items()}
+                    sure.setdefault(twice, []).append(c)
+    return {g: tuple(dict.fromkeys(c)) for g, c in sure.items()}, {g: tuple(sorted(c)) for g, c in single.items()}
 
 
 class Restorer:
@@ -89,12 +93,12 @@ class Restorer:
 
     def __init__(self, vocabulary: Vocabulary):
         self.known, self.spelling = vocabulary.n, vocabulary.spelling
-        sure, self.single = garble_tables()
+        self.ordered = sorted(self.known)
+        self.sure, self.single = garble_tables()
         self.automaton = ahocorasick.Automaton()
-        for g, c in sure.items():
-            self.automaton.add_word(g, (len(g), c))
+        for g in (*self.single, *self.sure, "�"):
+            self.automaton.add_word(g, g)
         self.automaton.make_automaton()
-        self.singles = re.compile("[" + re.escape("".join(self.single)) + "�]")
         self.by_shape: dict[tuple[int, str], list[str]] | None = None
         self.cache: dict[str, str | None] = {}
 
@@ -105,13 +109,15 @@ class Restorer:
         found = False
         if not text.isascii():
             spans = list(self.automaton.iter_long(text))
-            if spans:
+            if any(g in self.sure for _, g in spans):
                 found, out, last = True, [], 0
-                for end, (size, c) in spans:
-                    out += [text[last : end - size + 1], c]
-                    last = end + 1
+                for end, g in spans:
+                    if g in self.sure:
+                        out += [text[last : end - len(g) + 1], self._reading(text, end, g)]
+                        last = end + 1
                 text = "".join(out) + text[last:]
-            if self.singles.search(text):
+                spans = list(self.automaton.iter_long(text))
+            if spans:
                 text, one = self._words(text)
                 found = found or one
         if "?" in text:
@@ -120,15 +126,25 @@ class Restorer:
         clean = not found or not ("�" in text or C1.search(text) or LOST.search(text))
         return found, text, clean
 
+    def _reading(self, text: str, end: int, g: str) -> str:
+        """What a sequence stands for: of several letters the one that makes the more frequent word, else the first."""
+        options = self.sure[g]
+        if len(options) == 1:
+            return options[0]
+        left, right = LEFT.search(text, 0, end - len(g) + 1)[0], RIGHT.match(text, end + 1)[0]
+        return max(options, key=lambda c: (self.known.get(fold(left + c + right), 0), -options.index(c)))
+
     def _words(self, text: str) -> tuple[str, bool]:
         found = False
 
         def word(m: re.Match) -> str:
             nonlocal found
             w = m.group()
-            if not self.singles.search(w):
+            if w.isascii():
                 return w
             if w not in self.cache:
+                if len(self.cache) > FLUSH:
+                    self.cache.clear()
                 self.cache[w] = self._word(w)
             fixed = self.cache[w]
             if fixed is None:
@@ -140,6 +156,8 @@ class Restorer:
 
     def _word(self, w: str) -> str | None:
         """The word restored; itself if garbled beyond restoring; None if it is no case."""
+        if "�" not in w and not any(c in self.single for c in w):
+            return None
         sure = bool(C1.search(w)) or "�" in w
         core = w.rstrip("”’!?%")
         tail = w[len(core) :]
@@ -148,18 +166,34 @@ class Restorer:
             fits = self._fits(core, "�")
             return fits + tail if fits else w
         options = [self.single.get(c, ()) + ((c,) if not C1.match(c) else ()) if c in self.single else (c,) for c in core]
-        n = 1
-        for o in options:
-            n *= max(1, len(o))
-        if n <= 4096:
-            for candidate in itertools.product(*options):
-                x = "".join(candidate)
-                if x != core and self.known.get(fold(x), 0) > least:
-                    return x + tail
+        if core != core.upper():  # inside a word that is not in capitals, small letters come first
+            options = options[:1] + [tuple(sorted(o, key=str.isupper)) for o in options[1:]]
+        right = self._walk(options, core, least)
+        if right is not None:
+            return right + tail
         if not sure:
             return None
         return "".join(o[0] if o else c for o, c in zip(options, core, strict=True)) + tail
 
+    def _walk(self, options: list[tuple[str, ...]], core: str, least: int) -> str | None:
+        """The first known word but ``core`` that takes one option a place and is more frequent than ``least``.
+
+        Options and vocabulary are walked together: a start that no known word has is left at once, so the number of
+        readings does not matter.
+        """
+        stack = [(0, "", "")]
+        while stack:
+            at, word, low = stack.pop()
+            i = bisect_left(self.ordered, low)
+            if i == len(self.ordered) or not self.ordered[i].startswith(low):
+                continue
+            if at == len(options):
+                if word != core and self.known.get(low, 0) > least:
+                    return word
+                continue
+            stack += [(at + 1, word + c, low + fold(c)) for c in reversed(options[at])]
+        return None
+
     def _fits(self, w: str, mark: str) -> str | None:
         """``w`` with its lost letters put back, where exactly one known word fits."""
         if self.by_shape is None:
@@ -192,6 +226,8 @@ class Restorer:
             inner = LOST.search(core) is not None
             key = "?" + core
             if key not in self.cache:
+                if len(self.cache) > FLUSH:
+                    self.cache.clear()
                 self.cache[key] = self._fits(core, "?")
             fits = self.cache[key]
             if not inner and fits is None:

@@ -86,6 +86,35 @@ def test_cleaned_table(spark):
     assert scan_noise.cleaned(df.limit(0), "id", ("t",), VOCABULARY).count() == 0
 
 
+def test_misread_letters_outside_the_confusions(spark):
+    """One plain edit of a word is put right where the word is known beside its neighbours; unknown names stay."""
+    corpus = ["Vessels leave the harbour entrance by night.", "The harbour entrance is narrow.", "A new regulation applies to the survey of eels.", "This regulation applies to the survey of crabs."]
+    known = bounded_vocabulary(word_counts(spark.createDataFrame(list(enumerate(corpus)), "id int, t string"), "t", "id", pairs=True), 1)
+    c = scan_noise.Cleaner(known)
+    assert c.clean("the hxrbour entrance")[0] == "the harbour entrance"
+    assert c.clean("the regvlation applies to the surwey of")[0] == "the regulation applies to the survey of"
+    assert c.clean("the regulaton applies, the surrvey of")[0] == "the regulation applies, the survey of"
+    assert c.clean("Mr Hxrbour spoke")[3] == 0 and c.clean("a hxrbour")[3] == 0
+
+
+def test_running_titles(spark):
+    """A title that stands on three pages between different lines is furniture; in copies of one passage it is not."""
+    rows = [(i, "d1", i, f"vessels must keep\nCoastal Notes of the Lagoon\nat least {i} metres from harbour {i}", None) for i in range(4)]
+    rows += [(10 + i, "d2", i, "vessels must keep\nCoastal Notes\nat least metres", None) for i in range(4)]
+    rows += [(20, "d1", 9, "vessels\nLight House\nkeep", None), (21, None, 1, "A\nB", None), (22, "d1", None, "Coastal Notes of the Lagoon\nx", None), (23, "d1", 1, None, None)]
+    df = spark.createDataFrame(rows, "id int, document_id string, page int, t string, titles string")
+    got = {r["id"]: r["repaired"] for r in scan_noise.cleaned(df, "id", ("t",), VOCABULARY, document_col="document_id", page_col="page").collect()}
+    assert got == {i: f"vessels must keep at least {i} metres from harbour {i}" for i in range(4)} | {22: "x"}
+    assert scan_noise.cleaned(df.limit(0), "id", ("t",), VOCABULARY, document_col="document_id", page_col="page").count() == 0
+
+
+def test_page_break_inside_a_sentence(cleaner):
+    assert cleaner.clean("vessels must keep the har-\n\n— 12 —\n\nbour of the lagoon")[0] == "vessels must keep the harbour of the lagoon"
+    assert cleaner.clean("vessels must keep\n\nPage 3\n\nat least\n\nThe harbour")[0] == "vessels must keep at least\n\nThe harbour"
+    title = " ".join(["Annals of the Lagoon and Harbour Survey"] * 4)
+    assert cleaner.clean(f"vessels must keep\n{title}   12\nat least")[0] == "vessels must keep at least"
+
+
 @pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp850"), ("cp1254", "latin-1"), ("cp857", "latin-1"), ("cp1254", "cp1252")])
 def test_encoding_round_trip(written, read):
     restore = encoding.Restorer(VOCABULARY).restore
@@ -125,7 +154,11 @@ def test_vocabulary(spark):
     df = spark.createDataFrame([(1, "Sea sea SEA lagoon multi-part"), (2, None), (3, "")], "id int, t string")
     counts = {r["word"]: r["n"] for r in word_counts(df, "t", "id").collect()}
     assert counts == {"sea": 3, "lagoon": 1, "multi-part": 1}
-    assert set(bounded_vocabulary(word_counts(df, "t", "id"), 0.5).n) == {"sea"}
+    assert set(bounded_vocabulary(word_counts(df, "t", "id")).n) == {"sea"}
+    with_pairs = bounded_vocabulary(word_counts(df, "t", "id", pairs=True), 1)
+    assert with_pairs.evidence("sea", "sea") > 1.9 and with_pairs.evidence("sea", "lagoon") > 0.9 and with_pairs.evidence("lagoon", "sea") == 0.0
+    with pytest.raises(ValueError):
+        bounded_vocabulary(word_counts(df, "t", "id"), 1, most_words=2)
     assert bounded_vocabulary(word_counts(df.limit(0), "t", "id")).n == {}
     assert fold("ISPARTA") == fold("ısparta") == "isparta"
 

@@ -18,7 +18,7 @@ def _named(df: DataFrame, name: str, *columns: str) -> DataFrame:
 
 def _vocabulary(spark: SparkSession, sf: str, titles: bool = False) -> Vocabulary:
     """The bounded vocabulary of the documents, which carry neither scan noise nor wrong encodings."""
-    counts = word_counts(table(spark, sf, "documents"), "text", "doc_id")
+    counts = word_counts(table(spark, sf, "documents"), "text", "doc_id", pairs=not titles)
     if titles:
         more = word_counts(table(spark, sf, "validate_legal_reference"), "title", "id")
         counts = counts.unionByName(more).groupBy("word").agg(F.sum("n").alias("n"))
@@ -28,8 +28,8 @@ def _vocabulary(spark: SparkSession, sf: str, titles: bool = False) -> Vocabular
 def _scan_noise(spark: SparkSession, sf: str) -> DataFrame:
     known = _vocabulary(spark, sf)
     columns = ("field", "repaired", "n_furniture", "n_broken", "n_misread")
-    a = _named(scan_noise.cleaned(table(spark, sf, "extractions"), "id", ("exact_text", "context"), known), "extractions", *columns)
-    b = _named(scan_noise.cleaned(table(spark, sf, "validate_method"), "id", ("context",), known), "validate_method", *columns)
+    a = _named(scan_noise.cleaned(table(spark, sf, "extractions"), "id", ("exact_text", "context"), known, document_col="document_id", page_col="page_number"), "extractions", *columns)
+    b = _named(scan_noise.cleaned(table(spark, sf, "validate_method"), "id", ("context",), known, document_col="source_file", page_col="page_number"), "validate_method", *columns)
     return a.unionByName(b)
 
 

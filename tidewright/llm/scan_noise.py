@@ -5,12 +5,17 @@ with misread characters are replaced, and the lines are reflowed into paragraphs
 
 Misread words: a Levenshtein automaton whose error edges are the confusions of optical recognition (one or more
 characters read as others) is intersected with a trie of the vocabulary, which gives every vocabulary word within the
-allowed number of errors; the candidates are ranked by the number of errors, the words next to them, and frequency.
-Where a word holds characters that no word has and no confusion explains it, the plain Levenshtein automaton is
-intersected with the trie instead.
+allowed number of errors. Where no confusion explains an unknown word, the plain Levenshtein automaton is intersected
+with the trie instead; such a candidate counts where the word holds a character that no word has, or where it is known
+to stand beside the words that the unknown one stands beside. Candidates are ranked by the number of errors against
+how often they stand beside their neighbours, stand elsewhere in the text, and occur at all.
 
-The vocabulary is bounded (``tidewright.llm.vocabulary``) and broadcast; texts are read once, whole, in Arrow
-batches, and never shuffled. Verdicts on words are kept per task in a dictionary that is emptied when it is full.
+Page furniture: lines that have the form of a page number or of a title with one; and lines of the form of a title that
+stand on three pages or more of a document between different lines (:func:`running_titles`).
+
+The vocabulary is bounded (``tidewright.llm.vocabulary``) and broadcast, its trie is packed into three arrays and built
+once; texts are read once, whole, in Arrow batches, and only those with a line that may be a running title are
+shuffled, by their id. Verdicts on words are kept per worker in a dictionary that is emptied when it is full.
 
 Defined results: NULL stays NULL and is no case; an empty text stays empty; ties between candidates go to the more
 frequent, then the alphabetically first word; repeated rows give repeated results; extra columns are ignored; an empty
@@ -19,7 +24,10 @@ table gives no rows; without a vocabulary no character counts as misread.
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -49,28 +57,60 @@ SUSPECT = re.compile(r"[@†$|¨¸˘´`^~˙ﬁﬂ!+]|\d[^\W\d_]|[^\W\d_]\d")
 PLAIN = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{},;:/–—…]+")
 EDGE = ".!?'’‘-­¬•*_|"
+BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]+(?:-[^\W\d_]+)*),?\s+$")
+AFTER = re.compile(r",?\s+([^\W\d_]+(?:-[^\W\d_]+)*)")
 BREAK = re.compile(r"([^\W\d_][^\s\-­¬‐]*)([-­¬‐])[ \t\xa0]*\r?\n[ \t\xa0]*([^\W_][^\s]*)")
 HEADING = re.compile(r"(?:madde|annex|article|artikel|anhang|anexo|annexe|ek|table|tablo|tabelle|tabla|tableau|bölüm|section)[ \-.]?\s*\d+\.?", re.I)
 PAGE = re.compile(
     r"\W*(?:(?:sayfa|page|seite|página|pág|pag|syf|s|p)\.?\s*)\d{1,4}(?:\s*(?:/|of|von|de|sur)\s*\d{1,4})?\W*|[—–\-\[(|•·*]*\s*\d{1,4}\s*[—–\-\])|•·*]*|\d{1,4}\s*/\s*\d{1,4}",
     re.I,
 )
-TITLE = r"[^\W\d_][^\d|]{3,58}[^\W\d_]"
+TITLE = r"[^\W\d_][^\d|]{3,}[^\W\d_]"
 HEADER = re.compile(rf"\d{{1,4}}\s*(?:\s{{2,}}|\t|\|)\s*{TITLE}|{TITLE}\s*(?:\s{{2,}}|\t|\|)\s*\d{{1,4}}|{TITLE},?\s*\d{{1,3}}\s*\(\d{{1,4}}\)(?:,?\s*\d{{1,4}}\s*[–-]\s*\d{{1,4}})?")
 SMALL = frozenset("ve ile of the and de la le les du des der die das und für y el los las for in on".split())
 FLUSH = 200_000
+#: A line of title words only, as the engine's expressions see it: no digit, no mark at its end.
+TITLE_LINE = r"(?:^|\n)[ \t]*\p{Lu}[\p{L}’'-]*(?:[ \t]+(?:(?:ve|ile|of|the|and|de|la|le|les|du|des|der|die|das|und|für|y|el|los|las|for|in|on)|\p{Lu}[\p{L}’'-]*))*[ \t]*\r?(?:\n|$)"
+#: Pages of a document, and different lines after it, that make a repeated title a running header.
+PAGES = 3
+#: Ranking: what an error costs, in nats, and how often a pair of words has to be known to count.
+ERROR_COST, LEAST_PAIRS = 6.0, 1.5
 
 
 class Trie:
-    """Vocabulary words as nested dictionaries; the key "" holds a word's frequency."""
+    """Vocabulary words in preorder: the character, the end of the subtree and the frequency (0: no word) of each node."""
 
     def __init__(self, words: dict[str, int]):
-        self.root: dict = {}
-        for w, n in words.items():
-            node = self.root
-            for c in w:
-                node = node.setdefault(c, {})
-            node[""] = n
+        chars, self.end, self.n = ["\x00"], array("L", [0]), array("L", [0])
+        path, last = [0], ""
+        for w in sorted(words):
+            if not w:
+                continue
+            k = 0
+            while k < len(last) and k < len(w) and last[k] == w[k]:
+                k += 1
+            while len(path) > k + 1:
+                self.end[path.pop()] = len(chars)
+            for c in w[k:]:
+                path.append(len(chars))
+                chars.append(c)
+                self.end.append(0)
+                self.n.append(0)
+            self.n[path[-1]] = words[w]
+            last = w
+        while path:
+            self.end[path.pop()] = len(chars)
+        self.chars = "".join(chars)
+
+    def child(self, node: int, c: str) -> int:
+        """The child of a node by its character; 0 if there is none."""
+        at, end, chars = node + 1, self.end, self.chars
+        stop = end[node]
+        while at < stop:
+            if chars[at] == c:
+                return at
+            at = end[at]
+        return 0
 
     def confused(self, token: str, errors: int, confusions: tuple[tuple[str, str], ...]) -> list[tuple[int, int, str]]:
         """(errors, frequency, word) of all words that turn into ``token`` by up to ``errors`` confusions."""
@@ -78,55 +118,68 @@ class Trie:
         for seen, true in confusions:
             by_first.setdefault(seen[0], []).append((seen, true))
         best: dict[str, tuple[int, int]] = {}
-        stack = [(self.root, 0, 0, "")]
+        stack = [(0, 0, 0, "")]
         while stack:
             node, at, used, word = stack.pop()
             if at == len(token):
-                if "" in node and (word not in best or used < best[word][0]):
-                    best[word] = (used, node[""])
+                if self.n[node] and (word not in best or used < best[word][0]):
+                    best[word] = (used, self.n[node])
                 continue
             c = token[at]
-            if c in node:
-                stack.append((node[c], at + 1, used, word + c))
+            if down := self.child(node, c):
+                stack.append((down, at + 1, used, word + c))
             if used < errors:
                 for seen, true in by_first.get(c, ()):
                     if token.startswith(seen, at):
                         down = node
                         for x in true:
-                            down = down.get(x)
-                            if down is None:
+                            down = self.child(down, x)
+                            if not down:
                                 break
-                        if down is not None:
+                        if down:
                             stack.append((down, at + len(seen), used + 1, word + true))
         return [(e, n, w) for w, (e, n) in best.items()]
 
     def within(self, token: str, distance: int) -> list[tuple[int, int, str]]:
-        """(distance, frequency, word) of all words within a Levenshtein distance: the automaton's states are table rows."""
-        found = []
-        first = list(range(len(token) + 1))
-        stack = [(self.root, "", first)]
+        """(distance, frequency, word) of all words within a Levenshtein distance.
+
+        The automaton's states are rows of the distance table, of which only the band around the diagonal is kept.
+        """
+        found, size, far = [], len(token), distance + 1
+        stack = [(0, "", [min(i, far) for i in range(size + 1)])]
         while stack:
             node, word, row = stack.pop()
-            if "" in node and row[-1] <= distance:
-                found.append((row[-1], node[""], word))
-            for c, down in node.items():
-                if c:
-                    new = [row[0] + 1]
-                    for i, x in enumerate(token):
-                        new.append(min(new[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                    if min(new) <= distance:
-                        stack.append((down, word + c, new))
+            if self.n[node] and row[size] <= distance:
+                found.append((row[size], self.n[node], word))
+            depth = len(word) + 1
+            low, high = max(1, depth - distance), min(size, depth + distance)
+            down, stop = node + 1, self.end[node]
+            while down < stop:
+                c = self.chars[down]
+                new = [far] * (size + 1)
+                new[0] = best = min(depth, far)
+                for i in range(low, high + 1):
+                    x = row[i - 1] + (token[i - 1] != c)
+                    y = (row[i] if row[i] < new[i - 1] else new[i - 1]) + 1
+                    new[i] = x = x if x < y else y
+                    if x < best:
+                        best = x
+                if best <= distance:
+                    stack.append((down, word + c, new))
+                down = self.end[down]
         return found
 
 
 class Cleaner:
     """Finds and repairs scan noise of texts, given a bounded vocabulary of folded words with frequencies."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, vocabulary: Vocabulary, trie: Trie | None = None):
+        self.vocabulary = vocabulary
         self.known, self.spelling = vocabulary.n, vocabulary.spelling
         self.parts = {p for w in self.known for p in w.split("-")}
-        self.trie = Trie({w: n for w, n in self.known.items() if "-" not in w})
-        self.verdicts: dict[str, tuple[str, ...]] = {}
+        self.trie = trie or trie_of(vocabulary)
+        self.verdicts: dict[str, tuple[tuple[int, int, str], ...]] = {}
+        self.near: dict[str, tuple[tuple[int, int, str], ...]] = {}
 
     # -- words ---------------------------------------------------------------------------------------------------
     def _known(self, word: str) -> bool:
@@ -137,22 +190,29 @@ class Cleaner:
         parts = re.split(r"[-’'.%°º/&=+<>#*_]+", low)
         return all(p in self.known or not p or p.isdigit() or len(p) == 1 for p in parts)
 
-    def candidates(self, word: str) -> tuple[str, ...]:
-        """Vocabulary words that ``word`` may be a misreading of, best first; none for words that may be right."""
-        low = fold(word)
-        got = self.verdicts.get(low)
+    def candidates(self, word: str) -> tuple[tuple[int, int, str], ...]:
+        """(errors, frequency, word) of the vocabulary that ``word`` may be a misreading of by its characters alone."""
+        return self._kept(self.verdicts, fold(word), self._candidates)
+
+    def neighbours(self, word: str) -> tuple[tuple[int, int, str], ...]:
+        """(distance, frequency, word) of the vocabulary within the plain distance of an unknown word."""
+        return self._kept(self.near, fold(word), lambda w: self.trie.within(w, 1 if len(w) < 9 else 2))
+
+    @staticmethod
+    def _kept(kept: dict, low: str, find) -> tuple[tuple[int, int, str], ...]:
+        got = kept.get(low)
         if got is None:
-            if len(self.verdicts) > FLUSH:
-                self.verdicts.clear()
-            got = self.verdicts[low] = self._candidates(low)
+            if len(kept) > FLUSH:
+                kept.clear()
+            got = kept[low] = tuple(sorted(find(low), key=lambda x: (x[0], -x[1], x[2])))
         return got
 
-    def _candidates(self, low: str) -> tuple[str, ...]:
+    def _candidates(self, low: str) -> list[tuple[int, int, str]]:
         if self._known(low):
-            return ()
+            return []
         letters = sum(map(str.isalpha, low))
         if not letters:
-            return ()
+            return []
         stem, tail = low, ""
         for cut in ("’", "'"):
             if cut in low:
@@ -161,14 +221,14 @@ class Cleaner:
                     stem, tail = tail, ""
         alien = bool(ALIEN.search(stem))
         if len(stem) < 3 and not alien:
-            return ()
+            return []
         errors = 1 if len(stem) < 4 else 2 if len(stem) < 9 else 3
         found = self.trie.confused(stem, errors, STRONG)
         if not found and (alien or len(stem) > 5):
             found = [x for x in self.trie.confused(stem, min(errors, 2), CONFUSIONS) if alien or x[0] == 1 or len(stem) > 8]
         if not found and alien and letters >= 3 and letters > len(stem) // 2:
             found = self.trie.within(stem, 1 if len(stem) < 6 else 2)
-        return tuple(w for _, _, w in sorted(found, key=lambda x: (x[0], -x[1], x[2])))
+        return found
 
     def number(self, word: str) -> str | None:
         """A number with letters read for digits, put right."""
@@ -191,10 +251,10 @@ class Cleaner:
                 continue
             right = self.number(word)
             if right is None:
-                best = self.candidates(word)
-                if not best:
+                best = self._ranked(word, text, m)
+                if best is None:
                     continue
-                right = _cased(word, self.spelling.get(x := self._ranked(best, text, m.start()), x))
+                right = _cased(word, self.spelling.get(best, best))
             if right == word:
                 continue
             n += 1
@@ -210,20 +270,48 @@ class Cleaner:
         end = min((i for i in (text.find(" ", m.end()), text.find("\n", m.end())) if i >= 0), default=len(text))
         return FOREIGN.search(text, start, end) is not None
 
-    def _ranked(self, words: tuple[str, ...], text: str, at: int) -> str:
-        """The candidate that also stands elsewhere in the context, else the first."""
-        if len(words) > 1:
-            around = set(map(fold, TOKEN.findall(text[max(0, at - 300) : at + 300])))
-            for w in words:
-                if w in around:
-                    return w
-        return words[0]
+    def _ranked(self, word: str, text: str, m: re.Match) -> str | None:
+        """The vocabulary word that a token most likely stands for, or None."""
+        found = self.candidates(word)
+        if len(found) == 1:
+            return found[0][2]
+        sure = bool(found)
+        if not sure:
+            # Letters alone: a name or a rare word, unless a near word is known to stand just here.
+            if not word.isalpha() or len(word) < 4 or not (found := self.neighbours(word)):
+                return None
+        left, right = self._beside(text, m)
+        around: set[str] | None = None
+        best: tuple[float, int, int, str] | None = None
+        for errors, n, w in found:
+            a, b = self.vocabulary.evidence(left, w), self.vocabulary.evidence(w, right)
+            if not sure and (min(a, b) if word[0].isupper() else max(a, b)) < LEAST_PAIRS:
+                continue
+            if around is None:
+                around = set(map(fold, TOKEN.findall(text)))
+            score = ERROR_COST * errors - math.log1p(a) - math.log1p(b) - 0.5 * math.log1p(n) - 3.0 * (w in around)
+            if best is None or (score, errors, -n, w) < best:
+                best = (score, errors, -n, w)
+        return best[3] if best else None
+
+    @staticmethod
+    def _beside(text: str, m: re.Match) -> tuple[str | None, str | None]:
+        """The folded words before and after a token, where only white space or a comma parts them."""
+        a, b = BEFORE.search(text, max(0, m.start() - 80), m.start()), AFTER.match(text, m.end())
+        return fold(a[1]) if a else None, fold(b[1]) if b else None
 
     # -- lines ---------------------------------------------------------------------------------------------------
-    def is_furniture(self, lines: list[str], i: int, uneven: bool) -> bool:
-        """Whether a line is a running header or page number. ``uneven``: the text's white space was tampered with."""
+    def is_furniture(self, lines: list[str], i: int, uneven: bool, titles: frozenset[str] = frozenset()) -> bool:
+        """Whether a line is a running header or page number.
+
+        ``uneven``: the text's white space was tampered with; ``titles``: the running titles of its document.
+        """
         line = lines[i].strip()
-        if not line or len(line) > 72 or HEADING.fullmatch(line):
+        if not line or HEADING.fullmatch(line):
+            return False
+        if line in titles:
+            return True
+        if not any(map(str.isdigit, line)):
             return False
         if line.isdigit():
             beside = max((len(lines[j]) for j in (i - 1, i + 1) if 0 <= j < len(lines)), default=0)
@@ -249,7 +337,7 @@ class Cleaner:
             return False
         return not (a in self.known and b in self.known and len(a) > 2 and len(b) > 2)
 
-    def clean(self, text: str | None) -> tuple[str | None, int, int, int]:
+    def clean(self, text: str | None, titles: frozenset[str] = frozenset()) -> tuple[str | None, int, int, int]:
         """(repaired text, furniture lines, broken words, misread words)."""
         if not text:
             return text, 0, 0, 0
@@ -258,10 +346,10 @@ class Cleaner:
             lines = re.split(r"\r?\n", text)
             if len([x for x in lines if x.strip()]) > 1:
                 uneven = re.search(r"\t|\xa0|\S {2}(?! )\S", text) is not None
-                keep = [x for i, x in enumerate(lines) if not (any(map(str.isdigit, x)) and self.is_furniture(lines, i, uneven))]
-                furniture = len(lines) - len(keep)
+                out = [i for i in range(len(lines)) if self.is_furniture(lines, i, uneven, titles)]
+                furniture = len(out)
             if furniture:
-                text = "\n".join(keep)
+                text = without(lines, set(out))
 
             def join(m: re.Match) -> str:
                 nonlocal broken
@@ -280,6 +368,28 @@ class Cleaner:
         return reflow(text), furniture, broken, misread
 
 
+def without(lines: list[str], out: set[int]) -> str:
+    """The other lines; a sentence or word that the page furniture stood in goes on without a blank line."""
+    keep: list[str] = []
+    gone = False
+    for i, line in enumerate(lines):
+        if i in out:
+            gone = True
+        elif not gone:
+            keep.append(line)
+        elif line.strip():
+            before = len(keep)
+            while before and not keep[before - 1].strip():
+                before -= 1
+            if before and not re.search(r"[.!?:;…][”’\"')»]*\s*$", keep[before - 1]) and line.lstrip()[:1].islower():
+                del keep[before:]
+            elif i - 1 not in out and keep and keep[-1].strip():
+                keep.append("")
+            keep.append(line)
+            gone = False
+    return "\n".join(keep)
+
+
 def reflow(text: str) -> str:
     """Lines joined into paragraphs; blank lines part them, and headings of articles, annexes and tables keep their line."""
     if "\n" not in text:
@@ -304,21 +414,93 @@ def _cased(word: str, right: str) -> str:
     return right[:1].upper() + right[1:] if letters and word[0].isupper() else right
 
 
-def cleaned(df: DataFrame, id_col: str, fields: tuple[str, ...], vocabulary: Vocabulary, only_found: bool = True) -> DataFrame:
-    """(id, field, repaired, n_furniture, n_broken, n_misread): one row per noisy field of each record, or per field."""
-    known = df.sparkSession.sparkContext.broadcast(vocabulary)
+def trie_of(vocabulary: Vocabulary) -> Trie:
+    """The trie of the vocabulary's words but compounds."""
+    return Trie({w: n for w, n in vocabulary.n.items() if "-" not in w})
+
+
+#: The last cleaner of a worker process, by the vocabulary it was made for.
+_CLEANERS: dict[str, Cleaner] = {}
+
+
+def share(spark, vocabulary: Vocabulary):
+    """What the workers need, to be broadcast once: a key, the vocabulary and its trie."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, vocabulary, trie_of(vocabulary)))
+
+
+def _cleaner(shared) -> Cleaner:
+    key, vocabulary, trie = shared.value
+    if key not in _CLEANERS:
+        _CLEANERS.clear()
+        _CLEANERS[key] = Cleaner(vocabulary, trie)
+    return _CLEANERS[key]
+
+
+def running_titles(df: DataFrame, id_col: str, fields: tuple[str, ...], document_col: str, page_col: str) -> DataFrame:
+    """(id, titles): the lines of each record that run through its document.
+
+    Such a line has the form of a title and stands on ``PAGES`` pages or more of the document, before as many different
+    lines; copies of a passage therefore make none. A NULL page counts for none, and a NULL document has no titles. Only texts with a line of that form are read and only such lines
+    are shuffled; they are counted after a map-side combine, so that a document may hold any share of the rows.
+    """
+    has = F.lit(False)
+    for f in fields:
+        has = has | F.coalesce(F.col(f).rlike(TITLE_LINE) & F.contains(F.col(f), F.lit("\n")), F.lit(False))
+    key = df.schema[id_col].dataType.simpleString()
+    slim = df.where(has).select(F.col(id_col).alias("id"), F.col(document_col).cast("string").alias("d"), F.col(page_col).cast("string").alias("p"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i in range(len(fields)):
+                for k, d, p, t in zip(b["id"], b["d"], b["p"], b[f"f{i}"], strict=True):
+                    if isinstance(t, str) and "\n" in t:
+                        rows = [x.strip() for x in t.splitlines() if x.strip()]
+                        out += [(k, d, p, x, (rows[j + 1] if j + 1 < len(rows) else rows[j - 1])[:40]) for j, x in enumerate(rows) if is_title(x)]
+            yield pd.DataFrame(out, columns=["id", "d", "p", "line", "next"])
+
+    seen = slim.mapInPandas(lines, f"id {key}, d STRING, p STRING, line STRING, next STRING")
+    pages = seen.where("p is not null").select("d", "line", "p").distinct().groupBy("d", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    beside = seen.select("d", "line", "next").distinct().groupBy("d", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
+    running = pages.select("d", "line").join(beside.select("d", "line"), ["d", "line"])
+    return seen.join(running, ["d", "line"]).groupBy("id").agg(F.collect_set("line").alias("titles"))
+
+
+def is_title(line: str) -> bool:
+    """Whether a line is made of capitalised and small words only, without digits and marks at its end."""
+    words = line.split()
+    return 0 < len(words) < 12 and line[0].isupper() and line[-1].isalpha() and all(w[0].isupper() and w.replace("-", "").replace("’", "").replace("'", "").isalpha() or w in SMALL for w in words)
+
+
+def cleaned(df: DataFrame, id_col: str, fields: tuple[str, ...], vocabulary: Vocabulary, only_found: bool = True, document_col: str | None = None, page_col: str | None = None) -> DataFrame:
+    """(id, field, repaired, n_furniture, n_broken, n_misread): one row per noisy field of each record, or per field.
+
+    Running titles are looked for where the columns of the document and the page are given.
+    """
+    shared = share(df.sparkSession, vocabulary)
     slim = df.select(F.col(id_col).alias("__id"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
     key = slim.schema["__id"].dataType.simpleString()
+    none = F.lit(None).cast("array<string>")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Cleaner(known.value)
+        c = _cleaner(shared)
         for b in batches:
             rows = []
+            titles = [frozenset() if x is None else frozenset(x) for x in b["titles"]]
             for i, name in enumerate(fields):
-                for k, t in zip(b["__id"], b[f"f{i}"], strict=True):
-                    got = c.clean(t)
+                for k, t, own in zip(b["__id"], b[f"f{i}"], titles, strict=True):
+                    got = c.clean(t, own)
                     if not only_found or got[1] or got[2] or got[3]:
                         rows.append((k, name, *got))
             yield pd.DataFrame(rows, columns=["id", "field", "repaired", "n_furniture", "n_broken", "n_misread"])
 
-    return spread(slim, "__id").mapInPandas(run, f"id {key}, field STRING, repaired STRING, n_furniture INT, n_broken INT, n_misread INT")
+    schema = f"id {key}, field STRING, repaired STRING, n_furniture INT, n_broken INT, n_misread INT"
+    if document_col is None or page_col is None:
+        return spread(slim.withColumn("titles", none), "__id").mapInPandas(run, schema)
+    has = F.lit(False)
+    for i in range(len(fields)):
+        has = has | F.coalesce(F.col(f"f{i}").rlike(TITLE_LINE) & F.contains(F.col(f"f{i}"), F.lit("\n")), F.lit(False))
+    titles = running_titles(df, id_col, fields, document_col, page_col).withColumnRenamed("id", "__id")
+    some = slim.where(has).join(titles.hint("shuffle_hash"), "__id", "left")
+    rest = slim.where(~has).withColumn("titles", none)
+    return spread(rest, "__id").mapInPandas(run, schema).unionByName(some.mapInPandas(run, schema))

@@ -29,12 +29,14 @@ import re
 import uuid
 from array import array
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.vocabulary import Vocabulary, fold
+from tidewright.operators.skew import cut
 from tidewright.sources.tables import spread
 
 #: What optical recognition reads (left) for what was printed (right), fixed values. Folded letters.
@@ -443,9 +445,7 @@ def running_titles(df: DataFrame, id_col: str, fields: tuple[str, ...], document
     lines; copies of a passage therefore make none. A NULL page counts for none, and a NULL document has no titles. Only texts with a line of that form are read and only such lines
     are shuffled; they are counted after a map-side combine, so that a document may hold any share of the rows.
     """
-    has = F.lit(False)
-    for f in fields:
-        has = has | F.coalesce(F.col(f).rlike(TITLE_LINE) & F.contains(F.col(f), F.lit("\n")), F.lit(False))
+    has = may_hold_titles(fields)
     key = df.schema[id_col].dataType.simpleString()
     slim = df.where(has).select(F.col(id_col).alias("id"), F.col(document_col).cast("string").alias("d"), F.col(page_col).cast("string").alias("p"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)])
 
@@ -459,13 +459,18 @@ def running_titles(df: DataFrame, id_col: str, fields: tuple[str, ...], document
                         out += [(k, d, p, x, (rows[j + 1] if j + 1 < len(rows) else rows[j - 1])[:40]) for j, x in enumerate(rows) if is_title(x)]
             yield pd.DataFrame(out, columns=["id", "d", "p", "line", "next"])
 
-    seen = slim.mapInPandas(lines, f"id {key}, d STRING, p STRING, line STRING, next STRING")
+    seen = cut(slim.mapInPandas(lines, f"id {key}, d STRING, p STRING, line STRING, next STRING"))
     pages = seen.where("p is not null").select("d", "line", "p").distinct().groupBy("d", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
     beside = seen.select("d", "line", "next").distinct().groupBy("d", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
     running = pages.select("d", "line").join(beside.select("d", "line"), ["d", "line"])
     return seen.join(running, ["d", "line"]).groupBy("id").agg(F.collect_set("line").alias("titles"))
 
 
+def may_hold_titles(fields: tuple[str, ...]) -> Column:
+    """Whether any of the texts has several lines and one of them the form of a title."""
+    return reduce(lambda a, b: a | b, [F.coalesce(F.contains(F.col(f), F.lit("\n")) & F.col(f).rlike(TITLE_LINE), F.lit(False)) for f in fields])
+
+
 def is_title(line: str) -> bool:
     """Whether a line is made of capitalised and small words only, without digits and marks at its end."""
     words = line.split()
@@ -497,9 +502,7 @@ def cleaned(df: DataFrame, id_col: str, fields: tuple[str, ...], vocabulary: Voc
     schema = f"id {key}, field STRING, repaired STRING, n_furniture INT, n_broken INT, n_misread INT"
     if document_col is None or page_col is None:
         return spread(slim.withColumn("titles", none), "__id").mapInPandas(run, schema)
-    has = F.lit(False)
-    for i in range(len(fields)):
-        has = has | F.coalesce(F.col(f"f{i}").rlike(TITLE_LINE) & F.contains(F.col(f"f{i}"), F.lit("\n")), F.lit(False))
+    has = may_hold_titles(tuple(f"f{i}" for i in range(len(fields))))
     titles = running_titles(df, id_col, fields, document_col, page_col).withColumnRenamed("id", "__id")
     some = slim.where(has).join(titles.hint("shuffle_hash"), "__id", "left")
     rest = slim.where(~has).withColumn("titles", none)

@@ -181,6 +181,10 @@ PROSE = "The buffer around the harbour was widened to 200 m. Nobody objected to
         ("\n".join(f"{i:032x}" for i in range(10, 30)), "junk"),
         (" | ".join("Home Archive Print Contact Login".split() * 8), "junk"),
         ("........ 12\n________ 14\n~~~~~~~~ 19", "junk"),
+        (" | ".join("Accueil Nous Écrire Panier Boutique".split() * 8), "junk"),
+        ("\n".join("Kahvaltı Öğle Akşam".split() * 9), "junk"),
+        ("\n\n".join([PROSE] * 6), "junk"),
+        ("buy it now " * 40 + "and good.", "junk"),
         (PROSE.upper(), None),
         (PROSE + "\n\n- A thing\n- Other", None),
         ("", None),
@@ -198,4 +202,4 @@ def test_statistics(spark):
     rows = {r["doc_id"]: r for r in quality.text_statistics(docs, common).collect()}
     assert rows[1]["n_words"] == 8 and rows[1]["common_word_share"] == 0.5 and rows[1]["duplicate_line_share"] == 0.5 and rows[1]["lines_ending_in_punctuation"] == 1.0
     assert rows[2]["n_words"] == 0 and rows[2]["kind"] is None and rows[3]["top_ngram_coverage"] == 0.0
-    assert quality.not_prose(docs.limit(0)).count() == 0
+    assert quality.not_prose(docs.limit(0), common).count() == 0

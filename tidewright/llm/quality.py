@@ -2,8 +2,10 @@
 
 Beside counts of words, symbols, lines and common words, repetition statistics are taken: duplicate line and paragraph
 shares and the share of characters covered by the most frequent word n-gram (n = 1 to 4). Blocks (paragraphs) are
-told apart as prose, list, table or junk by combined rules over their lines, and a document whose characters are for
-the larger part not prose takes the kind with most characters.
+told apart as prose, list, table or junk by combined rules over their lines and their own repetition (repeated lines,
+repeated cells of lines, n-gram coverage against the share of different words), paragraphs that repeat an earlier one
+count as junk where they are most of the text, and a document is junk as a whole if its lines or one n-gram repeat over
+most of it. Otherwise a document whose characters are for the larger part not prose takes the kind with most characters.
 
 All is one pass over whole texts in Arrow batches, without a shuffle. The common words (a fixed table of a few
 hundred rows) are broadcast; their number is checked against ``MOST_COMMON_WORDS``.
@@ -35,14 +37,14 @@ NUMBER = re.compile(r"(?:\d+(?:[.,]\d+)*\s*%?|NA|N/A|-|–|-{3,}|n|N|%|km|CPUE)"
 HEX = re.compile(r"(?:[0-9a-f]{16,}\s*)+", re.I)
 LEADER = re.compile(r"(.)\1{3,}\s*\d*\s*")
 VOWELS = frozenset("aeiouyäöüâîûàáãåæèéêëìíïòóôõøùúıœAEIOUYÄÖÜÂÎÛÀÁÃÅÆÈÉÊËÌÍÏÒÓÔÕØÙÚIİŒ")
-#: Labels of page navigation, fixed values.
-NAVIGATION = frozenset(
-    "home archive print contact login log in share cookies sign up search next back menu sitemap help register "
-    "ana sayfa üye ol arşiv yazdır giriş iletişim çerezler paylaş ara sonraki geri "
-    "accueil archives imprimer connexion partager recherche aide suivant retour s inscrire "
-    "startseite archiv drucken kontakt anmelden teilen suche hilfe weiter zurück "
-    "inicio archivo imprimir contacto acceder compartir buscar ayuda siguiente volver iniciar sesión entrar".split()
-)
+#: Marks that part the labels of a menu or the cells of a row.
+CELL = re.compile(r"\s*[|»«·•>]\s*|\s+-\s+|\t+|\n")
+#: Repetition: shares of characters beyond which a block or text is no prose, list or table.
+REPEATED, COVERED = 0.5, 0.5
+#: N-grams tell only of texts without many different lines, as the entries of a list share words.
+FEW_LINES, PARTLY_REPEATED = 3, 0.3
+#: A block whose commonest word covers this much and that has at most this share of different words repeats a few labels.
+LABEL_COVER, LABEL_WORDS = 0.12, 0.3
 
 STATS = (
     "n_words BIGINT, mean_word_length DOUBLE, symbol_ratio DOUBLE, lines_ending_in_punctuation DOUBLE, common_word_share DOUBLE, "
@@ -57,19 +59,35 @@ def _duplicates(parts: list[str]) -> float:
     return 1 - sum(map(len, set(parts))) / total if total else 0.0
 
 
-def _coverage(words: list[str]) -> float:
-    """Largest share of word characters that one n-gram (n = 1 to 4) occurring twice or more covers."""
+def _coverage(words: list[str], least: float = 0.0) -> float:
+    """Largest share of word characters that one n-gram (n = 1 to 4) occurring twice or more covers.
+
+    An n-gram covers at most n times what its most frequent word covers; where that stays below ``least``, longer
+    n-grams are not counted, and the value is only known to be below it.
+    """
     total = sum(map(len, words))
     best = 0.0
     for n in (1, 2, 3, 4):
-        if len(words) < 2 * n or not total:
+        if len(words) < 2 * n or not total or n == 2 and 4 * best < least:
             break
-        grams = Counter(zip(*[words[i:] for i in range(n)], strict=False)) if n > 1 else Counter((w,) for w in words)
-        covered = max((times * sum(map(len, gram)) for gram, times in grams.items() if times > 1), default=0)
+        grams = Counter(zip(*[words[i:] for i in range(n)], strict=False)) if n > 1 else Counter(words)
+        covered = max((times * (sum(map(len, gram)) if n > 1 else len(gram)) for gram, times in grams.items() if times > 1), default=0)
         best = max(best, min(1.0, covered / total))
     return best
 
 
+def _repeats(block: str, lines: list[str], words: list[str]) -> bool:
+    """Whether a block only says a few labels over and over."""
+    if _duplicates(lines) > REPEATED:
+        return True
+    cells = [c for x in lines for c in CELL.split(x) if c and not NUMBER.fullmatch(c)]
+    if len(cells) > 7 and _duplicates(cells) > REPEATED and sum(map(len, cells)) > 0.6 * len(block) and not _is_table(lines):
+        return True
+    if len(words) < 8 or SENTENCE_END.search(block) or len(lines) > FEW_LINES and _duplicates(lines) < PARTLY_REPEATED:
+        return False
+    return _coverage(words, COVERED) > COVERED or len(set(words)) < LABEL_WORDS * len(words) and _coverage(words, 4.0) > LABEL_COVER
+
+
 def _is_junk(block: str, lines: list[str]) -> bool:
     dense = "".join(block.split())
     words = LETTERS.findall(block)
@@ -84,11 +102,6 @@ def _is_junk(block: str, lines: list[str]) -> bool:
         odd = sum(len(w) for w in words if len(w) > 3 and sum(c in VOWELS for c in w) < 0.2 * len(w))
         if odd > 0.5 * letters:
             return True
-        few = Counter(w.lower() for w in words)
-        if len(few) <= max(2, 0.05 * len(words)) and _duplicates([x.strip() for x in lines]) + (len(lines) < 3) > 0.5:
-            return True
-        if len(few) < 0.4 * len(words) and sum(n for w, n in few.items() if w in NAVIGATION) > 0.6 * len(words):
-            return True
     return False
 
 
@@ -122,59 +135,91 @@ def _is_list(lines: list[str]) -> bool:
 
 
 def _is_plain(block: str, lines: list[str]) -> bool:
-    """Prose at a glance: it ends a sentence, is spaced like words, and does not start like an entry."""
-    return bool(SENTENCE_END.search(lines[-1], max(0, len(lines[-1]) - 24))) and block.count(" ") + len(lines) > 0.08 * len(block) and not BULLET.match(lines[0]) and "|" not in block and "\t" not in block
+    """Prose at a glance: most of its lines' ends or its last line end a sentence, it is spaced like words, mostly
+    letters, and does not start like an entry."""
+    return (
+        bool(SENTENCE_END.search(lines[-1], max(0, len(lines[-1]) - 24)))
+        and block.count(" ") + len(lines) > 0.08 * len(block)
+        and not BULLET.match(lines[0])
+        and "|" not in block
+        and "\t" not in block
+        and sum(map(len, LETTERS.findall(block))) > 0.6 * len(block)
+    )
 
 
-def block_kinds(text: str) -> list[tuple[str, int]]:
-    """(kind, characters) of every block; an introducing line that ends in a colon counts as prose of its own."""
+def block_kinds(text: str) -> list[tuple[str, int, str]]:
+    """(kind, characters, block) of every block; an introducing line that ends in a colon counts as prose of its own."""
     kinds = []
     for block in re.split(r"\n\s*\n", text):
         lines = [x for x in block.split("\n") if x.strip()]
         if not lines:
             continue
         if len(lines) > 1 and lines[0].rstrip().endswith(":") and len(lines[0].split()) > 3:
-            kinds.append(("prose", len(lines[0])))
+            kinds.append(("prose", len(lines[0]), lines[0]))
             lines = lines[1:]
         size = sum(map(len, lines))
-        if _is_plain(block, lines):
-            kinds.append(("prose", size))
-            continue
-        kind = "junk" if _is_junk("\n".join(lines), lines) else "table" if _is_table(lines) else "list" if _is_list(lines) else "prose"
-        kinds.append((kind, size))
+        body = "\n".join(lines)
+        words = [w.lower() for w in ALNUM.findall(body)]
+        if _repeats(body, [x.strip() for x in lines], words):
+            kind = "junk"
+        elif _is_plain(body, lines):
+            kind = "prose"
+        else:
+            kind = "junk" if _is_junk(body, lines) else "table" if _is_table(lines) else "list" if _is_list(lines) else "prose"
+        kinds.append((kind, size, block.strip()))
     return kinds
 
 
+def combined_kind(kinds: list[tuple[str, int, str]], n_lines: int, duplicate_lines: float, duplicate_paragraphs: float, coverage: float) -> tuple[str | None, Counter]:
+    """(kind or None, characters by kind) from the blocks and the repetition statistics of the whole text."""
+    share: Counter = Counter()
+    seen: set[str] = set()
+    for kind, size, block in kinds:
+        if duplicate_paragraphs > REPEATED and block in seen:
+            kind = "junk"
+        seen.add(block)
+        share[kind] += size
+    few = n_lines <= FEW_LINES or duplicate_lines > PARTLY_REPEATED
+    if kinds and (duplicate_lines > REPEATED or few and coverage > COVERED):
+        share = Counter({"junk": sum(share.values())})
+    return (max(("junk", "table", "list"), key=lambda k: share[k]) if sum(share.values()) > 2 * share["prose"] else None), share
+
+
+def _measured(text: str, least: float) -> tuple:
+    """(kind, characters by kind, words, lines, duplicate line and paragraph shares, n-gram coverage) of a text."""
+    words = [w.lower() for w in WORD.findall(text)]
+    lines = [x.strip() for x in text.split("\n") if x.strip()]
+    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
+    repeats = _duplicates(lines), _duplicates(paragraphs), _coverage(words, least)
+    kind, share = combined_kind(block_kinds(text), len(lines), *repeats)
+    return kind, share, words, lines, *repeats
+
+
 def statistics(text: str | None, common: frozenset[str]) -> tuple:
     """The values of ``STATS`` for one text."""
     if text is None or not text.strip():
         return (0, *[0.0] * 11, None)
-    words = WORD.findall(text)
-    low = [w.lower() for w in words]
+    kind, share, words, lines, *repeats = _measured(text, 0.0)
     dense = len("".join(text.split()))
     symbols = dense - sum(map(len, ALNUM.findall(text)))
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
-    share = Counter()
-    for kind, size in block_kinds(text):
-        share[kind] += size
     total = sum(share.values()) or 1
-    other = total - share["prose"]
-    kind = max(("junk", "table", "list"), key=lambda k: share[k]) if other > share["prose"] else None
     return (
         len(words),
         sum(map(len, words)) / len(words) if words else 0.0,
         symbols / dense,
         sum(x[-1] in ".!?:;…”\"»)" for x in lines) / len(lines),
-        sum(w in common for w in low) / len(low) if low else 0.0,
-        _duplicates(lines),
-        _duplicates(paragraphs),
-        _coverage(low),
+        sum(w in common for w in words) / len(words) if words else 0.0,
+        *repeats,
         *[share[k] / total for k in ("prose", "list", "table", "junk")],
         kind,
     )
 
 
+def document_kind(text: str | None) -> str | None:
+    """The kind of ``STATS`` alone, by the same statistics."""
+    return _measured(text, COVERED)[0] if text is not None and text.strip() else None
+
+
 def common_word_set(common_words: DataFrame) -> frozenset[str]:
     """The words of the fixed table; more than ``MOST_COMMON_WORDS`` distinct ones are refused."""
     rows = common_words.select(F.lower("word").alias("w")).where("w is not null").distinct().limit(MOST_COMMON_WORDS + 1).collect()
@@ -199,24 +244,6 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, id_col: str =
     return spread(slim, id_col).mapInPandas(measured, f"{id_col} {key}, {STATS}")
 
 
-def not_prose(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind) of the documents whose text is for the larger part list, table or junk, in one pass of the block rules."""
-    slim = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
-    key = slim.schema[id_col].dataType.simpleString()
-
-    def kinds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [document_kind(t) for t in b["__text"]]
-            yield pd.DataFrame({id_col: b[id_col].to_numpy(), "kind": found}).dropna(subset=["kind"])
-
-    return spread(slim, id_col).mapInPandas(kinds, f"{id_col} {key}, kind STRING")
-
-
-def document_kind(text: str | None) -> str | None:
-    """list, table or junk where most characters are not prose, else None."""
-    if text is None or not text.strip():
-        return None
-    share = Counter()
-    for kind, size in block_kinds(text):
-        share[kind] += size
-    return max(("junk", "table", "list"), key=lambda k: share[k]) if sum(share.values()) > 2 * share["prose"] else None
+def not_prose(documents: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, kind) of the documents whose text is for the larger part list, table or junk, from their statistics."""
+    return text_statistics(documents, common_words, id_col, text_col).where("kind is not null").select(id_col, "kind")

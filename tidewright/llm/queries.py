@@ -94,7 +94,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.not_prose(table(spark, sf, "documents")).distinct()
+    return quality.not_prose(table(spark, sf, "documents"), table(spark, sf, "common_words")).distinct()
 
 
 def p9_statistics(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Problem 6: languages of documents, of their paragraphs and of mixed-language segments, with confidences.
 
 Character n-gram models of the languages give each unit (sentence or line) a likelihood per language. Expectation
-maximisation then estimates a document's language proportions from its units, and a penalised likelihood selects the
-set of languages: one whose removal costs less than the penalty is removed. Paragraphs take the language of most of
-their characters under the posterior; short contexts are read as one language or two in sequence, whichever has the
-higher penalised likelihood.
+maximisation then estimates a text's language proportions from its units, and a penalised likelihood selects the set
+of languages: one whose removal costs less than the penalty is removed. Paragraphs take the language of most of their
+characters under the posterior. Contexts take the same way: the set of languages that expectation maximisation keeps
+says whether they are in one language or pass from one to another, and the posterior of their units in what order.
+
+Where every unit has the same best language, that language alone has the highest likelihood of all sets and shares
+(each unit's likelihood under any mixture is at most that of its best language), so it is taken without iterating. All
+other texts of a batch are iterated together, as arrays.
 
 The models are fitted on a bounded sample of documents (about ``SAMPLE`` texts, chosen by the hash of the id), started from
 the fixed table of common words; everything else covers whole texts of all rows. Names have no language: capitalised
@@ -22,12 +26,13 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.encoding import Restorer
-from tidewright.llm.quality import document_kind
+from tidewright.llm.quality import MOST_COMMON_WORDS, document_kind
 from tidewright.llm.scan_noise import FOREIGN
 from tidewright.llm.vocabulary import Vocabulary, lower
 from tidewright.operators.skew import cut, skew_join
@@ -128,70 +133,123 @@ class Model:
         return (self.likelihood_of(words), len(words)) if words else ((0.0,) * len(CODES), 0)
 
 
-def mixture(units: list[tuple[tuple[float, ...], int]]) -> tuple[list[float], list[list[float]]]:
-    """(proportions, posterior per unit) by expectation maximisation over the penalised set of languages.
+Unit = tuple[tuple[float, ...], int]
+ROUNDS_OF_EM, CLOSE = 12, 1e-4
+
+
+def mixtures(texts: list[list[Unit]]) -> list[tuple[list[float], np.ndarray]]:
+    """(proportions, posterior per unit) of each text, by expectation maximisation over its penalised set of languages.
 
-    ``units`` holds (log-likelihoods, characters); proportions are of characters.
+    A unit is (log-likelihoods, characters); proportions are of characters. The set starts with all languages; the one
+    of the least share is left out as long as that costs at most ``PENALTY`` nats. All texts are iterated at once.
     """
-    k = len(CODES)
-    alive = [True] * k
-    total = sum(n for _, n in units) or 1
-
-    def maximise() -> tuple[float, list[float], list[list[float]]]:
-        share = [1 / sum(alive) if a else 0.0 for a in alive]
-        value, post = 0.0, []
-        for _ in range(12):
-            logs = [math.log(x) if x > 0 else -1e9 for x in share]
-            value, post, new = 0.0, [], [0.0] * k
-            for ll, n in units:
-                both = [a + b for a, b in zip(ll, logs, strict=True)]
-                top = max(both)
-                e = [math.exp(max(x - top, -700)) for x in both]
-                z = sum(e)
-                value += top + math.log(z)
-                p = [x / z for x in e]
-                post.append(p)
-                for i in range(k):
-                    new[i] += p[i] * n
-            new = [x / total for x in new]
-            if max(abs(a - b) for a, b in zip(new, share, strict=True)) < 1e-4:
-                share = new
+    k, n = len(CODES), len(texts)
+    if not n:
+        return []
+    sizes = np.array([len(t) for t in texts])
+    owner, starts = np.repeat(np.arange(n), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    logs = np.array([ll for t in texts for ll, _ in t]).reshape(-1, k)
+    weight = np.array([c for t in texts for _, c in t], float)
+    total = np.maximum(np.add.reduceat(weight, starts), 1.0)
+
+    def maximise(alive: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(likelihood, shares, posterior) of the texts ``which``; other rows are left undefined."""
+        share = alive / alive.sum(1, keepdims=True)
+        value, post = np.zeros(n), np.zeros_like(logs)
+        active = np.zeros(n, bool)
+        active[which] = True
+        for _ in range(ROUNDS_OF_EM):
+            rows = np.flatnonzero(active[owner])
+            if not len(rows):
                 break
-            share = new
+            with np.errstate(divide="ignore"):
+                both = logs[rows] + np.log(share[owner[rows]])
+            top = both.max(1, keepdims=True)
+            e = np.exp(both - top)
+            z = e.sum(1, keepdims=True)
+            post[rows] = e / z
+            seen = np.zeros(n)
+            np.add.at(seen, owner[rows], (top + np.log(z))[:, 0])
+            new = np.zeros((n, k))
+            np.add.at(new, owner[rows], post[rows] * weight[rows, None])
+            new /= total[:, None]
+            value[active] = seen[active]
+            moved = np.abs(new - share).max(1)
+            share[active] = new[active]
+            active &= moved >= CLOSE
         return value, share, post
 
-    best = maximise()
-    while sum(alive) > 1:
-        low = min((i for i in range(k) if alive[i]), key=lambda i: (best[1][i], i))
-        alive[low] = False
-        less = maximise()
-        if best[0] - less[0] > PENALTY:
-            alive[low] = True
+    alive = np.ones((n, k))
+    value, share, post = maximise(alive, np.arange(n))
+    going = np.arange(n)
+    while len(going):
+        going = going[alive[going].sum(1) > 1]
+        if not len(going):
             break
-        best = less
-    return best[1], best[2]
-
-
-def document_languages(text: str | None, model: Model) -> tuple[str | None, float, list[tuple[str | None, float]]]:
-    """(main language code, confidence, (code, confidence) per paragraph)."""
+        low = np.where(alive[going] > 0, share[going], np.inf).argmin(1)
+        fewer = alive.copy()
+        fewer[going, low] = 0
+        v, s, p = maximise(fewer, going)
+        better = value[going] - v[going] <= PENALTY
+        going = going[better]
+        alive[going], value[going], share[going] = fewer[going], v[going], s[going]
+        took = np.isin(owner, going)
+        post[took] = p[took]
+    return [(share[i].tolist(), post[starts[i] : starts[i] + sizes[i]]) for i in range(n)]
+
+
+def mixture(units: list[Unit]) -> tuple[list[float], list[list[float]]]:
+    """:func:`mixtures` of one text."""
+    share, post = mixtures([units])[0]
+    return share, post.tolist()
+
+
+def posteriors(texts: list[list[Unit]]) -> list[list[list[float]]]:
+    """The posterior of every unit of every text; texts without units have none."""
+    out: list[list[list[float]]] = []
+    mixed = []
+    for i, units in enumerate(texts):
+        best = [ll.index(max(ll)) for ll, _ in units]
+        if len(set(best)) < 2:
+            out.append([[float(j == b) for j in range(len(CODES))] for b in best])
+        else:
+            mixed.append(i)
+            out.append([])
+    for i, (_, post) in zip(mixed, mixtures([texts[i] for i in mixed]), strict=True):
+        out[i] = post.tolist()
+    return out
+
+
+def _units(text: str | None, model: Model) -> tuple[list[Unit], list[int], int]:
+    """(units with their characters, paragraph of each, number of paragraphs) of a document."""
     if text is None or not text.strip():
-        return None, 0.0, []
+        return [], [], 0
     units, owner = [], []
-    paragraphs = [p for p in re.split(r"\n[ \t]*\n\s*", text.strip())]
+    paragraphs = re.split(r"\n[ \t]*\n\s*", text.strip())
     for i, p in enumerate(paragraphs):
         for u in UNIT.split(p):
             ll, n = model.likelihood(u)
             if n:
                 units.append((ll, len(u)))
                 owner.append(i)
+    return units, owner, len(paragraphs)
+
+
+def documents_languages(texts: list[str | None], model: Model) -> list[tuple[str | None, float, list[tuple[str | None, float]]]]:
+    """(main language code, confidence, (code, confidence) per paragraph) of each text."""
+    cut = [_units(t, model) for t in texts]
+    return [_document(*c, post) for c, post in zip(cut, posteriors([c[0] for c in cut]), strict=True)]
+
+
+def document_languages(text: str | None, model: Model) -> tuple[str | None, float, list[tuple[str | None, float]]]:
+    """:func:`documents_languages` of one text."""
+    return documents_languages([text], model)[0]
+
+
+def _document(units: list[Unit], owner: list[int], n_paragraphs: int, posterior: list[list[float]]) -> tuple[str | None, float, list[tuple[str | None, float]]]:
     if not units:
-        return None, 0.0, [(None, 0.0)] * len(paragraphs)
+        return None, 0.0, [(None, 0.0)] * n_paragraphs
     total = [sum(x) for x in zip(*[ll for ll, _ in units], strict=True)]
-    one = total.index(max(total))
-    if total[one] - sorted(total)[-2] > 3 * PENALTY and all(ll[one] > max(ll) - PENALTY / 3 for ll, _ in units):
-        posterior = [[float(j == one) for j in range(len(CODES))]] * len(units)
-    else:
-        _, posterior = mixture(units)
     per = defaultdict(lambda: [0.0] * len(CODES))
     evidence = defaultdict(lambda: [0.0] * len(CODES))
     whole = [0.0] * len(CODES)
@@ -201,7 +259,7 @@ def document_languages(text: str | None, model: Model) -> tuple[str | None, floa
             evidence[i][j] += ll[j]
             whole[j] += p[j] * n
     parts = []
-    for i in range(len(paragraphs)):
+    for i in range(n_paragraphs):
         if i not in per:
             parts.append((None, 0.0))
             continue
@@ -215,30 +273,37 @@ def document_languages(text: str | None, model: Model) -> tuple[str | None, floa
     return CODES[j], whole[j] / sum(whole), parts
 
 
+def contexts_languages(texts: list[str | None], model: Model) -> list[list[tuple[str, float]]]:
+    """Per short text its language, or its two languages in order, with confidences; [] where none is clear."""
+    cut = [[x for u in UNIT.split(t.strip()) if (x := model.likelihood(u))[1]] if t is not None and t.strip() else [] for t in texts]
+    return [_context(units, post) for units, post in zip(cut, posteriors(cut), strict=True)]
+
+
 def context_languages(text: str | None, model: Model) -> list[tuple[str, float]]:
-    """The language of a short text, or its two languages in order, with confidences; [] where none is clear."""
-    if text is None or not text.strip():
-        return []
-    units = [x for u in UNIT.split(text.strip()) if (x := model.likelihood(u))[1]]
+    """:func:`contexts_languages` of one text."""
+    return contexts_languages([text], model)[0]
+
+
+def _context(units: list[Unit], posterior: list[list[float]]) -> list[tuple[str, float]]:
+    """One language, or the two between which the posterior changes; a second needs more than two words on either side."""
     if not units:
         return []
     k = range(len(CODES))
-    total = [sum(ll[j] for ll, _ in units) for j in k]
-    best = max(k, key=lambda j: (total[j], -j))
-    if len(units) > 1:
-        head = [0.0] * len(CODES)
+    kept = [j for j in k if sum(p[j] for p in posterior) > 1e-3]
+    if len(kept) > 1:
+        head, tail = [0.0] * len(CODES), [sum(p[j] for p in posterior) for j in k]
         top: tuple[float, int, int, int] | None = None
-        for i in range(len(units) - 1):
-            head = [a + b for a, b in zip(head, units[i][0], strict=True)]
-            tail = [t - h for t, h in zip(total, head, strict=True)]
-            a = max(k, key=lambda j: (head[j], -j))
-            b = max(k, key=lambda j: (tail[j], -j))
-            if a != b and (top is None or head[a] + tail[b] > top[0]):
+        for i, p in enumerate(posterior[:-1]):
+            head, tail = [h + x for h, x in zip(head, p, strict=True)], [t - x for t, x in zip(tail, p, strict=True)]
+            a, b = max(kept, key=lambda j: (head[j], -j)), max(kept, key=lambda j: (tail[j], -j))
+            if a != b and (top is None or head[a] + tail[b] > top[0] + 1e-9):
                 top = (head[a] + tail[b], i + 1, a, b)
-        if top is not None and top[0] - total[best] > PENALTY:
+        if top is not None:
             _, at, a, b = top
             if sum(n for _, n in units[:at]) > 2 and sum(n for _, n in units[at:]) > 2:
                 return [(CODES[a], _confidence(units[:at], a)), (CODES[b], _confidence(units[at:], b))]
+    total = [sum(ll[j] for ll, _ in units) for j in k]
+    best = max(k, key=lambda j: (total[j], -j))
     second = max(total[j] for j in k if j != best)
     if total[best] - second < LEAST:
         return []
@@ -253,7 +318,10 @@ def _confidence(units: list[tuple[tuple[float, ...], int]], j: int) -> float:
 def fit(documents: DataFrame, common_words: DataFrame, id_col: str = "doc_id", text_col: str = "text", labels: tuple[str, str] = ("language", "lang"), sample: int = SAMPLE) -> Model:
     """The models from about ``sample`` texts: units are labelled where label and common words agree, then by the models."""
     common: dict[str, set[str]] = defaultdict(set)
-    for r in common_words.where("word is not null and lang is not null").select("lang", "word").distinct().limit(100_000).collect():
+    given = common_words.where("word is not null and lang is not null").select("lang", "word").distinct().limit(MOST_COMMON_WORDS + 1).collect()
+    if len(given) > MOST_COMMON_WORDS:
+        raise ValueError(f"more than {MOST_COMMON_WORDS} common words")
+    for r in given:
         if r["lang"] in NAMES:
             common[r["lang"]].add(lower(r["word"]))
     known = documents.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.col(labels[0]).alias("__l0"), F.col(labels[1]).alias("__l1"))
@@ -301,8 +369,8 @@ def label_documents(documents: DataFrame, model: Model, id_cols: tuple[str, ...]
         for b in batches:
             out = b[list(id_cols)].copy()
             rows = []
-            for t, l0, l1 in zip(b["__text"], b["__l0"], b["__l1"], strict=True):
-                main, confidence, parts = document_languages(t, shared.value)
+            found = documents_languages(b["__text"].tolist(), shared.value)
+            for t, l0, l1, (main, confidence, parts) in zip(b["__text"], b["__l0"], b["__l1"], found, strict=True):
                 rows.append((label_code(l0, l1), main, confidence, document_kind(t) == "junk", [{"code": c, "confidence": x} for c, x in parts]))
             for i, c in enumerate(("labelled", "main", "confidence", "junk", "parts")):
                 out[c] = [r[i] for r in rows]
@@ -321,8 +389,9 @@ def label_contexts(texts: DataFrame, model: Model, id_col: str = "id", text_col:
         mend = Restorer(Vocabulary({})).restore
         for b in batches:
             rows = []
-            for i, o, t in zip(b["id"], b["owner"], b["__text"], strict=True):
-                got = [*context_languages(mend(t)[1] if t and FOREIGN.search(t) else t, shared.value), (None, None), (None, None)]
+            found = contexts_languages([mend(t)[1] if t and FOREIGN.search(t) else t for t in b["__text"]], shared.value)
+            for i, o, pair in zip(b["id"], b["owner"], found, strict=True):
+                got = [*pair, (None, None), (None, None)]
                 rows.append((i, o, *got[0], *got[1]))
             yield pd.DataFrame(rows, columns=["id", "owner", "first", "first_confidence", "second", "second_confidence"])
 

@@ -24,11 +24,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.vocabulary import lower
 from tidewright.sources.tables import spread
 
 MOST_COMMON_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+(?:[’'-][^\W\d_]+)*|\d+(?:[.,]\d+)*")
-ALNUM = re.compile(r"[^\W_]+")
+SYMBOLS = re.compile(r"[\W_]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 BULLET = re.compile(r"\s*(?:[-*•·–—‣◦▪»]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s+")
 SENTENCE_END = re.compile(r"[^\W\d_]{2,}[”’\"')]*[.!?][”’\"')]*(?:\s|$)|[%\d°][”’\"')]*\.[”’\"')]*(?:\s|$)")
@@ -39,12 +40,15 @@ LEADER = re.compile(r"(.)\1{3,}\s*\d*\s*")
 VOWELS = frozenset("aeiouyäöüâîûàáãåæèéêëìíïòóôõøùúıœAEIOUYÄÖÜÂÎÛÀÁÃÅÆÈÉÊËÌÍÏÒÓÔÕØÙÚIİŒ")
 #: Marks that part the labels of a menu or the cells of a row.
 CELL = re.compile(r"\s*[|»«·•>]\s*|\s+-\s+|\t+|\n")
+PARTED = re.compile(r"[|»«·•>\t]|\s-\s")
 #: Repetition: shares of characters beyond which a block or text is no prose, list or table.
 REPEATED, COVERED = 0.5, 0.5
 #: N-grams tell only of texts without many different lines, as the entries of a list share words.
 FEW_LINES, PARTLY_REPEATED = 3, 0.3
 #: A block whose commonest word covers this much and that has at most this share of different words repeats a few labels.
 LABEL_COVER, LABEL_WORDS = 0.12, 0.3
+#: N-gram coverage tells of a block only where at most this share of its words are different.
+MOST_DIFFERENT = 0.6
 
 STATS = (
     "n_words BIGINT, mean_word_length DOUBLE, symbol_ratio DOUBLE, lines_ending_in_punctuation DOUBLE, common_word_share DOUBLE, "
@@ -59,33 +63,40 @@ def _duplicates(parts: list[str]) -> float:
     return 1 - sum(map(len, set(parts))) / total if total else 0.0
 
 
-def _coverage(words: list[str], least: float = 0.0) -> float:
-    """Largest share of word characters that one n-gram (n = 1 to 4) occurring twice or more covers.
+def _coverage(words: list[str], one: Counter, least: float = 0.0) -> float:
+    """Largest share of word characters that one n-gram (n = 1 to 4) occurring twice or more covers; ``one`` counts the words.
 
     An n-gram covers at most n times what its most frequent word covers; where that stays below ``least``, longer
     n-grams are not counted, and the value is only known to be below it.
     """
     total = sum(map(len, words))
-    best = 0.0
-    for n in (1, 2, 3, 4):
-        if len(words) < 2 * n or not total or n == 2 and 4 * best < least:
+    if len(words) < 2 or not total:
+        return 0.0
+    best = max((times * len(w) for w, times in one.items() if times > 1), default=0)
+    if 4 * best < least * total:
+        return best / total
+    for n in (2, 3, 4):
+        if len(words) < 2 * n:
             break
-        grams = Counter(zip(*[words[i:] for i in range(n)], strict=False)) if n > 1 else Counter(words)
-        covered = max((times * (sum(map(len, gram)) if n > 1 else len(gram)) for gram, times in grams.items() if times > 1), default=0)
-        best = max(best, min(1.0, covered / total))
-    return best
+        grams = Counter(zip(*[words[i:] for i in range(n)], strict=False))
+        best = max(best, max((times * len("".join(gram)) for gram, times in grams.items() if times > 1), default=0))
+    return min(1.0, best / total)
 
 
 def _repeats(block: str, lines: list[str], words: list[str]) -> bool:
     """Whether a block only says a few labels over and over."""
-    if _duplicates(lines) > REPEATED:
+    repeated = _duplicates(lines) if len(lines) > 1 else 0.0
+    if repeated > REPEATED:
         return True
-    cells = [c for x in lines for c in CELL.split(x) if c and not NUMBER.fullmatch(c)]
-    if len(cells) > 7 and _duplicates(cells) > REPEATED and sum(map(len, cells)) > 0.6 * len(block) and not _is_table(lines):
-        return True
-    if len(words) < 8 or SENTENCE_END.search(block) or len(lines) > FEW_LINES and _duplicates(lines) < PARTLY_REPEATED:
+    if PARTED.search(block):
+        cells = [c for c in CELL.split(block) if c and not NUMBER.fullmatch(c)]
+        if len(cells) > 7 and _duplicates(cells) > REPEATED and sum(map(len, cells)) > 0.6 * len(block) and not _is_table(lines):
+            return True
+    different = len(set(words))
+    if len(words) < 8 or different > MOST_DIFFERENT * len(words) or len(lines) > FEW_LINES and repeated < PARTLY_REPEATED or SENTENCE_END.search(block):
         return False
-    return _coverage(words, COVERED) > COVERED or len(set(words)) < LABEL_WORDS * len(words) and _coverage(words, 4.0) > LABEL_COVER
+    one = Counter(words)
+    return _coverage(words, one, COVERED) > COVERED or different < LABEL_WORDS * len(words) and _coverage(words, one, 4.0) > LABEL_COVER
 
 
 def _is_junk(block: str, lines: list[str]) -> bool:
@@ -134,40 +145,41 @@ def _is_list(lines: list[str]) -> bool:
     return bullets >= 0.7 * len(lines) or (not ends and starts >= 0.85 * len(lines) and sum(len(x.split()) for x in bare) <= 8 * len(bare) and (len(lines) > 3 or not any(len(x) > 70 for x in bare)))
 
 
-def _is_plain(block: str, lines: list[str]) -> bool:
-    """Prose at a glance: most of its lines' ends or its last line end a sentence, it is spaced like words, mostly
-    letters, and does not start like an entry."""
+def _is_plain(block: str, lines: list[str], letters: int) -> bool:
+    """Prose at a glance: its last line ends a sentence, it is spaced like words, mostly words, and does not start like an entry."""
     return (
         bool(SENTENCE_END.search(lines[-1], max(0, len(lines[-1]) - 24)))
         and block.count(" ") + len(lines) > 0.08 * len(block)
         and not BULLET.match(lines[0])
         and "|" not in block
         and "\t" not in block
-        and sum(map(len, LETTERS.findall(block))) > 0.6 * len(block)
+        and letters > 0.6 * len(block)
     )
 
 
-def block_kinds(text: str) -> list[tuple[str, int, str]]:
-    """(kind, characters, block) of every block; an introducing line that ends in a colon counts as prose of its own."""
-    kinds = []
+def block_kinds(text: str) -> tuple[list[tuple[str, int, str]], list[str]]:
+    """(kind, characters, block) of every block, and all lower-case words; an introducing line that ends in a colon counts as prose of its own."""
+    kinds, every = [], []
     for block in re.split(r"\n\s*\n", text):
         lines = [x for x in block.split("\n") if x.strip()]
         if not lines:
             continue
         if len(lines) > 1 and lines[0].rstrip().endswith(":") and len(lines[0].split()) > 3:
             kinds.append(("prose", len(lines[0]), lines[0]))
+            every += WORD.findall(lower(lines[0]))
             lines = lines[1:]
         size = sum(map(len, lines))
         body = "\n".join(lines)
-        words = [w.lower() for w in ALNUM.findall(body)]
+        words = WORD.findall(lower(body))
+        every += words
         if _repeats(body, [x.strip() for x in lines], words):
             kind = "junk"
-        elif _is_plain(body, lines):
+        elif _is_plain(body, lines, sum(map(len, words))):
             kind = "prose"
         else:
             kind = "junk" if _is_junk(body, lines) else "table" if _is_table(lines) else "list" if _is_list(lines) else "prose"
         kinds.append((kind, size, block.strip()))
-    return kinds
+    return kinds, every
 
 
 def combined_kind(kinds: list[tuple[str, int, str]], n_lines: int, duplicate_lines: float, duplicate_paragraphs: float, coverage: float) -> tuple[str | None, Counter]:
@@ -186,29 +198,28 @@ def combined_kind(kinds: list[tuple[str, int, str]], n_lines: int, duplicate_lin
 
 
 def _measured(text: str, least: float) -> tuple:
-    """(kind, characters by kind, words, lines, duplicate line and paragraph shares, n-gram coverage) of a text."""
-    words = [w.lower() for w in WORD.findall(text)]
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    paragraphs = [x.strip() for x in re.split(r"\n\s*\n", text) if x.strip()]
-    repeats = _duplicates(lines), _duplicates(paragraphs), _coverage(words, least)
-    kind, share = combined_kind(block_kinds(text), len(lines), *repeats)
-    return kind, share, words, lines, *repeats
+    """(kind, characters by kind, words, their counts, lines, duplicate line and paragraph shares, n-gram coverage) of a text."""
+    kinds, words = block_kinds(text)
+    one = Counter(words)
+    lines = [x for line in text.split("\n") if (x := line.strip())]
+    repeats = _duplicates(lines), _duplicates([b for _, _, b in kinds]) if len(kinds) > 1 else 0.0, _coverage(words, one, least)
+    kind, share = combined_kind(kinds, len(lines), *repeats)
+    return kind, share, words, one, lines, *repeats
 
 
 def statistics(text: str | None, common: frozenset[str]) -> tuple:
     """The values of ``STATS`` for one text."""
     if text is None or not text.strip():
         return (0, *[0.0] * 11, None)
-    kind, share, words, lines, *repeats = _measured(text, 0.0)
+    kind, share, words, one, lines, *repeats = _measured(text, 0.0)
     dense = len("".join(text.split()))
-    symbols = dense - sum(map(len, ALNUM.findall(text)))
     total = sum(share.values()) or 1
     return (
         len(words),
         sum(map(len, words)) / len(words) if words else 0.0,
-        symbols / dense,
-        sum(x[-1] in ".!?:;…”\"»)" for x in lines) / len(lines),
-        sum(w in common for w in words) / len(words) if words else 0.0,
+        (dense - len(SYMBOLS.sub("", text))) / dense,
+        len([1 for x in lines if x[-1] in ".!?:;…”\"»)"]) / len(lines),
+        sum([n for w, n in one.items() if w in common]) / len(words) if words else 0.0,
         *repeats,
         *[share[k] / total for k in ("prose", "list", "table", "junk")],
         kind,

@@ -32,14 +32,14 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     """``left`` joined to ``right``, whose key is unique, on one equal key.
 
     Rows of hot keys of ``left`` stay where they are: the few matching rows of ``right`` are broadcast to them. All
-    other rows take the shuffle join. ``hot`` is the bounded list from :func:`hot_keys`, counted here if not given.
+    other rows take the shuffle join, a hash join on the rows of ``right``. ``hot`` is the bounded list from :func:`hot_keys`, counted here if not given.
     NULL keys match nothing (``left`` pads them). An empty side gives an empty (inner) or padded (left) result.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     hot = hot_keys(left, key) if hot is None else hot
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("shuffle_hash"), key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     one = left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how)
-    return one.unionByName(left.where(~is_hot).join(right.where(~F.col(key).isin(hot)), key, how))
+    return one.unionByName(left.where(~is_hot).join(right.where(~F.col(key).isin(hot)).hint("shuffle_hash"), key, how))

@@ -4,9 +4,11 @@ Every normalized (field name, value) pair is hashed, the hashes are combined wit
 hash, so that neither field order nor attribute order matters and nothing is sorted), rows are grouped by the
 128-bit fingerprint, and the members of each group are held against its kept record, field by field.
 
-Normalization and hashing run in Arrow batches. Only the fingerprints and ids of all rows are counted, pre-aggregated
-on the map side; texts are shuffled by their unique id; members of a group that holds a large share of the rows are
-verified against a broadcast copy of its one kept record (``skew_join``).
+Normalization and hashing run in Arrow batches. Only the fingerprints of all rows are counted, pre-aggregated on the
+map side. Smallest ids are found by hashing too: per batch, then per fingerprint. Only texts whose id passes a filter of
+the members' ids (one hashed bit each, of a table of at most ``FILTER_WORDS`` words; a full table passes more, never
+less) are shuffled. All joins are hash joins. Members of a group that holds a large share of the rows are verified
+against a broadcast copy of its one kept record (``skew_join``).
 
 Defined results: NULL equals only NULL; a text of only punctuation and white space equals an empty one but not NULL;
 unreadable JSON is compared as its text; repeated ids, which the data model excludes, count as one record; columns
@@ -30,6 +32,7 @@ from tidewright.llm.vocabulary import fold
 from tidewright.operators.skew import LEAST, SHARE, cut, skew_join
 from tidewright.sources.tables import spread
 
+FLUSH = 500_000
 #: Letters that upper case writes as two, those two.
 DOUBLE = (("ß", "ss"), ("ẞ", "ss"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 APART = re.compile(r"(?<=\d)(?:[\W_]{2,}|\s)(?=\d)")
@@ -75,6 +78,44 @@ def fingerprint(exact: list, texts: list, attributes: list) -> bytes:
     return (total % (1 << 128)).to_bytes(16, "big")
 
 
+#: Words of 64 bits in the filter of ids, at most; and bits per id below that.
+FILTER_WORDS, BITS = 1 << 21, 16
+
+
+def _smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The smallest id of each fingerprint, over all batches of a task."""
+    least: dict[bytes, object] = {}
+    for b in batches:
+        for f, i in zip(b["__f"], b["kept_id"], strict=True):
+            if f not in least or i < least[f]:
+                least[f] = i
+        if len(least) > FLUSH:
+            yield pd.DataFrame({"__f": list(least), "kept_id": list(least.values())})
+            least = {}
+    yield pd.DataFrame({"__f": list(least), "kept_id": list(least.values())})
+
+
+def _least_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """As :func:`_smallest`, for a task that holds all rows of its fingerprints."""
+    least: dict[bytes, object] = {}
+    for b in batches:
+        for f, i in zip(b["__f"], b["kept_id"], strict=True):
+            if f not in least or i < least[f]:
+                least[f] = i
+    yield pd.DataFrame({"__f": list(least), "kept_id": list(least.values())})
+
+
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``df`` whose id may be one of ``ids`` (about ``n`` values): all that are, and few others."""
+    words = 1024
+    while words < FILTER_WORDS and words * 64 < n * BITS:
+        words *= 2
+    h = F.xxhash64(F.col(id_col))
+    place, bit = F.pmod(F.shiftright(h, 6), F.lit(words)).alias("__w"), F.expr(f"shiftleft(1L, cast(xxhash64(`{id_col}`) & 63L as int))")
+    table = ids.select(place, bit.alias("__b")).groupBy("__w").agg(F.bit_or("__b").alias("__bits"))
+    return df.withColumn("__w", place).join(F.broadcast(table), "__w").where(F.col("__bits").bitwiseAND(bit) != 0).drop("__w", "__bits")
+
+
 def _plain(value: object) -> object:
     return None if value is None or value is pd.NA or value != value else value
 
@@ -113,12 +154,17 @@ def format_copies(
             yield b.loc[good, ["kept_id", "copy_id"]]
 
     keyed = cut(spread(raw, "__id").mapInPandas(hashed, f"__id {key_type}, __f binary"))
-    groups = keyed.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("kept_id")).where("__n > 1")
-    hot = groups.where((F.col("__n") > LEAST) & (F.col("__n") > SHARE * keyed.count())).select("__f", "kept_id").collect()  # at most 1 / SHARE
-    member = cut(skew_join(keyed, groups.drop("__n"), "__f", hot=[r[0] for r in hot]).where("__id <> kept_id").select("kept_id", "__id").distinct())
-    kept = raw.join(member.select(F.col("kept_id").alias("__id")).distinct(), "__id").withColumnRenamed("__id", "kept_id")
-    copies = raw.join(member, "__id").select("kept_id", F.col("__id").alias("copy_id"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(n)])
-    held = skew_join(copies, kept, "kept_id", hot=[r[1] for r in hot])
+    groups = keyed.groupBy("__f").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    hot = [r[0] for r in groups.where((F.col("__n") > LEAST) & (F.col("__n") > SHARE * keyed.count())).select("__f").collect()]  # at most 1 / SHARE
+    member = cut(skew_join(keyed, groups.select("__f"), "__f", hot=hot))
+    pair = f"__f binary, kept_id {key_type}"
+    least = member.select("__f", F.col("__id").alias("kept_id")).mapInPandas(_smallest, pair).repartition("__f").mapInPandas(_least_ids, pair)
+    ids = cut(skew_join(member, least, "__f", hot=hot).select("kept_id", "__id").distinct())
+    n_members = ids.count()
+    texts = cut(with_ids(raw, "__id", ids, n_members).join(ids.hint("shuffle_hash"), "__id"))
+    kept = texts.where("__id = kept_id").drop("__id")
+    copies = texts.where("__id <> kept_id").select("kept_id", F.col("__id").alias("copy_id"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(n)])
+    held = skew_join(copies, kept, "kept_id")
     return held.mapInPandas(verified, f"kept_id {key_type}, copy_id {key_type}")
 
 

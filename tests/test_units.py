@@ -61,11 +61,10 @@ def test_unit_from_level(spark):
     assert got[40] == "metre" and got[41] in ("kilometre", "nautical_mile") and got[42] == got[41]
 
 
-def viterbi(values, stated, level):
-    e = units.emissions(values, stated, level)
+def viterbi(e, switch):
     score, back = e[0] - math.log(units.K), []
     for row in e[1:]:
-        both = score[:, None] + units.SWITCH
+        both = score[:, None] + switch
         back.append(both.argmax(0))
         score = both.max(0) + row
     path = [int(score.argmax())]
@@ -74,33 +73,74 @@ def viterbi(values, stated, level):
     return path[::-1], float(score.max())
 
 
-def score_of(path, e):
-    return e[0, path[0]] - math.log(units.K) + sum(units.SWITCH[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False)))
+def score_of(path, e, switch):
+    return e[0, path[0]] - math.log(units.K) + sum(switch[a, b] + e[i + 1, b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False)))
 
 
-def test_blocks_are_one_chain(monkeypatch):
-    """A chain cut into blocks has the score of the whole one (levels held still, as they restart with a block)."""
-    monkeypatch.setattr(units, "SMOOTH", 0.0)
+def chain(rng, n):
+    values = np.array([math.exp(rng.gauss(5, 2)) for _ in range(n)])
+    stated = np.array([rng.choice([-1, -1, 0, 1]) for _ in range(n)])
+    return values, stated, np.array([rng.random() < 0.5 for _ in range(n)])
+
+
+def test_blocks_are_one_chain():
+    """A chain cut anywhere, with the shipped constants, has the levels and the best score of the whole one."""
     rng = random.Random(3)
-    for _ in range(30):
-        n = rng.randrange(3, 40)
-        values = np.array([math.exp(rng.gauss(5, 2)) for _ in range(n)])
-        stated = np.array([rng.choice([-1, -1, 0, 1]) for _ in range(n)])
+    for _ in range(60):
+        n = rng.randrange(3, 60)
+        values, stated, texts = chain(rng, n)
+        switch = units.switching(0.8)
+        whole = units.emissions(values, stated, texts, units.levels(values, stated, 5.5), 0.7)
         cuts = [0, *sorted(rng.sample(range(1, n), 2)), n]
-        parts = [(values[a:b], stated[a:b], 5.5) for a, b in zip(cuts, cuts[1:], strict=False)]
-        leave = units.through([units.transfer(*p) for p in parts])
-        enter = [-1, *leave[:-1]]
-        path = [k for p, i, o in zip(parts, enter, leave, strict=True) for k in units.decode(*p, i, o)]
-        _, best = viterbi(values, stated, 5.5)
-        assert np.isclose(score_of(path, units.emissions(values, stated, 5.5)), best)
-
-
-def test_stated_blocks_have_the_same_matrix():
-    values, stated = np.array([10.0, 20.0, 30.0]), np.array([0, 1, 0])
-    m = None
-    for e in units.emissions(values, stated, 5.0):
-        m = units.SWITCH + e if m is None else (m[:, :, None] + (units.SWITCH + e)[None]).max(1)
-    assert np.allclose(units.transfer(values, stated, 5.0)[:, 0], m[:, 0])
+        parts, level = [], 5.5
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = units.levels(values[a:b], stated[a:b], level)
+            parts.append(units.emissions(values[a:b], stated[a:b], texts[a:b], own, 0.7))
+            x, y = units.level_map(values[a:b], stated[a:b])
+            level = x * level + y
+        assert np.allclose(np.vstack(parts), whole)
+        matrices = [np.vstack([units.transfer(e, switch), units._start_scores(e, switch)]) for e in parts]
+        for grouped in (matrices, [units._matrix(units._combined_matrices([m.ravel().tolist() for m in matrices[:2]])), matrices[2]]):
+            leave = units.through(grouped, -1, -1)
+        ends = units.through(matrices[:2], -1, leave[0]) + [leave[1]]
+        path = [k for e, i, o in zip(parts, [-1, *ends[:-1]], ends, strict=True) for k in units.decode(e, switch, i, o)]
+        assert np.isclose(score_of(path, whole, switch), viterbi(whole, switch)[1])
+
+
+def test_cutting_changes_nothing(spark, monkeypatch):
+    """Chains of many blocks, up a tree of several floors, come out as in one block."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        unit = rng.choice(["metre", "kilometre", None, "nautical_mile"])
+        metres = math.exp(rng.gauss(6, 0.3))
+        rows.append((i, rng.choice(["a", "a", None]), f"{metres / units.METRES[unit or 'metre']:.2f}", unit, None, ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((r["id"], r["unit"] or "", r["metres"]) for r in units.unit_states(df).collect())
+    monkeypatch.setattr(units, "BLOCK", 16)
+    monkeypatch.setattr(units, "FAN", 4)
+    assert sorted((r["id"], r["unit"] or "", r["metres"]) for r in units.unit_states(df).collect()) == want
+
+
+def test_missing_and_wrong_units(spark):
+    """Rows whose unit was taken away or falsified come out in the unit they were written in."""
+    rng = random.Random(9)
+    rows, hidden, wrong = [], {}, {}
+    for i in range(6000):
+        source = f"s{i % 5}"
+        unit = "kilometre" if (i // 100) % 3 == 0 else "metre"
+        metres = math.exp(rng.gauss(4.0 + i % 5, 0.35))
+        shown = unit
+        if rng.random() < 0.1:
+            hidden[i], shown = metres, None
+        elif rng.random() < 0.02:
+            wrong[i], shown = metres, "metre" if unit == "kilometre" else "kilometre"
+        rows.append((i, source, f"{metres / units.METRES[unit]:.4f}", shown, None, ""))
+    got = {r["id"]: r["metres"] for r in units.unit_states(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for planted, least in ((hidden, 0.95), (wrong, 0.9)):
+        right = sum(abs(got[i] - m) <= 0.01 * m + 1 for i, m in planted.items())
+        print(len(planted), right / len(planted))
+        assert right >= least * len(planted)
 
 
 def test_runs_pass_over_batches():

@@ -1,23 +1,28 @@
 """Problem 5: the same quantity recorded in different units, converted to metres.
 
 Every source (device) is a chain of records in the order of their ids, with the unit as hidden state of a hidden Markov
-model. A unit that the text, or else the value and unit fields, states pins the state; where none is stated the Viterbi
-path decides from the jump of the log value against the source's smooth level (of earlier stated distances), and from
-how seldom units switch.
+model; the Viterbi path decides the unit of every record. What it weighs is the log value against the source's smooth
+underlying level, how often the source switches units, and the unit that is stated, if any: a statement is evidence of
+its unit, stronger in the text (``WRONG_TEXT`` is how often one is taken to be wrong) than in the unit field
+(``WRONG_FIELD``), so that a field that the series plainly contradicts is put right. Level, spread and switching rate
+are each source's own, from all its stated records; a source with few takes what all sources have.
 
-A source may hold any share of the rows, so chains are cut into blocks of ``BLOCK`` ids. The forward pass of a block is a
-max-plus matrix from its entering to its leaving state; the blocks' matrices are combined per source, which gives each
-block its entering and leaving states, and each block is then decoded alone. The result is that of one Viterbi run.
+A source may hold any share of the rows, so chains are cut into blocks of ``BLOCK`` ids, and nothing depends on where:
+the smooth level is a linear recurrence, whose summary per block is a pair of numbers, and the forward pass of a block is
+a max-plus matrix from its entering to its leaving state. Both combine associatively, so the summaries of ``FAN`` blocks
+are combined to one, and so on up a tree; the top gives each group, and down the tree each block, its entering level
+and its entering and leaving states. No task holds more than ``FAN`` summaries of a source at once. The result is that
+of one Viterbi run over the whole chain.
 
 Defined results: rows without a value in any field, with a range or with another quantity have no metres; NULL sources
 form one chain; ties go to the unit listed first; repeated rows give repeated results; extra columns are ignored; an
-empty table gives no rows.
+empty table gives no rows; a value of zero or below tells nothing of its unit.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,17 +33,30 @@ from tidewright.functions.quantities import METRES, UNITS, read, unit_of
 from tidewright.operators.skew import cut
 from tidewright.sources.tables import spread
 
-BLOCK = 4096
-STAY, SPREAD, PINNED = 0.95, 0.7, -1e6
+BLOCK, FAN = 4096, 256
 SMOOTH = 0.2
+#: How often a stated unit is wrong: in the text, in the unit field.
+WRONG_TEXT, WRONG_FIELD = 1e-9, 1e-4
+#: Degrees of freedom of the values around the level: outliers are common. Bounds of the spread in nats, and of staying.
+FREEDOM, LEAST_SPREAD, STAY = 4.0, 0.25, (0.2, 0.99)
+#: Spreads from the median beyond which a stated value moves the level no further.
+REACH = 2.0
+#: Records of a source that weigh as much as all sources together.
+PRIOR = 4.0
+#: Spreads between the quartiles of a normal distribution.
+QUARTILES = 1.349
 LOGS = np.log(np.array([METRES[u] for u in UNITS]))
 K = len(UNITS)
-SWITCH = np.full((K, K), math.log((1 - STAY) / (K - 1)))
-np.fill_diagonal(SWITCH, math.log(STAY))
+UNKNOWN_LEVEL = math.log(300.0)
 
 
-def observation(value: str | None, unit: str | None, text: str | None) -> tuple[float | None, str | None, str]:
-    """(value, stated unit, what is stated): the text holds over the fields; a value field may carry its own unit."""
+def observation(value: str | None, unit: str | None, text: str | None) -> tuple[float | None, str | None, str, bool]:
+    """(value, stated unit, what is stated, whether the text states the unit): the text holds over the fields; a value
+    field may carry its own unit."""
+    return *_observed(value, unit, text), read(text).kind == "distance"
+
+
+def _observed(value: str | None, unit: str | None, text: str | None) -> tuple[float | None, str | None, str]:
     said = read(text)
     if said.kind == "distance":
         return said.value, said.unit, "distance"
@@ -59,63 +77,89 @@ def observation(value: str | None, unit: str | None, text: str | None) -> tuple[
     return None, None, own.kind
 
 
-def emissions(values: np.ndarray, stated: np.ndarray, level: float) -> np.ndarray:
-    """Log-probability of each row of an ordered block under each unit; ``stated`` holds unit numbers, -1 for none."""
-    out = np.zeros((len(values), K))
+def levels(values: np.ndarray, stated: np.ndarray, level: float, low: float = -math.inf, high: float = math.inf) -> np.ndarray:
+    """The smooth level before each row of an ordered block, moved by the stated rows, given that before the block.
+
+    Rows count as ``low`` at least and ``high`` at most, so that wrong statements move the level little.
+    """
+    out = np.empty(len(values))
     for i, (v, k) in enumerate(zip(values.tolist(), stated.tolist(), strict=True)):
-        if k >= 0:
-            out[i] = PINNED
-            out[i, k] = 0.0
-            if v > 0:
-                level += SMOOTH * (math.log(v) + LOGS[k] - level)
-        elif v > 0:
-            out[i] = -((math.log(v) + LOGS - level) ** 2) / (2 * SPREAD**2)
+        out[i] = level
+        if k >= 0 and v > 0:
+            level += SMOOTH * (min(max(math.log(v) + LOGS[k], low), high) - level)
+    return out
+
+
+def level_map(values: np.ndarray, stated: np.ndarray, low: float = -math.inf, high: float = math.inf) -> tuple[float, float]:
+    """(a, b): a block turns an entering level x into a x + b."""
+    a, b = 1.0, 0.0
+    for v, k in zip(values.tolist(), stated.tolist(), strict=True):
+        if k >= 0 and v > 0:
+            a, b = a * (1 - SMOOTH), b * (1 - SMOOTH) + SMOOTH * min(max(math.log(v) + LOGS[k], low), high)
+    return a, b
+
+
+def emissions(values: np.ndarray, stated: np.ndarray, texts: np.ndarray, level: np.ndarray, spread_: float) -> np.ndarray:
+    """Log-likelihood of each row under each unit; ``stated`` holds unit numbers (-1 for none), ``texts`` whether the text states it."""
+    out = np.zeros((len(values), K))
+    good = values > 0
+    z = (np.log(values[good])[:, None] + LOGS - level[good][:, None]) / spread_
+    out[good] = -(FREEDOM + 1) / 2 * np.log1p(z**2 / FREEDOM)
+    said = np.flatnonzero(stated >= 0)
+    wrong = np.where(texts[said], WRONG_TEXT, WRONG_FIELD)
+    out[said] += np.log(wrong / (K - 1))[:, None]
+    out[said, stated[said]] += np.log((1 - wrong) * (K - 1) / wrong)
     return out
 
 
-def transfer(values: np.ndarray, stated: np.ndarray, level: float) -> np.ndarray:
-    """Max-plus matrix of an ordered block: the best score from each entering to each leaving state."""
-    if (stated >= 0).all():
-        m = np.full((K, K), PINNED)
-        m[:, stated[-1]] = SWITCH[:, stated[0]] + SWITCH[stated[:-1], stated[1:]].sum()
-        return m
-    m = None
-    for e in emissions(values, stated, level):
-        step = SWITCH + e
-        m = step if m is None else (m[:, :, None] + step[None]).max(1)
+def switching(stay: float) -> np.ndarray:
+    """Log-probability of each unit after each."""
+    m = np.full((K, K), math.log((1 - stay) / (K - 1)))
+    np.fill_diagonal(m, math.log(stay))
     return m
 
 
-def decode(values: np.ndarray, stated: np.ndarray, level: float, enter: int, leave: int) -> list[int]:
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product: the best score from each state before ``a`` to each after ``b``."""
+    return (a[:, :, None] + b[None]).max(1)
+
+
+def transfer(e: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """Max-plus matrix of an ordered block from its emissions."""
+    m = switch + e[0]
+    for row in e[1:]:
+        m = (m[:, :, None] + switch[None]).max(1) + row
+    return m
+
+
+def decode(e: np.ndarray, switch: np.ndarray, enter: int, leave: int) -> list[int]:
     """Viterbi path of an ordered block between two states; a negative ``enter`` is the start of the chain."""
-    if (stated >= 0).all():
-        return stated.tolist()
-    e = emissions(values, stated, level)
-    score = e[0] + (SWITCH[enter] if enter >= 0 else -math.log(K))
+    score = e[0] + (switch[enter] if enter >= 0 else -math.log(K))
     back = []
     for row in e[1:]:
-        both = score[:, None] + SWITCH
+        both = score[:, None] + switch
         back.append(both.argmax(0))
         score = both.max(0) + row
-    path = [leave]
+    path = [leave if leave >= 0 else int(score.argmax())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return path[::-1]
 
 
-def through(matrices: list[np.ndarray]) -> list[int]:
-    """The leaving state of each block of a chain, from the blocks' matrices in order."""
-    if len(matrices) == 1:
-        return [int((matrices[0] - SWITCH.max(1)[:, None]).max(0).argmax())]
-    score, back = None, []
-    for m in matrices:
-        both = m - SWITCH.max(1)[:, None] - math.log(K) if score is None else score[:, None] + m
+def through(matrices: list[np.ndarray], enter: int, leave: int) -> list[int]:
+    """The leaving state of each block of a group between two states; negative ones are the ends of the chain.
+
+    Row K of the first matrix of a chain holds the scores from its start.
+    """
+    score, back = matrices[0][enter if enter >= 0 else K], []
+    for m in matrices[1:]:
+        both = score[:, None] + m[:K]
         back.append(both.argmax(0))
         score = both.max(0)
-    leave = [int(score.argmax())]
-    for x in reversed(back[1:]):
-        leave.append(int(x[leave[-1]]))
-    return leave[::-1]
+    path = [leave if leave >= 0 else int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1]
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -142,6 +186,86 @@ def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*order)
 
 
+#: A chain's rows, and its blocks with all that a block needs beside its rows.
+KEYS = ["source", "block"]
+
+
+def _up(df: DataFrame, column: str, combine: Callable[[list[list[float]]], list[float]]) -> DataFrame:
+    """One level up the tree: the summaries of ``FAN`` blocks combined to that of their group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = [(r["source"][0], r["up"][0], combine(r[column].tolist())) for r in runs(batches, ["source", "up"])]
+        yield pd.DataFrame(rows, columns=[*KEYS, column])
+
+    grouped = df.withColumn("up", F.floor(F.col("block") / FAN))
+    return in_order(grouped, ["source", "up"], ["source", "up", "block"]).mapInPandas(run, f"source STRING, block BIGINT, {column} ARRAY<DOUBLE>")
+
+
+def _down(df: DataFrame, above: DataFrame | None, column: str, given: str, share: Callable[[list[list[float]], list[float]], list[list[float]]]) -> DataFrame:
+    """One level down: what is given to a group (None: the whole chain) shared among its blocks."""
+    grouped = df.withColumn("up", F.floor(F.col("block") / FAN) if above is not None else F.lit(0))
+    if above is not None:
+        grouped = grouped.join(above.select("source", F.col("block").alias("up"), F.col(given).alias("__given")), ["source", "up"])
+    else:
+        grouped = grouped.withColumn("__given", F.col("__start") if "__start" in df.columns else F.array(F.lit(-1.0), F.lit(-1.0)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in runs(batches, ["source", "up"]):
+            got = share(r[column].tolist(), list(r["__given"][0]))
+            yield pd.DataFrame({"source": r["source"], "block": r["block"], given: got})
+
+    slim = grouped.select("source", "up", "block", column, "__given")
+    return in_order(slim, ["source", "up"], ["source", "up", "block"]).mapInPandas(run, f"source STRING, block BIGINT, {given} ARRAY<DOUBLE>")
+
+
+def _sweep(blocks: DataFrame, column: str, given: str, n_blocks: int, combine: Callable, share: Callable) -> DataFrame:
+    """(source, block, given): summaries combined up the tree, and shares handed down to every block."""
+    floors = [blocks]
+    while n_blocks > FAN:
+        floors.append(cut(_up(floors[-1].select(*KEYS, column), column, combine)))
+        n_blocks = -(-n_blocks // FAN) + 1
+    top = floors[-1]
+    if "__start" in blocks.columns and len(floors) > 1:
+        top = top.join(blocks.select("source", "__start").distinct(), "source")
+    out = _down(top, None, column, given, share)
+    for below in reversed(floors[:-1]):
+        out = _down(below.select(*KEYS, column), out, column, given, share)
+    return out
+
+
+def _combined_maps(maps: list[list[float]]) -> list[float]:
+    a, b = 1.0, 0.0
+    for x, y in maps:
+        a, b = a * x, b * x + y
+    return [a, b]
+
+
+def _levels_through(maps: list[list[float]], given: list[float]) -> list[list[float]]:
+    level, out = given[0], []
+    for a, b in maps:
+        out.append([level])
+        level = a * level + b
+    return out
+
+
+def _matrix(flat: list[float]) -> np.ndarray:
+    return np.asarray(flat, float).reshape(-1, K)
+
+
+def _combined_matrices(rows: list[list[float]]) -> list[float]:
+    """The product of matrices of K states and, below them, the scores from the start of the chain."""
+    m = _matrix(rows[0])
+    for x in rows[1:]:
+        m = times(m, _matrix(x)[:K])
+    return m.ravel().tolist()
+
+
+def _states_through(rows: list[list[float]], given: list[float]) -> list[list[float]]:
+    enter, leave = int(given[0]), int(given[1])
+    path = through([_matrix(x) for x in rows], enter, leave)
+    return [[float(a), float(b)] for a, b in zip([enter, *path[:-1]], path, strict=True)]
+
+
 def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_file", value_col: str = "value", unit_col: str = "unit", text_col: str = "exact_text") -> DataFrame:
     """(id, kind, value, stated_unit, unit, metres): the decoded unit and the metres of every record; NULL where no one distance is stated."""
     slim = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(value_col).cast("string").alias("v"), F.col(unit_col).alias("u"), F.col(text_col).alias("t"))
@@ -150,47 +274,77 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
     def observed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [observation(*(x if isinstance(x, str) else None for x in r)) for r in zip(b["v"], b["u"], b["t"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "source": b["source"], "value": [r[0] for r in rows], "stated_unit": [r[1] for r in rows], "kind": [r[2] for r in rows]})
+            yield pd.DataFrame({"id": b["id"], "source": b["source"], "value": [r[0] for r in rows], "stated_unit": [r[1] for r in rows], "kind": [r[2] for r in rows], "in_text": [r[3] for r in rows]})
 
-    seen = cut(spread(slim, "id").mapInPandas(observed, f"id {key}, source STRING, value DOUBLE, stated_unit STRING, kind STRING"))
-    factor = F.element_at(F.create_map(*[x for u, f in METRES.items() for x in (F.lit(u), F.lit(f))]), F.col("stated_unit"))
+    seen = cut(spread(slim, "id").mapInPandas(observed, f"id {key}, source STRING, value DOUBLE, stated_unit STRING, kind STRING, in_text BOOLEAN"))
+    factors = F.create_map(*[x for u, f in METRES.items() for x in (F.lit(u), F.lit(f))])
     number = F.coalesce(F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("stated_unit")) - 1, F.lit(-1)).cast("int")
-    chain = seen.where("kind = 'distance' and value is not null").select("id", F.coalesce("source", F.lit("")).alias("source"), "value", number.alias("stated"), F.floor(F.col("id") / BLOCK).alias("block"))
-    stated = seen.where("kind = 'distance' and stated_unit is not null and value > 0").select(F.coalesce("source", F.lit("")).alias("source"), F.log(F.col("value") * factor).alias("x"))
-    levels = stated.groupBy("source").agg(F.avg("x").alias("__own"))
-    every = stated.agg(F.coalesce(F.avg("x"), F.lit(math.log(300.0))).alias("__all"))
-    starts = chain.select("source", "block").distinct().join(levels, "source", "left").crossJoin(F.broadcast(every)).select("source", "block", F.coalesce("__own", "__all").alias("level"))
-    blocks = chain.join(starts, ["source", "block"])
-    keys = ["source", "block"]
+    source = F.coalesce("source", F.lit("")).alias("source")
+    chain = seen.where("kind = 'distance' and value is not null").select("id", source, "value", number.alias("stated"), "in_text", F.floor(F.col("id") / BLOCK).alias("block"))
 
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [(r["source"][0], r["block"][0], transfer(r["value"], r["stated"], float(r["level"][0])).ravel()) for r in runs(batches, keys)]
-        yield pd.DataFrame(rows, columns=["source", "block", "m"])
+    logs = seen.where("kind = 'distance' and stated_unit is not null and value > 0").select(source, F.log(F.col("value") * F.element_at(factors, F.col("stated_unit"))).alias("x"))
+    quartiles = F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000)
+    every = logs.agg(quartiles.alias("a")).select(F.coalesce(F.col("a")[1], F.lit(UNKNOWN_LEVEL)).alias("a_level"), F.coalesce((F.col("a")[2] - F.col("a")[0]) / QUARTILES, F.lit(1.0)).alias("a_spread"))
+    own = logs.groupBy("source").agg(F.count("x").alias("n"), quartiles.alias("q")).crossJoin(F.broadcast(every))
+    around = F.greatest((F.col("n") * (F.col("q")[2] - F.col("q")[0]) / QUARTILES + PRIOR * F.col("a_spread")) / (F.col("n") + PRIOR), F.lit(LEAST_SPREAD))
+    own = cut(own.select("source", F.col("q")[1].alias("level"), around.alias("spread")))
+    none = every.first()
+    typical = lambda df: df.join(own, "source", "left").na.fill({"level": none["a_level"], "spread": max(none["a_spread"], LEAST_SPREAD)})
+    chain = typical(chain).withColumn("low", F.col("level") - REACH * F.col("spread")).withColumn("high", F.col("level") + REACH * F.col("spread"))
 
-    def states_between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Each block's level map, and how often the unit stays between stated neighbours.
+    def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
-        for r in runs(batches, ["source"]):
-            leave = through([np.asarray(m).reshape(K, K) for m in r["m"]])
-            rows += zip(r["source"].tolist(), r["block"].tolist(), [-1, *leave[:-1]], leave, strict=True)
-            if len(rows) > 10_000:
-                yield pd.DataFrame(rows, columns=["source", "block", "enter", "leave"])
-                rows = []
-        yield pd.DataFrame(rows, columns=["source", "block", "enter", "leave"])
+        for r in runs(batches, KEYS):
+            said = r["stated"][r["stated"] >= 0]
+            rows.append((r["source"][0], r["block"][0], list(level_map(r["value"], r["stated"], float(r["low"][0]), float(r["high"][0]))), max(0, len(said) - 1), int((said[1:] == said[:-1]).sum())))
+        yield pd.DataFrame(rows, columns=[*KEYS, "map", "pairs", "same"])
+
+    blocks = cut(in_order(chain, KEYS, [*KEYS, "id"]).mapInPandas(summaries, "source STRING, block BIGINT, map ARRAY<DOUBLE>, pairs BIGINT, same BIGINT"))
+    moves = blocks.groupBy("source").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"), (F.max("block") - F.min("block") + 1).alias("width"), F.min("block").alias("first"))
+    usual = moves.agg(F.coalesce(F.sum("same") / F.nullif(F.sum("pairs"), F.lit(0)), F.lit(0.9)).alias("a_stay"))
+    stay = (F.col("same") + PRIOR * F.col("a_stay")) / (F.col("pairs") + PRIOR)
+    sources = cut(typical(moves.crossJoin(F.broadcast(usual))).select("source", "width", "first", "level", F.least(F.greatest(stay, F.lit(STAY[0])), F.lit(STAY[1])).alias("stay")))
+    widest = sources.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
+    # Blocks are numbered from the source's first, so that the tree is as low as its longest chain allows.
+    numbered = blocks.join(sources, "source").select("source", (F.col("block") - F.col("first")).alias("block"), "map", F.array(F.col("level")).alias("__start"))
+    entering = _sweep(numbered, "map", "level", widest, _combined_maps, _levels_through)
+    rows = chain.drop("level").join(sources.select("source", "first", "stay"), "source").withColumn("block", F.col("block") - F.col("first")).drop("first")
+    rows = cut(rows.join(entering.select("source", "block", F.col("level")[0].alias("level")), KEYS))
+
+    def scored(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        level = levels(r["value"], r["stated"], *(float(r[c][0]) for c in ("level", "low", "high")))
+        return emissions(r["value"], r["stated"], r["in_text"].astype(bool), level, float(r["spread"][0])), switching(float(r["stay"][0]))
+
+    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for r in runs(batches, KEYS):
+            e, switch = scored(r)
+            start = _start_scores(e, switch) if r["block"][0] == 0 else np.full(K, -np.inf)
+            out.append((r["source"][0], r["block"][0], np.vstack([transfer(e, switch), start]).ravel().tolist()))
+        yield pd.DataFrame(out, columns=[*KEYS, "m"])
 
     def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, found = [], []
-        for r in runs(batches, keys):
+        for r in runs(batches, KEYS):
+            e, switch = scored(r)
             ids += r["id"].tolist()
-            found += decode(r["value"], r["stated"], float(r["level"][0]), int(r["enter"][0]), int(r["leave"][0]))
+            found += decode(e, switch, int(r["ends"][0][0]), int(r["ends"][0][1]))
             if len(ids) > 10_000:
                 yield pd.DataFrame({"id": ids, "unit": [UNITS[k] for k in found]})
                 ids, found = [], []
-        if ids:
-            yield pd.DataFrame({"id": ids, "unit": [UNITS[k] for k in found]})
-
-    summary = in_order(blocks, keys, [*keys, "id"]).mapInPandas(matrices, "source STRING, block BIGINT, m ARRAY<DOUBLE>")
-    ends = in_order(summary, ["source"], keys).mapInPandas(states_between, "source STRING, block BIGINT, enter INT, leave INT")
-    states = in_order(blocks.join(ends, keys), keys, [*keys, "id"]).mapInPandas(decoded, f"id {key}, unit STRING").distinct()
-    found = F.element_at(F.create_map(*[x for u, f in METRES.items() for x in (F.lit(u), F.lit(f))]), F.col("unit"))
-    exact = F.when(found >= 1, F.col("value") * found).otherwise(F.col("value") * found)
-    return seen.join(states, "id", "left").select("id", "kind", "value", "stated_unit", "unit", F.bround(F.round(exact, 6)).cast("bigint").alias("metres"))
+        yield pd.DataFrame({"id": ids, "unit": [UNITS[k] for k in found]})
+
+    summary = cut(in_order(rows, KEYS, [*KEYS, "id"]).mapInPandas(matrices, "source STRING, block BIGINT, m ARRAY<DOUBLE>"))
+    ends = _sweep(summary, "m", "ends", widest, _combined_matrices, _states_through)
+    states = in_order(rows.join(ends, KEYS), KEYS, [*KEYS, "id"]).mapInPandas(decoded, f"id {key}, unit STRING").distinct()
+    metres = F.col("value") * F.element_at(factors, F.col("unit"))
+    return seen.join(states, "id", "left").select("id", "kind", "value", "stated_unit", "unit", F.bround(F.round(metres, 6)).cast("bigint").alias("metres"))
+
+
+def _start_scores(e: np.ndarray, switch: np.ndarray) -> np.ndarray:
+    """The best score to each leaving state of the first block of a chain."""
+    score = e[0] - math.log(K)
+    for row in e[1:]:
+        score = (score[:, None] + switch).max(0) + row
+    return score

@@ -62,3 +62,17 @@ def test_merge_is_commutative_and_associative():
             assert wide.merged(a, b) == wide.merged(b, a)
             for c in values:
                 assert wide.merged(wide.merged(a, b), c) == wide.merged(a, wide.merged(b, c))
+
+
+def test_attribute_spellings():
+    """However the words of a name are parted, and whatever its case, it is one attribute."""
+    for name in ("activity_1", "activity1", "Activity 1", "ACTIVITY-1", "activity.1", "Activity_1"):
+        assert wide.attribute_key(name) == "activity1"
+    for name in ("law_number", "lawNumber", "LAW NUMBER", "Law-Number", "lawnumber"):
+        assert wide.attribute_key(name) == "lawnumber"
+    assert len({wide.attribute_key(n) for n in wide.wide_schema()}) == len(wide.wide_schema())
+
+
+def test_cells_of_numbered_names(spark):
+    df = spark.createDataFrame([("a", "conflict", '{"activity1": "x", "Activity2": "y"}', "", "")], SCHEMA)
+    assert {r["attribute"] for r in wide.filled_cells(wide.wide_table(df)).collect()} == {"activity_1", "activity_2"}

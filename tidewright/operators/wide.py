@@ -53,18 +53,14 @@ CATEGORIES: dict[str, dict[str, str]] = {
 MISSING = frozenset(("", "-", "--", "–", "—", "?", ".", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "missing", "not available", "not specified", "unspecified", "yok", "bilinmiyor", "belirtilmemiş", "boş"))
 TRUE = frozenset(("true", "yes", "y", "t", "1", "evet", "doğru", "var"))
 FALSE = frozenset(("false", "no", "n", "f", "0", "hayır", "hayir", "yanlış", "yanlis", "yok"))
-CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 APART = re.compile(r"[\W_]+")
 NUMBER = re.compile(r"[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)(?:[eE][+-]?\d+)?")
 GROUPED = re.compile(r"[+-]?\d{1,3}(?:,\d{3})+\.\d+|[+-]?\d{1,3}(?:\.\d{3})+,\d+|[+-]?\d{1,3}(?:[.,]\d{3}){2,}")
 
 
-def attribute_name(name: str) -> str:
-    """An attribute in snake case, however it is spelled."""
-    name = name.strip()
-    if not name.isupper():
-        name = CAMEL.sub("_", name)
-    return APART.sub("_", name).strip("_").replace("İ", "i").lower()
+def attribute_key(name: str) -> str:
+    """The letters and digits of an attribute's name in lower case: the same for every way of parting its words."""
+    return APART.sub("", name.replace("İ", "i").lower())
 
 
 def to_string(value: object) -> str | None:
@@ -156,7 +152,7 @@ def wide_table(df: DataFrame, id_col: str = "id", category_col: str = "category"
     """One row per entity with (id, category, typed columns of all categories); NULL where its category has no such column."""
     columns = wide_schema(categories)
     slot = {name: i + 1 for i, name in enumerate(columns)}  # slot 0 holds the category
-    own = {c: {name: (slot[name], ENCODERS[kind]) for name, kind in cols.items()} for c, cols in categories.items()}
+    own = {c: {attribute_key(name): (slot[name], ENCODERS[kind]) for name, kind in cols.items()} for c, cols in categories.items()}
     names: dict[str, str] = {}
 
     def cells(rows: Iterable) -> Iterator[tuple[object, tuple[int, object]]]:
@@ -170,7 +166,7 @@ def wide_table(df: DataFrame, id_col: str = "id", category_col: str = "category"
                     names.clear()
                 low = names.get(name)
                 if low is None:
-                    low = names[name] = attribute_name(name)
+                    low = names[name] = attribute_key(name)
                 if low in slots:
                     at, encode = slots[low]
                     cell = encode(value)

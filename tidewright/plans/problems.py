@@ -35,7 +35,6 @@ def _list(values) -> str:
 
 
 _COLUMNS = ", ".join(f"('{c}', '{name}', '{kind}')" for c, columns in CATEGORIES.items() for name, kind in columns.items())
-_NAME = r"lower(trim(regexp_replace(case when upper(trim(n, ' ')) = trim(n, ' ') then trim(n, ' ') else regexp_replace(trim(n, ' '), '([a-z0-9])([A-Z])', '\1_\2', 'g') end, '[^\p{L}\p{N}]+', '_', 'g'), '_'))"
 #: Numbers with both separators do not occur in the tables; the operator's tests cover them.
 ORACLES = {
     "p4_found": f"""with j as (select id, category, try_cast(metadata as json) as m from extractions where metadata is not null),
@@ -45,8 +44,8 @@ ORACLES = {
         a as (select id, category, unnest(from_json(m, '["JSON"]')) as e from f where json_type(m) = 'ARRAY'),
         p as (select id, category, n, m -> ('$."' || n || '"') as v from o
             union all select id, category, case when json_type(e) = 'OBJECT' then e ->> '$.attribute' else e ->> '$[0]' end, case when json_type(e) = 'OBJECT' then e -> '$.value' else e -> '$[1]' end from a),
-        t as (select id, category, {_NAME} as attribute, json_type(v) as kind, trim(v ->> '$', ' ') as v from p),
-        c as (select t.*, x.kind as want from t join (values {_COLUMNS}) x(category, attribute, kind) on t.category = x.category and t.attribute = x.attribute where v is not null and t.kind <> 'NULL')
+        t as (select id, category, regexp_replace(lower(n), '[^a-z0-9]', '', 'g') as attribute, json_type(v) as kind, trim(v ->> '$', ' ') as v from p),
+        c as (select t.id, t.kind, t.v, x.attribute, x.kind as want from t join (values {_COLUMNS}) x(category, attribute, kind) on t.category = x.category and t.attribute = replace(x.attribute, '_', '') where v is not null and t.kind <> 'NULL')
         select distinct id as extraction_id, attribute from c where case want when 'string' then lower(v) not in ({_list(MISSING)})
             when 'boolean' then kind = 'BOOLEAN' or lower(v) in ({_list(TRUE | FALSE)})
             when 'double' then kind <> 'BOOLEAN' and try_cast(replace(v, ',', '.') as double) is not null

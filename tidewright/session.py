@@ -25,9 +25,14 @@ def session(name: str = "tidewright", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) take a local one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset on one machine (tests) take a local one.
+
+    On a cluster without that setting there is no folder that all executors see, so the job is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewright-checkpoint-"))

@@ -33,6 +33,8 @@ from tidewright.sources.tables import spread
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BUCKET_ROWS = 4000
+#: Tokens of a block, whatever the size of the mixture.
+BLOCK_TOKENS = 256
 GOLDEN = 0.6180339887498949
 
 
@@ -60,12 +62,7 @@ def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     return spread(slim, id_col).mapInPandas(counted, f"{schema}, n_tokens BIGINT")
 
 
-def block_size(size: float) -> int:
-    """Tokens per block: a 4096th of the mixture, but 256 at least and 65536 at most."""
-    return int(min(65536, max(256, size // 4096)))
-
-
-def plan(counts: DataFrame, targets: DataFrame, block_tokens: int | None = None, total_tokens: int | None = None) -> list[dict]:
+def plan(counts: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None) -> list[dict]:
     """Per source of the (fixed, small) target table: tokens, documents, share among the sources that have any, blocks."""
     sizes = counts.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
@@ -76,7 +73,6 @@ def plan(counts: DataFrame, targets: DataFrame, block_tokens: int | None = None,
         r["share"] = r["target_share"] / weight if r in usable else 0.0
     most = min((r["max_repeats"] * r["tokens"] / r["share"] for r in usable), default=0)
     size = min(most, total_tokens) if total_tokens else most
-    block_tokens = block_tokens or block_size(size)
     for r in rows:
         r["block"] = block_tokens
         r["slots"] = int(size // block_tokens) if size >= block_tokens else int(size > 0)
@@ -101,7 +97,7 @@ def schedule(spark, rows: list[dict]) -> DataFrame:
     return slots.withColumn("__in", within).join(above, ["source", "__b"]).select("slot", "source", (F.col("__above") + F.col("__in")).alias("rank"))
 
 
-def mixture(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, block_tokens: int | None = None, total_tokens: int | None = None) -> DataFrame:
+def mixture(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None) -> DataFrame:
     """(slot, source, id, repetition, n_tokens): which documents stand in which slot of the mixture."""
     spark = documents.sparkSession
     counts = cut(token_counts(documents, id_col, text_col, ("source",), path))

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.quantities import METRES, UNITS, read, unit_of
-from tidewright.operators.skew import cut
+from tidewright.operators.skew import LEAST, SHARE, cut, skew_join
 from tidewright.sources.tables import spread
 
 BLOCK, FAN = 4096, 256
@@ -112,6 +113,7 @@ def emissions(values: np.ndarray, stated: np.ndarray, texts: np.ndarray, level:
     return out
 
 
+@lru_cache(100_000)
 def switching(stay: float) -> np.ndarray:
     """Log-probability of each unit after each."""
     m = np.full((K, K), math.log((1 - stay) / (K - 1)))
@@ -280,7 +282,7 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
     factors = F.create_map(*[x for u, f in METRES.items() for x in (F.lit(u), F.lit(f))])
     number = F.coalesce(F.array_position(F.array(*[F.lit(u) for u in UNITS]), F.col("stated_unit")) - 1, F.lit(-1)).cast("int")
     source = F.coalesce("source", F.lit("")).alias("source")
-    chain = seen.where("kind = 'distance' and value is not null").select("id", source, "value", number.alias("stated"), "in_text", F.floor(F.col("id") / BLOCK).alias("block"))
+    chain = seen.where("kind = 'distance' and value is not null").select("id", source, "value", number.alias("stated"), "in_text")
 
     logs = seen.where("kind = 'distance' and stated_unit is not null and value > 0").select(source, F.log(F.col("value") * F.element_at(factors, F.col("stated_unit"))).alias("x"))
     quartiles = F.percentile_approx("x", [0.25, 0.5, 0.75], 10_000)
@@ -289,8 +291,21 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
     around = F.greatest((F.col("n") * (F.col("q")[2] - F.col("q")[0]) / QUARTILES + PRIOR * F.col("a_spread")) / (F.col("n") + PRIOR), F.lit(LEAST_SPREAD))
     own = cut(own.select("source", F.col("q")[1].alias("level"), around.alias("spread")))
     none = every.first()
-    typical = lambda df: df.join(own, "source", "left").na.fill({"level": none["a_level"], "spread": max(none["a_spread"], LEAST_SPREAD)})
-    chain = typical(chain).withColumn("low", F.col("level") - REACH * F.col("spread")).withColumn("high", F.col("level") + REACH * F.col("spread"))
+    own = own.select("source", F.col("level").alias("own_level"), F.col("spread").alias("own_spread"))
+    place = F.floor(F.col("id") / BLOCK)
+    sizes = chain.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.max(place).alias("last"))
+    # A source of few records is one block; the ids of others part them into blocks, numbered from the first.
+    few = F.col("n") <= BLOCK
+    sources = cut(
+        sizes.join(own, "source", "left").select(
+            "source", "n", "first", F.when(few, 1).otherwise(F.col("last") - F.col("first") + 1).alias("width"), F.coalesce("own_level", F.lit(none["a_level"])).alias("start"), F.coalesce("own_spread", F.lit(max(none["a_spread"], LEAST_SPREAD))).alias("spread")
+        )
+    )
+    total = sources.agg(F.sum("n"), F.max("width")).first()
+    hot = [r[0] for r in sources.where((F.col("n") > LEAST) & (F.col("n") > SHARE * (total[0] or 0))).select("source").collect()]  # at most 1 / SHARE
+    chain = skew_join(chain, sources, "source", hot=hot).withColumn("block", F.when(F.col("width") == 1, 0).otherwise(place - F.col("first")))
+    chain = chain.withColumn("low", F.col("start") - REACH * F.col("spread")).withColumn("high", F.col("start") + REACH * F.col("spread")).drop("n", "first")
+    chain = cut(chain)
 
     # Each block's level map, and how often the unit stays between stated neighbours.
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -301,16 +316,15 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
         yield pd.DataFrame(rows, columns=[*KEYS, "map", "pairs", "same"])
 
     blocks = cut(in_order(chain, KEYS, [*KEYS, "id"]).mapInPandas(summaries, "source STRING, block BIGINT, map ARRAY<DOUBLE>, pairs BIGINT, same BIGINT"))
-    moves = blocks.groupBy("source").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"), (F.max("block") - F.min("block") + 1).alias("width"), F.min("block").alias("first"))
+    moves = blocks.groupBy("source").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"))
     usual = moves.agg(F.coalesce(F.sum("same") / F.nullif(F.sum("pairs"), F.lit(0)), F.lit(0.9)).alias("a_stay"))
     stay = (F.col("same") + PRIOR * F.col("a_stay")) / (F.col("pairs") + PRIOR)
-    sources = cut(typical(moves.crossJoin(F.broadcast(usual))).select("source", "width", "first", "level", F.least(F.greatest(stay, F.lit(STAY[0])), F.lit(STAY[1])).alias("stay")))
-    widest = sources.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
-    # Blocks are numbered from the source's first, so that the tree is as low as its longest chain allows.
-    numbered = blocks.join(sources, "source").select("source", (F.col("block") - F.col("first")).alias("block"), "map", F.array(F.col("level")).alias("__start"))
-    entering = _sweep(numbered, "map", "level", widest, _combined_maps, _levels_through)
-    rows = chain.drop("level").join(sources.select("source", "first", "stay"), "source").withColumn("block", F.col("block") - F.col("first")).drop("first")
-    rows = cut(rows.join(entering.select("source", "block", F.col("level")[0].alias("level")), KEYS))
+    moves = moves.crossJoin(F.broadcast(usual)).select("source", F.least(F.greatest(stay, F.lit(STAY[0])), F.lit(STAY[1])).alias("stay"))
+    numbered = blocks.join(sources.select("source", F.array("start").alias("__start")), "source").select("source", "block", "map", "__start")
+    entering = _sweep(numbered, "map", "level", total[1] or 0, _combined_maps, _levels_through)
+    rows = skew_join(chain, moves, "source", hot=hot)
+    short = rows.where("width = 1").withColumn("level", F.col("start"))
+    long = cut(rows.where("width > 1").join(entering.select("source", "block", F.col("level")[0].alias("level")), KEYS))
 
     def scored(r: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         level = levels(r["value"], r["stated"], *(float(r[c][0]) for c in ("level", "low", "high")))
@@ -335,9 +349,10 @@ def unit_states(df: DataFrame, id_col: str = "id", source_col: str = "source_fil
                 ids, found = [], []
         yield pd.DataFrame({"id": ids, "unit": [UNITS[k] for k in found]})
 
-    summary = cut(in_order(rows, KEYS, [*KEYS, "id"]).mapInPandas(matrices, "source STRING, block BIGINT, m ARRAY<DOUBLE>"))
-    ends = _sweep(summary, "m", "ends", widest, _combined_matrices, _states_through)
-    states = in_order(rows.join(ends, KEYS), KEYS, [*KEYS, "id"]).mapInPandas(decoded, f"id {key}, unit STRING").distinct()
+    summary = cut(in_order(long, KEYS, [*KEYS, "id"]).mapInPandas(matrices, "source STRING, block BIGINT, m ARRAY<DOUBLE>"))
+    ends = _sweep(summary, "m", "ends", total[1] or 0, _combined_matrices, _states_through)
+    both = short.withColumn("ends", F.array(F.lit(-1.0), F.lit(-1.0))).unionByName(long.join(ends, KEYS))
+    states = in_order(both, KEYS, [*KEYS, "id"]).mapInPandas(decoded, f"id {key}, unit STRING").distinct()
     metres = F.col("value") * F.element_at(factors, F.col("unit"))
     return seen.join(states, "id", "left").select("id", "kind", "value", "stated_unit", "unit", F.bround(F.round(metres, 6)).cast("bigint").alias("metres"))
 

@@ -223,20 +223,3 @@ def test_bibliography_runs_and_credits():
     credits = "Body.\nAcknowledgement\n" + "We thank all. " * 20 + "\n5. Results\nThe sea."
     assert D.bibliography(credits) == [(6, credits.index("\n5. Results"))]
     assert D.bibliography("Body.\n7. References\nx")[0][0] == 6
-
-
-def test_surveyed_pattern_lists(spark):
-    from tidewright.operators import extraction as X
-
-    turkish = "Kıyıdaki ilçelerin çoğunda bu yıl yeni bir düzenleme yapıldı. Balıkçılık ile turizm arasında çatışma vardır. Köyde anket çalışması yapıldı. Veri eksikliği sürmektedir. Önerilen tampon bölge genişletilmelidir."
-    english = "Conflicts between fishing and shipping grew. AIS data show this. We used a survey through interviews. There is a lack of seabed records. We conclude that the ban helps the coast."
-    d = spark.createDataFrame([("t", "research", turkish), ("e", "research", english), ("n", "research", None)], "doc_id string, doc_type string, text string")
-    rows = X.extract(d, ("conflict", "data_source", "method", "conclusion", "gap")).collect()
-    got = {(r["doc_id"], r["category"]): r for r in rows}
-    assert {k for k in got} == {(n, c) for n in "te" for c in ("conflict", "data_source", "method", "conclusion", "gap")}
-    assert (got["t", "conflict"]["fields"]["activity_1"], got["t", "conflict"]["fields"]["activity_2"]) == ("Balıkçılık", "turizm")
-    assert got["e", "conflict"]["fields"]["activity_2"] == "shipping grew"
-    assert got["t", "method"]["fields"]["method_type"] == "anket çalışması"
-    assert got["e", "data_source"]["exact_text"] == "AIS data"
-    assert got["e", "gap"]["fields"]["gap_description"] == "seabed records"
-    assert X.extract(d, routed=True).where("category = 'conflict'").count() == 2

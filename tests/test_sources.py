@@ -44,7 +44,7 @@ def test_round_trips(spark, tmp_path):
 def test_stream_ingest_is_once(spark, tmp_path):
     from tidewright.streaming.ingest import ingest as stream
 
-    docs = spark.createDataFrame([(1, "Salinity reached 3.5 psu at the pier. Anchoring is prohibited in the No-Take Zone of X.", "legal")], "doc_id bigint, text string, doc_type string")
+    docs = spark.createDataFrame([(1, "The salinity of 3.5 ppt was read at the pier. Anchoring is prohibited in the No-Take Zone of X.", "legal")], "doc_id bigint, text string, doc_type string")
     docs.write.parquet(str(tmp_path / "in"))
     for _ in range(2):
         stream(spark, str(tmp_path / "in"), docs.schema.simpleString()[7:-1].replace(":", " "), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)

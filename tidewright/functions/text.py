@@ -79,6 +79,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def words_of(terms: tuple[str, ...]) -> Column:
+    """The terms as a constant array."""
+    return F.split(F.lit("\x01".join(terms)), "\x01")
+
+
 def presence(text: Column, terms: tuple[str, ...]) -> Column:
     """How many of the terms stand in the (folded) text."""
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(fold_term(t))).cast("int") for t in terms])
@@ -194,7 +199,7 @@ def activity(text: Column) -> Column:
     """struct(name, confidence): the activity with the highest weighted number of keywords of the text's language; the first wins ties."""
 
     def best(low: Column, language: int) -> Column:
-        present = lambda words: F.size(F.filter(F.array(*[F.lit(fold_term(w)) for w in dict.fromkeys(words)]), lambda w: F.contains(low, w)))
+        present = lambda words: F.size(F.filter(words_of(tuple(fold_term(w) for w in dict.fromkeys(words))), lambda w: F.contains(low, w)))
         return F.array_max(F.array(*[F.struct((present(a[language]) * a[2]).alias("score"), F.lit(-i).alias("i")) for i, a in enumerate(KEYWORDS.values())]))
 
     def named(best: Column) -> Column:

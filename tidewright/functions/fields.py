@@ -160,6 +160,11 @@ NO_MATTER = tuple(
 ) + ("sea level", "target species")
 
 
+def lower(text: Column | str) -> Column:
+    """Lower case; the dotted capital becomes i."""
+    return F.lower(F.translate(text, "İ", "i"))
+
+
 def any_of(text: Column, terms: tuple[str, ...]) -> Column:
     """Whether any of the terms stands in a text; false for NULL."""
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms]), F.lit(False))
@@ -208,16 +213,16 @@ def amount(text: Column) -> Column:
 
 def distance_unit(unit: Column) -> Column:
     """metre, kilometre, nautical_mile or (English) mile; a metre where nothing is known."""
-    low = F.lower(unit)
+    low = lower(unit)
     return F.when(low.isin("m", "m."), "metre").when(low.rlike("(?U)^miles?$"), "mile").otherwise(label(low, DISTANCE_UNITS, "metre"))
 
 
 def qualifier(text: Column, turkish: Column) -> Column:
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).otherwise(labelled(F.lower(text), turkish, QUALIFIERS))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(None)).otherwise(labelled(lower(text), turkish, QUALIFIERS))
 
 
 def penalty_type(text: Column, turkish: Column) -> Column:
-    return labelled(F.lower(text), turkish, PENALTY_TYPES, "unspecified_penalty")
+    return labelled(lower(text), turkish, PENALTY_TYPES, "unspecified_penalty")
 
 
 def currency(text: Column, turkish: Column) -> Column:
@@ -228,19 +233,19 @@ def currency(text: Column, turkish: Column) -> Column:
 
 def condition_type(parameter: Column, pollutant: Column, kind: Column) -> Column:
     """The condition that a parameter, a pollutant and further words speak of."""
-    texts = {"p": F.lower(F.coalesce(parameter, F.lit(""))), "q": F.lower(F.coalesce(pollutant, F.lit(""))), "t": F.lower(F.coalesce(kind, F.lit("")))}
+    texts = {"p": lower(F.coalesce(parameter, F.lit(""))), "q": lower(F.coalesce(pollutant, F.lit(""))), "t": lower(F.coalesce(kind, F.lit("")))}
     hit = lambda where, terms: reduce(lambda a, b: a | b, [any_of(texts[w], terms) for w in where])
     return reduce(lambda rest, r: F.when(hit(r[1], r[2]), r[0]).otherwise(rest), reversed(CONDITIONS), F.lit("environmental_condition"))
 
 
 def prohibition_type(text: Column, method: Column, area: Column, turkish: Column) -> Column:
-    return F.when(method.isNotNull(), "method_prohibited").when(area.isNotNull(), "area_restricted").otherwise(labelled(F.lower(text), turkish, PROHIBITIONS, "restriction"))
+    return F.when(method.isNotNull(), "method_prohibited").when(area.isNotNull(), "area_restricted").otherwise(labelled(lower(text), turkish, PROHIBITIONS, "restriction"))
 
 
 def permit_type(kind: Column, permit: Column, context: Column, turkish: Column) -> Column:
     """The kind and the permit as they are named, else by the context."""
     named = F.concat_ws("_", F.trim(kind), F.nullif(F.trim(permit), F.lit("")))
-    return F.when(F.coalesce(F.trim(kind), F.lit("")) != "", named).otherwise(labelled(F.lower(context), turkish, PERMITS, "permit"))
+    return F.when(F.coalesce(F.trim(kind), F.lit("")) != "", named).otherwise(labelled(lower(context), turkish, PERMITS, "permit"))
 
 
 def title(context: Column, turkish: Column) -> Column:
@@ -263,13 +268,13 @@ def conflict_type(text: Column) -> Column:
 
 def resolution(broad: Column, turkish: Column) -> Column:
     """How a conflict is resolved: a known strategy, else what a pattern finds."""
-    known = reduce(lambda rest, s: F.when(F.contains(F.lower(broad), F.lit(s)), s).otherwise(rest), reversed(RESOLUTIONS), F.lit(None).cast("string"))
+    known = reduce(lambda rest, s: F.when(F.contains(lower(broad), F.lit(s)), s).otherwise(rest), reversed(RESOLUTIONS), F.lit(None).cast("string"))
     return F.substring(F.when(turkish, found(broad, SEARCHES["resolution"]["turkish"])).otherwise(F.coalesce(known, found(broad, SEARCHES["resolution"]["english"]))), 1, 80)
 
 
 def valid_activity(a: Column) -> Column:
     """Whether words can be an activity: short, of few plain words, no fragment of a sentence."""
-    low = F.lower(F.trim(a))
+    low = lower(F.trim(a))
     words = F.split(low, r"\s+")
     fragment = reduce(lambda x, y: x | y, [F.startswith(low, F.lit(s)) for s in NO_START])
     return F.coalesce(
@@ -301,13 +306,13 @@ def longest_keyword(text: Column, turkish: Column) -> Column:
 
 def is_marine(text: Column, turkish: Column) -> Column:
     """Whether a text names an activity or another marine matter."""
-    low = F.lower(text)
+    low = lower(text)
     return F.coalesce(longest_keyword(low, turkish).isNotNull() | any_of(low, (*MARINE_TERMS, "wind farm", "wind energy")), F.lit(False))
 
 
 def plain_activity(raw: Column, sentence: Column, turkish: Column) -> Column:
     """An activity by its keyword: in the words themselves, or near them in the sentence; else its first words."""
-    low, around = F.lower(F.trim(raw)), F.lower(sentence)
+    low, around = lower(F.trim(raw)), lower(sentence)
     at = F.instr(around, low)
     window = F.when(at > 0, F.substr(around, F.greatest(F.lit(1), at - 40), F.least(at - 1, F.lit(40)) + F.length(low) + 40))
     bare = F.regexp_replace(low, r"^(?:the|a|an|of|for|in|on|by|to|and|with|their|our|its|these|those|some|this|that)\s+", "")
@@ -316,12 +321,12 @@ def plain_activity(raw: Column, sentence: Column, turkish: Column) -> Column:
 
 
 def method_type(text: Column) -> Column:
-    return label(F.lower(text), METHODS, "research_method")
+    return label(lower(text), METHODS, "research_method")
 
 
 def tools(context: Column) -> Column:
     """The named tools in a context, at most five; one of a single letter has to stand alone."""
-    low = F.lower(F.coalesce(context, F.lit("")))
+    low = lower(F.coalesce(context, F.lit("")))
     return F.slice(F.filter(F.array(*[F.when(F.contains(low, F.lit(t.lower())) if len(t) > 1 else context.rlike(rf"(?U)\b{t}\b"), F.lit(t)) for t in TOOLS]), lambda t: t.isNotNull()), 1, 5)
 
 
@@ -347,11 +352,11 @@ def study_area(context: Column, turkish: Column) -> Column:
 
 
 def result_type(context: Column) -> Column:
-    return F.when(context.rlike(ANY_CASE + STATISTIC), "statistical").when(context.rlike(ANY_CASE + QUANTITY), "quantitative").when(any_of(F.lower(context), ("spatial", "map", "area", "region", "zone", "location")), "spatial").otherwise("qualitative")
+    return F.when(context.rlike(ANY_CASE + STATISTIC), "statistical").when(context.rlike(ANY_CASE + QUANTITY), "quantitative").when(any_of(lower(context), ("spatial", "map", "area", "region", "zone", "location")), "spatial").otherwise("qualitative")
 
 
 def related_method(context: Column, turkish: Column) -> Column:
-    low = F.lower(context)
+    low = lower(context)
     first = lambda terms: reduce(lambda rest, t: F.when(F.contains(low, F.lit(t.lower())), t).otherwise(rest), reversed(terms), F.lit(None).cast("string"))
     return F.when(turkish, first(RELATED_METHODS["english"] + RELATED_METHODS["turkish"])).otherwise(first(RELATED_METHODS["english"]))
 
@@ -363,11 +368,11 @@ def graded(context: Column, grades: tuple[tuple[str, str], ...], default: str) -
 
 def species_valid(text: Column, context: Column) -> Column:
     """Whether a name can be a species: two-part names are; places and lone group names without a qualifier are not."""
-    low = F.lower(F.trim(text))
-    lone = low.isin(*GENERIC_GROUPS) & ~any_of(F.lower(context), QUALIFYING)
+    low = lower(F.trim(text))
+    lone = low.isin(*GENERIC_GROUPS) & ~any_of(lower(context), QUALIFYING)
     return F.coalesce(F.trim(text).rlike("^[A-Z][a-z]{2,}\\s+[a-z]{2,}$") | ~(low.isin(*PLACE_NAMES) | lone), F.lit(True))
 
 
 def is_journal(text: Column) -> Column:
     """Whether a text is the name of a journal, its article aside."""
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(text)), "^(?:the |a )", "").isin(*JOURNALS), F.lit(False))
+    return F.coalesce(F.regexp_replace(lower(F.trim(text)), "^(?:the |a )", "").isin(*JOURNALS), F.lit(False))

@@ -54,19 +54,6 @@ KEYWORDS = {
     "conservation": (("koruma", "doğa koruma", "habitat koruma", "ekosistem", "biyoçeşitlilik", "nesli tehlike", "endemik", "restorasyon"), ("conservation", "protection", "habitat protection", "ecosystem", "biodiversity", "endangered", "endemic", "restoration", "rehabilitation", "marine conservation"), 3),
     "research": (("araştırma", "bilimsel", "izleme", "ölçüm", "oşinografi"), ("research", "scientific", "monitoring", "survey", "oceanography", "marine science", "study", "sampling"), 2),
 }
-#: The shorter list that the SQL of t30_activities holds; no operator reads it.
-ACTIVITIES = (
-    ("aquaculture", ("aquaculture", "shellfish farming", "mussel", "yetiştiriciliği"), 4),
-    ("fishing", ("fishing", "trawl", "avcılığı", "avcılık", "balıkçılığı"), 4),
-    ("shipping", ("ferry traffic", "navigation", "shipping", "feribot trafiği"), 3),
-    ("tourism", ("tourism", "recreational", "scuba diving", "turizmi", "tüplü dalış", "denizcilik"), 3),
-    ("energy", ("offshore wind", "fuel transfer", "rüzgâr santrali", "akaryakıt aktarımı"), 3),
-    ("dredging", ("dredging", "sand extraction", "dip taraması", "kum çıkarımı"), 3),
-    ("infrastructure", ("port expansion", "cable laying", "pipeline", "liman genişletmesi", "kablo döşenmesi", "boru hattı"), 2),
-    ("anchoring", ("anchoring", "mooring", "demirleme"), 2),
-    ("discharge", ("discharge", "boşaltımı", "deşarj"), 2),
-    ("harvesting", ("seaweed harvesting", "salt production", "yosun hasadı", "tuz üretimi"), 2),
-)
 REFERENCE_POINTS = (("shoreline", "coastline"), ("coast", "coastline"), ("kıyı çizgisi", "coastline"), ("harbour", "port"), ("ferry pier", "port"), ("liman", "port"), ("iskele", "port"), ("reserve boundary", "protected_area"), ("koruma alanı", "protected_area"), ("cage site", "facility"), ("intake pipe", "facility"), ("kafes sahası", "facility"), ("lighthouse", "reference_point"), ("river mouth", "reference_point"), ("deniz feneri", "reference_point"), ("nehir ağzı", "reference_point"))
 
 

@@ -38,7 +38,7 @@ class Match:
 
     def __init__(self):
         self.text, self.sentence, self.context, self.broad = F.col("exact_text"), F.col("sentence"), F.col("context"), F.col("broad")
-        self.low, self.turkish, self.relevance = F.lower("context"), F.col("turkish"), F.col("marine_relevance")
+        self.low, self.turkish, self.relevance = V.lower("context"), F.col("turkish"), F.col("marine_relevance")
 
     def __getitem__(self, group: str) -> Column:
         return F.nullif(F.trim(F.col("groups")[group]), F.lit(""))
@@ -113,7 +113,7 @@ def distance_fields(m: Match) -> Fields:
 
 def distance_valid(m: Match, f: Fields) -> Column:
     value, low, high = V.decimal(m["value"]), V.decimal(m["min"]), V.decimal(m["max"])
-    year = F.lower(m["unit"]).isin("metre", "metrelik", "mt", "m", "m.") & (value > 1900) | (low > 1900) | (high > 1900) | (low >= high)
+    year = V.lower(m["unit"]).isin("metre", "metrelik", "mt", "m", "m.") & (value > 1900) | (low > 1900) | (high > 1900) | (low >= high)
     return ~F.coalesce(year, F.lit(False)) & ~V.by_language(m.turkish, lambda t: V.any_of(m.low, t), BUILDING)
 
 
@@ -140,7 +140,7 @@ def temporal_fields(m: Match) -> Fields:
 def environmental_fields(m: Match) -> Fields:
     return {
         "condition_type": V.condition_type(m["parameter"], m["pollutant"], m["type"]), "description": F.coalesce(F.nullif(F.concat_ws(" ", m["parameter"], m["pollutant"], m["type"], m["threshold"]), F.lit("")), F.lit("environmental condition")),
-        "value": V.decimal(m["value"]).cast("string"), "unit": m["unit"], "threshold_type": V.labelled(F.lower(m["threshold"]), m.turkish, V.THRESHOLDS), "legal_reference": m.search("legal_reference"),
+        "value": V.decimal(m["value"]).cast("string"), "unit": m["unit"], "threshold_type": V.labelled(V.lower(m["threshold"]), m.turkish, V.THRESHOLDS), "legal_reference": m.search("legal_reference"),
     }
 
 
@@ -165,25 +165,25 @@ def coordinate_fields(m: Match) -> Fields:
 
 
 def stakeholder_fields(m: Match) -> Fields:
-    return {"stakeholder_name": F.coalesce(m["name"], m["role"]), "stakeholder_type": V.labelled(F.lower(m["type"]), m.turkish, V.STAKEHOLDERS, "stakeholder"), "role": m.search("role"), "responsibilities": m.lists("responsibilities", 3), "legal_reference": m.search("legal_reference")}
+    return {"stakeholder_name": F.coalesce(m["name"], m["role"]), "stakeholder_type": V.labelled(V.lower(m["type"]), m.turkish, V.STAKEHOLDERS, "stakeholder"), "role": m.search("role"), "responsibilities": m.lists("responsibilities", 3), "legal_reference": m.search("legal_reference")}
 
 
 def stakeholder_valid(m: Match, f: Fields) -> Column:
     name = f["stakeholder_name"]
     digits = F.length(F.regexp_replace(name, r"\P{N}", ""))
-    return F.coalesce(no_lines(name) & F.length(name).between(3, 150) & ~V.any_of(F.lower(name), NO_STAKEHOLDER) & (digits <= F.length(name) * 0.3), F.lit(True))
+    return F.coalesce(no_lines(name) & F.length(name).between(3, 150) & ~V.any_of(V.lower(name), NO_STAKEHOLDER) & (digits <= F.length(name) * 0.3), F.lit(True))
 
 
 def institution_valid(m: Match, f: Fields) -> Column:
     name = m["name"]
     proper = F.size(F.filter(F.split(name, r"\s+"), lambda w: w.rlike(r"^\p{Lu}.")))
     starter = name.rlike(r"^(?:The|A|An|Once|This|That|In|On|By|For|With|MEL|IOC)\s") & ~name.rlike(r"^\w+\s+\p{Lu}")
-    return F.coalesce(no_lines(m.text) & ~F.lower(name).isin(*NO_INSTITUTION) & ~starter & (F.length(name) >= 5) & ~V.any_of(name, FRAGMENTS) & (proper >= 2), F.lit(False))
+    return F.coalesce(no_lines(m.text) & ~V.lower(name).isin(*NO_INSTITUTION) & ~starter & (F.length(name) >= 5) & ~V.any_of(name, FRAGMENTS) & (proper >= 2), F.lit(False))
 
 
 def conflict_fields(m: Match) -> Fields:
     a, b = (V.plain_activity(F.substring(m[x], 1, 50), m.sentence, m.turkish) for x in ("activity1", "activity2"))
-    return {"conflict_type": V.conflict_type(F.lower(F.concat_ws(" ", m.context, m["activity1"], m["activity2"]))), "activity_1": a, "activity_2": b, "severity": V.labelled(m.low, m.turkish, V.SEVERITIES), "resolution": V.resolution(m.broad, m.turkish)}
+    return {"conflict_type": V.conflict_type(V.lower(F.concat_ws(" ", m.context, m["activity1"], m["activity2"]))), "activity_1": a, "activity_2": b, "severity": V.labelled(m.low, m.turkish, V.SEVERITIES), "resolution": V.resolution(m.broad, m.turkish)}
 
 
 def conflict_valid(m: Match, f: Fields) -> Column:
@@ -191,18 +191,18 @@ def conflict_valid(m: Match, f: Fields) -> Column:
     short = F.coalesce((F.length(a) <= 40) & (F.length(b) <= 40), F.lit(False))
     whole = ~F.contains(F.concat_ws(" ", a, b, m.sentence), F.lit("�"))
     marine = V.is_marine(f["activity_1"], m.turkish) | V.is_marine(f["activity_2"], m.turkish)
-    return short & V.valid_activity(a) & V.valid_activity(b) & ~V.any_of(F.lower(F.concat_ws(" ", a, b)), V.NO_MATTER) & whole & (F.lower(f["activity_1"]) != F.lower(f["activity_2"])) & marine
+    return short & V.valid_activity(a) & V.valid_activity(b) & ~V.any_of(V.lower(F.concat_ws(" ", a, b)), V.NO_MATTER) & whole & (V.lower(f["activity_1"]) != V.lower(f["activity_2"])) & marine
 
 
 def finding_valid(m: Match, f: Fields) -> Column:
     said = m["description"]
     figures = said.rlike(r"(?i)\d+(?:[.,]\d+)?%|p\s*[<>=]|\d+\s*(?:km|ha|hectare|m2|km2)")
-    return F.coalesce((F.length(said) >= 20) & no_lines(said) & ~said.rlike(r"[a-z]-\s+[a-z]") & ~V.any_of(F.lower(said), ALGORITHMS) & figures, F.lit(False))
+    return F.coalesce((F.length(said) >= 20) & no_lines(said) & ~said.rlike(r"[a-z]-\s+[a-z]") & ~V.any_of(V.lower(said), ALGORITHMS) & figures, F.lit(False))
 
 
 def policy_valid(m: Match, f: Fields) -> Column:
     title = m["title"]
-    low = F.lower(title)
+    low = V.lower(title)
     words = F.filter(F.split(title, r"\s+"), lambda w: F.length(w) >= 2)
     verbs = F.arrays_overlap(F.split(low, r"\s+"), F.array(*[F.lit(w) for w in SENTENCE_VERBS]))
     return F.coalesce(~V.any_of(low, NO_POLICY) & F.length(title).between(3, 150) & no_lines(title) & F.size(words).between(2, 8) & ~verbs, F.lit(False))
@@ -229,24 +229,24 @@ SPECS = {
         ExtractorSpec("distance", distance_fields, ("value", "unit", "activity", "exact_text:50"), (0.15, 0.15), 0.7, lambda m, f: ((m.relevance > 0.6, 0.1), (activity(m)["confidence"] > 0.4, 0.05), (has(f["reference_point"]), 0.05)), distance_valid, True, True, True),
         ExtractorSpec("penalty", penalty_fields, ("penalty_type", "amount", "violation:30"), (0.05, 0.15), 0.7, lambda m, f: ((has(f["amount"]) | has(f["duration"]), 0.1), (has(f["violation"]), 0.05)), None, True, True, True),
         ExtractorSpec("temporal", temporal_fields, ("restriction_type", "start_date", "end_date", "activity"), (0.15, 0.2), 0.7, lambda m, f: ((has(f["start_date"]) | has(f["duration"]), 0.1), (activity(m)["confidence"] > 0.4, 0.05)), lambda m, f: ~V.any_of(m.low, LAND_LAW), True, True, True),
-        ExtractorSpec("environmental", environmental_fields, ("condition_type", "description:30", "value"), (0.05, 0.1), 0.7, _bonus(("value", 0.1), ("unit", 0.05)), lambda m, f: ~V.any_of(F.lower(m.text), ASSESSMENTS) & no_lines(m.text) & ~m.text.rlike(r"(?i)ph\d{5,}|doi:|10\.\d{4}"), True, True, True),
-        ExtractorSpec("prohibition", prohibition_fields, ("prohibition_type", "activity", "scope"), (0.05, 0.15), 0.7, _bonus(("activity", 0.1), ("scope", 0.05)), lambda m, f: no_lines(m.text) & ~F.lower(F.trim(m.text)).rlike("(?:" + "|".join(EXCEPTIONS) + r")\z") & F.coalesce(F.length(m["activity"]).between(3, 80), F.lit(True)), True, True, True),
+        ExtractorSpec("environmental", environmental_fields, ("condition_type", "description:30", "value"), (0.05, 0.1), 0.7, _bonus(("value", 0.1), ("unit", 0.05)), lambda m, f: ~V.any_of(V.lower(m.text), ASSESSMENTS) & no_lines(m.text) & ~m.text.rlike(r"(?i)ph\d{5,}|doi:|10\.\d{4}"), True, True, True),
+        ExtractorSpec("prohibition", prohibition_fields, ("prohibition_type", "activity", "scope"), (0.05, 0.15), 0.7, _bonus(("activity", 0.1), ("scope", 0.05)), lambda m, f: no_lines(m.text) & ~V.lower(F.trim(m.text)).rlike("(?:" + "|".join(EXCEPTIONS) + r")\z") & F.coalesce(F.length(m["activity"]).between(3, 80), F.lit(True)), True, True, True),
         ExtractorSpec("species", species_fields, ("species_name", "scientific_name"), (0.1, 0.1), 0.6, _bonus(("scientific_name", 0.2)), lambda m, f: F.when(has(m["scientific_name"]), (m.relevance >= 0.15) & no_lines(m.text)).otherwise(True), True, False, True),
         ExtractorSpec("protected_area", lambda m: {"area_type": F.coalesce(F.substring(m["area_type"], 1, 100), F.lit("protected_area")), "name": F.substring(m["name"], 1, 200), "designation": m["designation"], "restrictions": m.lists("restrictions", 5), "legal_reference": m.search("legal_reference")}, ("area_type", "name", "designation"), (0.1, 0.1), 0.7, _bonus(("name", 0.1), ("designation", 0.05)), None, True, False, True),
         ExtractorSpec("permit", lambda m: {"permit_type": V.permit_type(m["permit_type"], m["permit"], m.context, m.turkish), "issuing_authority": m["authority"], "requirements": m.lists("requirements", 5), "validity_period": m["validity"], "activity": activity(m)["name"], "legal_reference": m.search("legal_reference")}, ("permit_type", "issuing_authority", "activity"), (0.05, 0.15), 0.7, _bonus(("permit_type", 0.1), ("issuing_authority", 0.05)), None, True, False, True),
         ExtractorSpec("coordinate", coordinate_fields, ("latitude", "longitude", "location_description"), (0.05, 0.05), 0.8, _bonus(("location_description", 0.05), ("boundary_type", 0.05)), lambda m, f: F.coalesce(f["latitude"].cast("double").between(-90, 90) & f["longitude"].cast("double").between(-180, 180), F.lit(False)), False, False, True),
-        ExtractorSpec("legal_reference", lambda m: {"reference_type": V.labelled(F.lower(m["type"]), m.turkish, V.LAWS, "legal_reference"), "law_number": m["law_number"], "article_number": m["article"], "title": V.title(m.context, m.turkish), "date": V.law_date(m.context)}, ("reference_type", "law_number", "article_number"), (0.05, 0.05), 0.8, _bonus(("law_number", 0.1), ("article_number", 0.05)), relevance_bonus=0.0),
+        ExtractorSpec("legal_reference", lambda m: {"reference_type": V.labelled(V.lower(m["type"]), m.turkish, V.LAWS, "legal_reference"), "law_number": m["law_number"], "article_number": m["article"], "title": V.title(m.context, m.turkish), "date": V.law_date(m.context)}, ("reference_type", "law_number", "article_number"), (0.05, 0.05), 0.8, _bonus(("law_number", 0.1), ("article_number", 0.05)), relevance_bonus=0.0),
         ExtractorSpec("stakeholder", stakeholder_fields, ("stakeholder_name", "stakeholder_type", "role"), (0.05, 0.05), 0.7, _bonus(("role", 0.1)), stakeholder_valid, False, False, True),
-        ExtractorSpec("institution", lambda m: {"institution_name": F.substring(F.concat_ws(" ", m["name"], m["type"]), 1, 200), "institution_type": V.labelled(F.lower(m["type"]), m.turkish, V.INSTITUTIONS), "role": m.search("charge"), "jurisdiction": m.search("jurisdiction"), "legal_reference": m.search("legal_reference")}, ("institution_name", "institution_type", "role"), (0.05, 0.05), 0.75, _bonus(("role", 0.1)), institution_valid),
+        ExtractorSpec("institution", lambda m: {"institution_name": F.substring(F.concat_ws(" ", m["name"], m["type"]), 1, 200), "institution_type": V.labelled(V.lower(m["type"]), m.turkish, V.INSTITUTIONS), "role": m.search("charge"), "jurisdiction": m.search("jurisdiction"), "legal_reference": m.search("legal_reference")}, ("institution_name", "institution_type", "role"), (0.05, 0.05), 0.75, _bonus(("role", 0.1)), institution_valid),
         ExtractorSpec("conflict", conflict_fields, ("conflict_type", "activity_1", "activity_2"), (0.15, 0.15), 0.7, lambda m, f: ((has(f["severity"]), 0.05), (has(f["resolution"]), 0.05), (f["conflict_type"] != "spatial", 0.05)), conflict_valid),
         ExtractorSpec("method", lambda m: {"method_type": V.method_type(m["method"]), "description": F.substring(m.sentence, 1, 200), "tools_used": F.nullif(F.array_join(V.tools(m.context), "; "), F.lit("")), "sample_size": V.sample_size(m.context).cast("string")}, ("method_type", "description:30", "sample_size"), (0.1, 0.1), 0.7, _bonus(("tools_used", 0.1))),
-        ExtractorSpec("finding", lambda m: {"finding_type": V.label(F.lower(m["description"]), V.FINDINGS, "finding"), "description": m["description"], "quantitative_result": V.quantitative_result(m["description"]), "significance": m.search("significance")}, ("finding_type", "description:30", "quantitative_result"), (0.15, 0.15), 0.5, lambda m, f: ((has(f["quantitative_result"]), 0.2), (m["description"].rlike(r"\d%"), 0.1)), finding_valid, relevance_bonus=0.15),
-        ExtractorSpec("policy", lambda m: {"policy_type": V.label(F.lower(m["type"]), V.POLICIES, "policy"), "title": m["title"], "scope": m.search("policy_scope"), "objectives": m.lists("objectives", 3), "legal_reference": m.search("legal_reference")}, ("policy_type", "title", "scope"), (0.05, 0.05), 0.7, _bonus(("objectives", 0.1)), policy_valid),
-        ExtractorSpec("data_source", lambda m: {"source_type": V.label(F.lower(F.concat_ws(" ", m["source_type"], m["source_name"])), V.SOURCES, "data_source"), "source_name": F.substring(m["source_name"], 1, 100), "spatial_coverage": m.search("spatial_coverage"), "temporal_coverage": V.year_range(m.context), "resolution": V.resolution_of_data(m.context)}, ("source_type", "source_name", "spatial_coverage"), (0.1, 0.1), 0.7, _bonus(("source_name", 0.1))),
-        ExtractorSpec("objective", lambda m: {"objective_type": V.label(F.lower(m.text), V.OBJECTIVES, "objective"), "objective_text": F.substring(m["obj"], 1, 300), "study_area": V.study_area(m.context, m.turkish)}, ("objective_type", "objective_text:50"), (0.1, 0.1), 0.7, _bonus(("study_area", 0.1)), _long("obj")),
+        ExtractorSpec("finding", lambda m: {"finding_type": V.label(V.lower(m["description"]), V.FINDINGS, "finding"), "description": m["description"], "quantitative_result": V.quantitative_result(m["description"]), "significance": m.search("significance")}, ("finding_type", "description:30", "quantitative_result"), (0.15, 0.15), 0.5, lambda m, f: ((has(f["quantitative_result"]), 0.2), (m["description"].rlike(r"\d%"), 0.1)), finding_valid, relevance_bonus=0.15),
+        ExtractorSpec("policy", lambda m: {"policy_type": V.label(V.lower(m["type"]), V.POLICIES, "policy"), "title": m["title"], "scope": m.search("policy_scope"), "objectives": m.lists("objectives", 3), "legal_reference": m.search("legal_reference")}, ("policy_type", "title", "scope"), (0.05, 0.05), 0.7, _bonus(("objectives", 0.1)), policy_valid),
+        ExtractorSpec("data_source", lambda m: {"source_type": V.label(V.lower(F.concat_ws(" ", m["source_type"], m["source_name"])), V.SOURCES, "data_source"), "source_name": F.substring(m["source_name"], 1, 100), "spatial_coverage": m.search("spatial_coverage"), "temporal_coverage": V.year_range(m.context), "resolution": V.resolution_of_data(m.context)}, ("source_type", "source_name", "spatial_coverage"), (0.1, 0.1), 0.7, _bonus(("source_name", 0.1))),
+        ExtractorSpec("objective", lambda m: {"objective_type": V.label(V.lower(m.text), V.OBJECTIVES, "objective"), "objective_text": F.substring(m["obj"], 1, 300), "study_area": V.study_area(m.context, m.turkish)}, ("objective_type", "objective_text:50"), (0.1, 0.1), 0.7, _bonus(("study_area", 0.1)), _long("obj")),
         ExtractorSpec("result", lambda m: {"result_type": V.result_type(m.context), "result_text": F.substring(m["result"], 1, 300), "quantitative_value": V.found(m.context, (V.QUANTITY,)), "statistical_significance": V.found(m.context, (V.STATISTIC,)), "related_method": V.related_method(m.context, m.turkish)}, ("result_type", "result_text:50"), (0.1, 0.1), 0.6, _bonus(("quantitative_value", 0.1), ("statistical_significance", 0.1)), result_valid),
-        ExtractorSpec("conclusion", lambda m: {"conclusion_type": V.label(F.lower(m.text), V.CONCLUSIONS, "main_conclusion"), "conclusion_text": F.substring(m["conc"], 1, 300), "evidence_strength": V.graded(m.context, V.STRENGTHS, "moderate"), "target_audience": V.label(m.low, V.AUDIENCES)}, ("conclusion_type", "conclusion_text:50"), (0.1, 0.1), 0.7, lambda m, f: ((f["evidence_strength"].isin("strong", "moderate"), 0.1),), lambda m, f: F.coalesce((F.length(m["conc"]) >= 10) & no_lines(m["conc"]) & ~m["conc"].rlike(r"[a-z]-\s+[A-Z][a-z]"), F.lit(False))),
-        ExtractorSpec("gap", lambda m: {"gap_type": V.label(F.lower(F.concat_ws(" ", m.text, m.context)), V.GAPS, "knowledge_gap"), "gap_description": F.substring(m["gap"], 1, 300), "severity": V.graded(m.context, V.GAP_SEVERITIES, "important"), "proposed_solution": m.search("solution"), "domain": V.label(m.low, V.DOMAINS)}, ("gap_type", "gap_description:50"), (0.1, 0.1), 0.6, _bonus(("proposed_solution", 0.1), ("domain", 0.1)), _long("gap"), False, False, True),
+        ExtractorSpec("conclusion", lambda m: {"conclusion_type": V.label(V.lower(m.text), V.CONCLUSIONS, "main_conclusion"), "conclusion_text": F.substring(m["conc"], 1, 300), "evidence_strength": V.graded(m.context, V.STRENGTHS, "moderate"), "target_audience": V.label(m.low, V.AUDIENCES)}, ("conclusion_type", "conclusion_text:50"), (0.1, 0.1), 0.7, lambda m, f: ((f["evidence_strength"].isin("strong", "moderate"), 0.1),), lambda m, f: F.coalesce((F.length(m["conc"]) >= 10) & no_lines(m["conc"]) & ~m["conc"].rlike(r"[a-z]-\s+[A-Z][a-z]"), F.lit(False))),
+        ExtractorSpec("gap", lambda m: {"gap_type": V.label(V.lower(F.concat_ws(" ", m.text, m.context)), V.GAPS, "knowledge_gap"), "gap_description": F.substring(m["gap"], 1, 300), "severity": V.graded(m.context, V.GAP_SEVERITIES, "important"), "proposed_solution": m.search("solution"), "domain": V.label(m.low, V.DOMAINS)}, ("gap_type", "gap_description:50"), (0.1, 0.1), 0.6, _bonus(("proposed_solution", 0.1), ("domain", 0.1)), _long("gap"), False, False, True),
     )
 }
 #: Which extractors a document of a type gets.

@@ -1,19 +1,23 @@
 """Coverage gaps: rules over the knowledge store, and their ranking.
 
-Every rule gives rows of (gap_category, gap_type, severity, subject, n_evidence). Rules over a fixed list of terms are
-one aggregation pass; rules that ask whether a name stands in any of many texts join the names to the word sequences of
-the texts on equal keys, so that no rule compares every name with every text.
+Every rule gives rows of (gap_category, gap_type, severity, subject, n_evidence). Rules that only count (``Counted``) say
+what they count; each is one aggregation pass, and all of them together are one as well. Rules that ask whether a name
+stands in any of many texts join the names to the word sequences of the texts on equal keys, so that no rule compares
+every name with every text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.evaluation import ranked
 from tidewright.operators.linking import with_type
 from tidewright.operators.search import folded
+from tidewright.operators.skew import cut
 
 #: What the rules expect, their thresholds and the weights of the ranking.
 EXPECTED_METHODS = ("gis_analysis", "stakeholder_analysis", "ecological_modeling", "economic_analysis", "cumulative_impact", "scenario_planning")
@@ -44,6 +48,20 @@ def _each(row: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(t).alias("term"), c.alias("value")) for t, c in columns.items()])).alias("r")).select("r.*")
 
 
+class Counted:
+    """A rule over one row of aggregates: what it counts, by name, and its gaps from that row."""
+
+    def __init__(self, aggregates: Callable[[], dict[str, Column]], gaps: Callable[[DataFrame], DataFrame]):
+        self.aggregates, self.gaps = aggregates, gaps
+
+    def __call__(self, e: DataFrame) -> DataFrame:
+        return self.gaps(e.agg(*[c.alias(n) for n, c in self.aggregates().items()]))
+
+
+def of(category: str) -> Column:
+    return F.col("category") == category
+
+
 def method_gaps(e: DataFrame) -> DataFrame:
     """Expected methods used less than 0.3 times the average method; none at all is critical."""
     counts = e.where("category = 'method'").groupBy(F.coalesce(attribute("method_type"), F.lit("unknown")).alias("term")).agg(F.count(F.lit(1)).alias("n"))
@@ -59,26 +77,38 @@ def geographic_gaps(e: DataFrame) -> DataFrame:
     return gap(n.where("n < 2"), "research", "geographic_gap", "important", F.col("name"))
 
 
-def thematic_gaps(e: DataFrame) -> DataFrame:
+def _thematic() -> Counted:
     """Themes with fewer than five extractions."""
-    row = e.agg(*[F.count_if(F.col("category") == t).alias(t) for t in THEMES])
-    low = _each(row, {t: F.col(t) for t in THEMES}).where("value < 5")
-    return gap(low, "research", "thematic_gap", F.when(F.col("value") > 0, "important").otherwise("critical"), F.col("term"))
 
+    def gaps(row: DataFrame) -> DataFrame:
+        low = _each(row, {t: F.col(f"theme_{t}") for t in THEMES}).where("value < 5")
+        return gap(low, "research", "thematic_gap", F.when(F.col("value") > 0, "important").otherwise("critical"), F.col("term"))
 
-def temporal_gaps(e: DataFrame) -> DataFrame:
-    """No temporal extraction at all."""
-    none = e.agg(F.count_if(F.col("category") == "temporal").alias("n")).where("n = 0")
-    return gap(none, "research", "temporal_gap", "important", "temporal")
+    return Counted(lambda: {f"theme_{t}": F.count_if(of(t)) for t in THEMES}, gaps)
 
 
-def unregulated_activities(e: DataFrame) -> DataFrame:
+def _temporal() -> Counted:
+    """No temporal extraction at all; that is its own evidence."""
+    return Counted(lambda: {"n_temporal": F.count_if(of("temporal"))}, lambda row: gap(row.where("n_temporal = 0"), "research", "temporal_gap", "important", "temporal", 0))
+
+
+def _unregulated() -> Counted:
     """Activities that research contexts mention and no legal category has."""
-    research, legal = F.col("category").isin("method", "finding", "conflict", "stakeholder"), F.col("category").isin("prohibition", "permit", "distance", "penalty")
-    own = folded(attribute("activity"))
-    row = e.agg(*[F.max(F.when(research, F.contains(folded("context"), F.lit(a.replace("_", " "))).cast("int"))).alias(f"m_{a}") for a in ACTIVITIES], *[F.max(F.when(legal, (own == a).cast("int"))).alias(f"l_{a}") for a in ACTIVITIES])
-    found = _each(row, {a: (F.coalesce(F.col(f"m_{a}"), F.lit(0)) == 1) & (F.coalesce(F.col(f"l_{a}"), F.lit(0)) == 0) for a in ACTIVITIES}).where("value")
-    return gap(found, "legal", "unregulated_activity", "critical", F.col("term"))
+
+    def counts() -> dict[str, Column]:
+        research, legal = F.col("category").isin("method", "finding", "conflict", "stakeholder"), F.col("category").isin("prohibition", "permit", "distance", "penalty")
+        own = folded(attribute("activity"))
+        said = {f"said_{a}": F.max(F.when(research, F.contains(folded("context"), F.lit(a.replace("_", " "))).cast("int"))) for a in ACTIVITIES}
+        return said | {f"ruled_{a}": F.max(F.when(legal, (own == a).cast("int"))) for a in ACTIVITIES}
+
+    def gaps(row: DataFrame) -> DataFrame:
+        found = _each(row, {a: (F.coalesce(F.col(f"said_{a}"), F.lit(0)) == 1) & (F.coalesce(F.col(f"ruled_{a}"), F.lit(0)) == 0) for a in ACTIVITIES}).where("value")
+        return gap(found, "legal", "unregulated_activity", "critical", F.col("term"), 2)
+
+    return Counted(counts, gaps)
+
+
+thematic_gaps, temporal_gaps, unregulated_activities = _thematic(), _temporal(), _unregulated()
 
 
 def plain_words(c: Column | str) -> Column:
@@ -112,60 +142,63 @@ def missing_penalties(e: DataFrame) -> DataFrame:
     return gap(none, "legal", "missing_penalty", "important", F.col("p"))
 
 
-def vague_requirements(e: DataFrame) -> DataFrame:
-    """Distances of a confidence below 0.5, if any."""
-    n = e.agg(F.count_if((F.col("category") == "distance") & (F.col("confidence") < 0.5)).alias("n")).where("n > 0")
-    return gap(n, "legal", "vague_requirement", "important", F.col("n").cast("string"))
-
+#: Distances of a confidence below 0.5, if any.
+vague_requirements = Counted(lambda: {"n_vague": F.count_if(of("distance") & (F.col("confidence") < 0.5))}, lambda row: gap(row.where("n_vague > 0"), "legal", "vague_requirement", "important", F.col("n_vague").cast("string")))
+#: Permits without an issuing authority, if any.
+enforcement_gaps = Counted(lambda: {"n_unissued": F.count_if(of("permit") & attribute("issuing_authority").isNull())}, lambda row: gap(row.where("n_unissued > 0"), "legal", "enforcement_gap", "important", F.col("n_unissued").cast("string")))
 
-def enforcement_gaps(e: DataFrame) -> DataFrame:
-    """Permits without an issuing authority, if any."""
-    n = e.agg(F.count_if((F.col("category") == "permit") & attribute("issuing_authority").isNull()).alias("n")).where("n > 0")
-    return gap(n, "legal", "enforcement_gap", "important", F.col("n").cast("string"))
 
-
-def missing_data_types(e: DataFrame) -> DataFrame:
+def _missing_types() -> Counted:
     """Essential data types that are absent, as is any type holding their first four letters."""
-    kind = folded(F.when(F.col("category") == "data_source", attribute("source_type")))
-    row = e.agg(*[F.max(F.contains(kind, F.lit(t[:4])).cast("int")).alias(t) for t in ESSENTIAL_DATA])
-    none = _each(row, {t: F.coalesce(F.col(t), F.lit(0)) == 0 for t in ESSENTIAL_DATA}).where("value")
-    return gap(none, "data", "missing_data_type", "critical", F.col("term"))
+    kind = lambda: folded(F.when(of("data_source"), attribute("source_type")))
 
+    def gaps(row: DataFrame) -> DataFrame:
+        none = _each(row, {t: F.coalesce(F.col(f"type_{t}"), F.lit(0)) == 0 for t in ESSENTIAL_DATA}).where("value")
+        return gap(none, "data", "missing_data_type", "critical", F.col("term"))
 
-def _share(e: DataFrame, condition: Column) -> DataFrame:
-    return e.where("category = 'data_source'").agg(F.avg(condition.cast("double")).alias("share"))
+    return Counted(lambda: {f"type_{t}": F.max(F.contains(kind(), F.lit(t[:4])).cast("int")) for t in ESSENTIAL_DATA}, gaps)
 
 
-def coverage_gaps(e: DataFrame) -> DataFrame:
-    """More than 30 % of the data sources without spatial or temporal coverage."""
-    return gap(_share(e, attribute("spatial_coverage").isNull() & attribute("temporal_coverage").isNull()).where("share > 0.3"), "data", "coverage_gap", "important", "coverage")
+missing_data_types = _missing_types()
 
 
-def resolution_gaps(e: DataFrame) -> DataFrame:
-    """More than half of the data sources without a resolution."""
-    return gap(_share(e, attribute("resolution").isNull()).where("share > 0.5"), "data", "resolution_gap", "minor", "resolution")
+def _share(name: str, condition: Callable[[], Column], most: float, *kind: str) -> Counted:
+    """More than a share of the data sources meet a condition."""
+    return Counted(lambda: {name: F.avg(F.when(of("data_source"), condition().cast("double")))}, lambda row: gap(row.where(F.col(name) > most), *kind))
 
 
-def access_barriers(e: DataFrame) -> DataFrame:
-    """More than 20 % of the data sources restricted or proprietary."""
-    return gap(_share(e, F.coalesce(attribute("access_type").isin("restricted", "proprietary"), F.lit(False))).where("share > 0.2"), "integration", "data_access_barrier", "important", "access", 2)
+#: More than 30 % of the data sources without spatial or temporal coverage, more than half without a resolution, more
+#: than 20 % restricted or proprietary.
+coverage_gaps = _share("uncovered", lambda: attribute("spatial_coverage").isNull() & attribute("temporal_coverage").isNull(), 0.3, "data", "coverage_gap", "important", "coverage")
+resolution_gaps = _share("unresolved", lambda: attribute("resolution").isNull(), 0.5, "data", "resolution_gap", "minor", "resolution")
+access_barriers = _share("closed", lambda: F.coalesce(attribute("access_type").isin("restricted", "proprietary"), F.lit(False)), 0.2, "integration", "data_access_barrier", "important", "access")
 
 
 def unprotected_species(e: DataFrame) -> DataFrame:
     """Species of three documents or more without any protection status."""
     s = e.where("category = 'species'").select(folded(attribute("species_name")).alias("name"), "document_id", attribute("protection_status").alias("status")).where("name is not null")
     n = s.groupBy("name").agg(F.countDistinct("document_id").alias("n"), F.count("status").alias("k")).where("n >= 3 and k = 0")
-    return gap(n, "integration", "unprotected_species", "critical", F.col("name"), 2)
+    return gap(n, "integration", "unprotected_important_species", "critical", F.col("name"), 2)
 
 
-def legal_data_mismatch(e: DataFrame) -> DataFrame:
+def _mismatch() -> Counted:
     """Requirements that permits mention and no data source type serves."""
-    kind = folded(F.when(F.col("category") == "data_source", attribute("source_type")))
-    context = folded(F.when(F.col("category") == "permit", F.col("context")))
+    kind, context = lambda: folded(F.when(of("data_source"), attribute("source_type"))), lambda: folded(F.when(of("permit"), F.col("context")))
     has = lambda c, ws: F.coalesce(F.max(reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in ws]).cast("int")), F.lit(0))
-    row = e.agg(*[has(context, w).alias(f"r_{t}") for t, w in REQUIRED_DATA.items()], *[has(kind, w).alias(f"d_{t}") for t, w in REQUIRED_DATA.items()])
-    found = _each(row, {t: (F.col(f"r_{t}") == 1) & (F.col(f"d_{t}") == 0) for t in REQUIRED_DATA}).where("value")
-    return gap(found, "integration", "legal_data_mismatch", "critical", F.col("term"), 2)
+
+    def gaps(row: DataFrame) -> DataFrame:
+        found = _each(row, {t: (F.col(f"asked_{t}") == 1) & (F.col(f"served_{t}") == 0) for t in REQUIRED_DATA}).where("value")
+        return gap(found, "integration", "legal_data_mismatch", "critical", F.col("term"), 2)
+
+    return Counted(lambda: {f"asked_{t}": has(context(), w) for t, w in REQUIRED_DATA.items()} | {f"served_{t}": has(kind(), w) for t, w in REQUIRED_DATA.items()}, gaps)
+
+
+legal_data_mismatch = _mismatch()
+#: More than ten findings of a recommendation and fewer than five policies.
+research_policy_disconnect = Counted(
+    lambda: {"n_recommended": F.count_if(of("finding") & (attribute("finding_type") == "recommendation")), "n_policies": F.count_if(of("policy"))},
+    lambda row: gap(row.where("n_recommended > 10 and n_policies < 5"), "integration", "research_policy_disconnect", "critical", "recommendation", 2),
+)
 
 
 def _unnamed(names: DataFrame, texts: DataFrame) -> DataFrame:
@@ -188,21 +221,15 @@ def unmonitored_areas(e: DataFrame) -> DataFrame:
     return gap(_unnamed(a, t), "integration", "unmonitored_mpa", "critical", F.col("name"), 2)
 
 
-def research_policy_disconnect(e: DataFrame) -> DataFrame:
-    """More than ten findings of a recommendation and fewer than five policies."""
-    n = e.agg(F.count_if((F.col("category") == "finding") & (attribute("finding_type") == "recommendation")).alias("r"), F.count_if(F.col("category") == "policy").alias("p")).where("r > 10 and p < 5")
-    return gap(n, "integration", "research_policy_disconnect", "important", "recommendation", 2)
+COUNTED = (thematic_gaps, temporal_gaps, unregulated_activities, vague_requirements, enforcement_gaps, missing_data_types, coverage_gaps, resolution_gaps, legal_data_mismatch, access_barriers, research_policy_disconnect)
 
 
 def all_gaps(extractions: DataFrame, documents: DataFrame) -> DataFrame:
-    """The rows of all rules."""
+    """The rows of all rules; those that count share one pass, whose one row is kept."""
     e, d = extractions, documents
-    rules = [
-        *[f(e) for f in (method_gaps, geographic_gaps, thematic_gaps, temporal_gaps, unregulated_activities, missing_penalties, vague_requirements, enforcement_gaps, missing_data_types, coverage_gaps)],
-        *[f(e) for f in (resolution_gaps, unprotected_species, legal_data_mismatch, unmonitored_areas, access_barriers, research_policy_disconnect)],
-        method_legal_disconnect(e, d),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    row = cut(e.agg(*[c.alias(n) for rule in COUNTED for n, c in rule.aggregates().items()]))
+    rules = [f(e) for f in (method_gaps, geographic_gaps, missing_penalties, unprotected_species, unmonitored_areas)]
+    return reduce(DataFrame.unionByName, [*rules, method_legal_disconnect(e, d), *[rule.gaps(row) for rule in COUNTED]])
 
 
 def prioritized(gaps: DataFrame, recommendation: bool = True, impact: bool = True) -> DataFrame:
@@ -226,3 +253,12 @@ def summary(scored: DataFrame) -> DataFrame:
 def matrix(gaps: DataFrame) -> DataFrame:
     """Gaps by category and severity, zero-filled."""
     return gaps.groupBy("gap_category").pivot("severity", list(SEVERITY)).agg(F.count(F.lit(1))).na.fill(0, list(SEVERITY))
+
+
+def report_order(gaps: DataFrame) -> DataFrame:
+    """(number, gap columns): the gaps of each category, the most severe first; ties by type and subject. Ranks are counted
+    over range partitions, so that no category is ordered in one task."""
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "important", 1).otherwise(2)
+    r = ranked(gaps.select("gap_category", "gap_type", "severity", "subject", rank.alias("__s")), "gap_category", "__s", "gap_type", "subject")
+    first = r.groupBy("gap_category").agg(F.min("rank").alias("__first"))
+    return r.join(F.broadcast(first), "gap_category").select((F.col("rank") - F.col("__first") + 1).cast("int").alias("number"), "gap_category", "gap_type", "severity", "subject")

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("store_queries", "gap_queries", "text_queries", "evaluation_queries", "extraction_queries", "document_queries", "parser_queries")
+MODULES = ("store_queries", "gap_queries", "text_queries", "evaluation_queries", "extraction_queries", "document_queries", "parser_queries", "field_queries")
 
 
 def _modules() -> list:

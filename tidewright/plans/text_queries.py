@@ -26,7 +26,7 @@ def t1_document_class(s, sf):
 
 
 def s4_long_enough(s, sf):
-    return _d(s, sf).where(F.length(F.trim("text")) >= 500).select("doc_id")
+    return _d(s, sf).where(F.length(F.trim("text")) >= 50).select("doc_id")
 
 
 def t6_without_references(s, sf):
@@ -99,10 +99,13 @@ for _p in (r"\((?:Değişik|Ek|İptal|Amended)[^)]*\)", r"(?i)R\.?G\.?[- ][0-9]{
 LC = FOLD.format("context")
 M, B, O = occurrences(LC, T.MARINE + T.MARINE_TURKISH), occurrences(LC, T.BUILDING), occurrences(LC, T.OTHER_DOMAIN)
 NEAR = "substr(context, greatest(1, instr(context, exact_text) - 50)::bigint, length(exact_text) + 100)"
-SCORES = ", ".join(f"{{'score': {presence(LC, words)} * {weight}, 'i': {-i}}}" for i, (_, words, weight) in enumerate(T.ACTIVITIES))
+def _scores(language: int) -> str:
+    return ", ".join(f"{{'score': {presence(LC, tuple(dict.fromkeys(map(T.fold_term, k[language]))))} * {k[2]}, 'i': {-i}}}" for i, k in enumerate(T.KEYWORDS.values()))
+
+
 ORACLES = {
     "t1_document_class": f"select doc_id, case when text is null or text = '' then 'unknown' when {count(H, f'[{T.TURKISH_LETTERS}]')} > length({H}) * 0.02 then {_kind('turkish')} else {_kind('english')} end as document_class from documents",
-    "s4_long_enough": "select doc_id from documents where length(trim(text, ' ')) >= 500",
+    "s4_long_enough": "select doc_id from documents where length(trim(text, ' ')) >= 50",
     "t6_without_references": f"select id, trim(regexp_replace({_clean}, '[ \\t\\r\\n]+', ' ', 'g'), ' ') as clean from extractions",
     "t9_scan_quality": f"""select id, case when context is null or context = '' then 0.0 else round(greatest(0.0, least(1.0, 1.0 - ({count('context', '[¸˘¨˙]')} + {count('context', '[a-z][A-Z][a-z]')} + {count('context', '[0-9][a-zA-Z][0-9]')} + 2 * {count('context', '[\\p{L}\\p{N}_]{25,}')})::double / greatest(length(context)::double / 100, 1.0))), 6) end::double as quality from extractions""",
     "t14_garbled": """select id, case when context is null or length(context) < 10 then false else (length(context) > 200 and not regexp_matches(substr(context, 1, 200), '[.!?;:]'))
@@ -116,8 +119,8 @@ ORACLES = {
     "t24_relevance": f"select id, case when context is null or {M} + {B} = 0 then 0.5 else round({M}::double / ({M} + {B}), 6) end::double as relevance from extractions",
     "t25_false_positives": f"""select * from (select id, case when context is null or context = '' then 'empty' when {O} >= 2 and {M} = 0 then 'other_domain' when {B} >= 3 and {M} = 0 then 'building'
         when instr(context, exact_text) > 0 and ({' or '.join(f'regexp_matches({NEAR}, {q(p)})' for p in T.LAW_REFERENCES)}) then 'law_reference' when 2 * {B} - 4 * {M} > 5 and {M} = 0 then 'score' end as reason from extractions) where reason is not null""",
-    "t30_activities": f"""with b as (select id, list_max([{SCORES}]) as b from extractions where context is not null union all select id, null from extractions where context is null)
-        select id, case when b.score >= 2 then ([{', '.join(q(a[0]) for a in T.ACTIVITIES)}])[1 - b.i] else 'unspecified' end as activity, case when b.score >= 2 then greatest(0.4, least(1.0, b.score / 20.0)) else 0.25 end::double as confidence from b""",
+    "t30_activities": f"""with b as (select id, case when len(regexp_extract_all(context, '[çğışöüÇĞİŞÖÜ]')) > 2 then list_max([{_scores(0)}]) else list_max([{_scores(1)}]) end as b from extractions where context is not null union all select id, null from extractions where context is null)
+        select id, case when b.score >= 2 then ([{', '.join(q(a) for a in T.KEYWORDS)}])[1 - b.i] else 'unspecified' end as activity, case when b.score >= 2 then greatest(0.4, least(1.0, b.score / 25.0)) else 0.25 end::double as confidence from b""",
     "t31_reference_points": "select * from (select id, case " + " ".join(f"when contains({LC}, {q(T.fold_term(t))}) then {q(t)}" for t, _ in T.REFERENCE_POINTS) + " end as term, case " + " ".join(f"when contains({LC}, {q(T.fold_term(t))}) then {q(k)}" for t, k in T.REFERENCE_POINTS) + " end as kind from extractions) where term is not null",
     "t36_record_hash": "select record_hash, min(id) as first_id, count(*) as n from (select id, md5(concat_ws('|', document_id, category, coalesce(exact_text, 'None')))[1:16] as record_hash from extractions) group by 1",
 }

@@ -207,3 +207,25 @@ def reference_point(text: Column) -> Column:
         has = F.contains(low, F.lit(fold_term(t)))
         term, kind = F.when(has, F.lit(t)).otherwise(term), F.when(has, F.lit(k)).otherwise(kind)
     return F.struct(term.alias("term"), kind.alias("kind"))
+
+
+#: Broken letters and words of scans, and what they stand for, in order. Fixed values.
+MENDED = (("s¸", "ş"), ("S¸", "Ş"), ("c¸", "ç"), ("C¸", "Ç"), ("g˘", "ğ"), ("G˘", "Ğ"), ("o¨", "ö"), ("O¨", "Ö"), ("u¨", "ü"), ("U¨", "Ü"), ("i˙", "i"), ("I˙", "İ"), (r"me[ \t\r\n]*tre", "metre"), (r"ki[ \t\r\n]*lo[ \t\r\n]*met[ \t\r\n]*re", "kilometre"), (r"hek[ \t\r\n]*tar", "hektar"), (r"met[ \t\r\n]*ers?", "meters"), (r"kilo[ \t\r\n]*met", "kilomet"))
+LEAST_MARINE = 5
+
+
+def mended(text: Column) -> Column:
+    """Text with broken letters and a few broken words joined, single blanks, and two line ends at most."""
+    for pattern, right in MENDED:
+        text = F.regexp_replace(text, pattern, right)
+    return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
+
+
+def document_is_marine(text: Column, least: int = LEAST_MARINE) -> Column:
+    """Whether marine terms of either language stand in a document often enough; false for NULL."""
+    return F.coalesce(let(folded(text), lambda low: occurrences(low, MARINE + MARINE_TURKISH) >= least), F.lit(False))
+
+
+def has_reference(text: Column) -> Column:
+    """Whether a text holds a date, a law number or another legal reference; false for NULL."""
+    return F.coalesce(text.rlike(r"[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}") | text.rlike(r"[0-9]{1,5} +sayılı") | reduce(lambda a, b: a | b, [text.rlike(p) for p in LAW_REFERENCES]), F.lit(False))

@@ -115,3 +115,40 @@ def exact_match(found: DataFrame, truth: DataFrame, key: str = "exact_text") ->
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.select("*", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(ratio(2 * p * r, p + r), 6).alias("f1"))
+
+
+def recall_by_category(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """(category, n_human, n_matched, recall, low, high): summed over documents, with the Wilson interval of recall."""
+    keys = ["source_file", "category"]
+    human = truth.groupBy(*keys).agg(F.count(F.lit(1)).alias("human"))
+    both = truth.join(found.select(*keys, "__k").distinct(), [*keys, "__k"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("matched"))
+    c = human.join(both, keys, "left").groupBy("category").agg(F.sum("human").alias("n_human"), F.coalesce(F.sum("matched"), F.lit(0)).alias("n_matched"))
+    r = F.when(F.col("n_human") == 0, 0.0).otherwise(F.col("n_matched") / F.col("n_human"))
+    low, high = wilson(r, F.col("n_human").cast("double"))
+    return c.select("*", F.round(r, 6).alias("recall"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+def overall(matched: DataFrame) -> DataFrame:
+    """(measure, value): macro and micro precision, recall and F1 of the counts of :func:`exact_match`."""
+    ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(a / b)
+    of = lambda tp, fp, fn: (ratio(tp, tp + fp), ratio(tp, tp + fn))
+    f1 = lambda p, r: ratio(2 * p * r, p + r)
+    p, r = of(F.col("tp"), F.col("fp"), F.col("fn"))
+    row = matched.agg(F.avg(p).alias("mp"), F.avg(r).alias("mr"), F.avg(f1(p, r)).alias("mf"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    p, r = of(F.col("tp"), F.col("fp"), F.col("fn"))
+    values = (("macro_precision", F.col("mp")), ("macro_recall", F.col("mr")), ("macro_f1", F.col("mf")), ("micro_precision", p), ("micro_recall", r), ("micro_f1", f1(p, r)))
+    return row.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.round(F.coalesce(v, F.lit(0.0)), 6).alias("value")) for n, v in values])).alias("r")).select("r.*")
+
+
+def error_examples(annotated: DataFrame, k: int = 3) -> DataFrame:
+    """(category, error_type, position, id, text): the first k wrong rows of each error type by id."""
+    kind = F.coalesce(F.nullif(F.lower(F.trim("error_type")), F.lit("")), F.lit("unspecified"))
+    wrong = annotated.where(~yes("is_correct")).select("category", kind.alias("error_type"), F.col("id").cast("bigint").alias("id"), F.substring("exact_text", 1, 100).alias("text"))
+    w = Window.partitionBy("category", "error_type").orderBy("id")
+    return wrong.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def worst_category(annotated: DataFrame) -> DataFrame:
+    """The category of the lowest precision, and of the most errors; ties by name."""
+    c = precision(annotated).where("n_correct + n_incorrect > 0")
+    return c.agg(F.min_by("category", F.struct("precision", "category")).alias("least_precise"), F.min_by("category", F.struct(-F.col("n_incorrect"), F.col("category"))).alias("most_errors"))

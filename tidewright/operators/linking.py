@@ -8,10 +8,13 @@ Pairs within a large class are therefore never spelled out, and no link between
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.search import entity_name, folded
+from tidewright.operators.store import insert_cross_references
 
 
 def with_type(extractions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -126,3 +129,19 @@ def conflicts_and_stakeholders(extractions: DataFrame) -> DataFrame:
     both = w.groupBy("document_id", "w").agg(F.countDistinct("category").alias("k")).where("k = 2").select("document_id").distinct().withColumn("shared", F.lit(True))
     c = same_document(e, F.col("category") == "conflict", F.col("category") == "stakeholder", "conflict_stakeholder", 0.6)
     return c.join(both, "document_id", "left").withColumn("confidence", F.when(F.col("shared"), 0.8).otherwise(0.6)).drop("shared")
+
+
+def all_links(extractions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(low_id, high_id, link_type, confidence, n_offered): the links of all rules between representatives, kept once.
+
+    Copies are not expanded: a link joins the smallest ids of two classes, whose members :func:`species_members` and the
+    document ids name.
+    """
+    ends = [F.col("id_1").alias("extraction1_id"), F.col("id_2").alias("extraction2_id"), "link_type", "confidence"]
+    found = [
+        species_across_types(extractions, documents).select(*ends),
+        methods_and_data(extractions).select(*ends),
+        conflicts_and_stakeholders(extractions).select(*ends),
+        conflicts_and_places(extractions).select(*ends),
+    ]
+    return insert_cross_references(reduce(DataFrame.unionByName, found))

@@ -38,3 +38,17 @@ def per_document(extractions: DataFrame, documents: DataFrame) -> DataFrame:
     e = extractions.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("category").alias("n_categories"), F.round(F.avg("confidence") + 1e-9, 3).alias("avg_confidence"))
     d = documents.select(F.col("id").alias("document_id"), "doc_type")
     return d.join(e, "document_id", "left").select("document_id", "doc_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_categories", F.lit(0)).alias("n_categories"), "avg_confidence")
+
+
+def json_summary(extractions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(measure, value): documents, extractions, and extractions by category, as a report's summary holds them."""
+    d = documents.agg(F.count(F.lit(1)).alias("value")).select(F.lit("total_documents").alias("measure"), "value")
+    e = extractions.groupingSets([[], [F.col("category")]], "category").agg(F.count(F.lit(1)).alias("value"), F.grouping("category").alias("__g"))
+    return d.unionByName(e.select(F.when(F.col("__g") == 1, "total_extractions").otherwise(F.coalesce("category", F.lit(""))).alias("measure"), "value"))
+
+
+def source_counts(extractions: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_type, n_documents, n_extractions): what each kind of source brought into the store; NULL reads unknown."""
+    n = extractions.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    d = documents.select(F.col("id").alias("document_id"), F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"))
+    return d.join(n, "document_id", "left").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_extractions"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import evaluation as V
 from tidewright.operators import reports as R
+from tidewright.operators.search import folded
 from tidewright.plans.store_queries import FOLD
 from tidewright.sources.tables import table
 
@@ -71,7 +72,35 @@ def r7_confidence_histogram(s, sf):
     return R.confidence_histogram(_e(s, sf))
 
 
-QUERIES = (v1_sheet_sample, v3_ground_truth, v5_middle_documents, v6_precision, v9_kappa, v11_macro_micro, v12_exact_match, v17_confidence_by_outcome, v18_errors, r1_category_totals, r2_first_texts, r5_per_document, r7_confidence_histogram)
+def v8_recall(s, sf):
+    """How many of the correct rows of the sheets the store holds for their file, word for word."""
+    key = F.trim(folded("exact_text")).alias("__k")
+    d = table(s, sf, "documents").select(F.col("id").alias("document_id"), F.col("filename").alias("source_file"))
+    found = _e(s, sf).where(F.col("category").isin(*V.SHEETS)).join(d, "document_id").select("source_file", "category", key)
+    return V.recall_by_category(found, _s(s, sf).where(V.yes("is_correct")).select("source_file", "category", key))
+
+
+def v15_overall(s, sf):
+    return V.overall(v12_exact_match(s, sf))
+
+
+def v17_error_examples(s, sf):
+    return V.error_examples(_s(s, sf))
+
+
+def v17_worst_category(s, sf):
+    return V.worst_category(_s(s, sf))
+
+
+def r3_summary(s, sf):
+    return R.json_summary(_e(s, sf), table(s, sf, "documents"))
+
+
+def s8_source_counts(s, sf):
+    return R.source_counts(_e(s, sf), table(s, sf, "documents"))
+
+
+QUERIES = (v8_recall, v15_overall, v17_error_examples, v17_worst_category, r3_summary, s8_source_counts, v1_sheet_sample, v3_ground_truth, v5_middle_documents, v6_precision, v9_kappa, v11_macro_micro, v12_exact_match, v17_confidence_by_outcome, v18_errors, r1_category_totals, r2_first_texts, r5_per_document, r7_confidence_histogram)
 
 S = " union all ".join(f"select '{c}' as category, id, source_file, exact_text, confidence, marine_relevance, is_correct, is_relevant, error_type from validate_{c}" for c in V.SHEETS)
 Y = "(nullif(lower(trim({0}, ' ')), '') in ('y', 'yes', 'true', '1'))"
@@ -102,3 +131,19 @@ ORACLES = {
     "r5_per_document": "select d.id as document_id, doc_type, coalesce(n, 0) as n, coalesce(k, 0) as n_categories, a as avg_confidence from documents d left join (select document_id, count(*) as n, count(distinct category) as k, round(avg(confidence) + 1e-9, 3) as a from extractions group by 1) e on d.id = e.document_id",
     "r7_confidence_histogram": "with s as (select min(confidence) as lo, max(confidence) as hi from extractions) select (case when hi = lo then 0 else least(floor((confidence - lo) / ((hi - lo) / 20) + 1e-9), 19) end)::int as bin, count(*) as n from extractions, s where confidence is not null group by 1",
 }
+_K = f"trim({FOLD.format('exact_text')}, ' ')"
+_P, _R = "(case when tp + fp = 0 then 0.0 else tp::double / (tp + fp) end)", "(case when tp + fn = 0 then 0.0 else tp::double / (tp + fn) end)"
+_F1 = "(case when p + r = 0 then 0.0 else 2 * p * r / (p + r) end)"
+_KIND = "coalesce(nullif(lower(trim(error_type, ' ')), ''), 'unspecified')"
+ORACLES |= {
+    "v8_recall": f"""with t as (select source_file, category, {_K} as k from ({S}) where {C}), f as (select distinct filename as source_file, category, {_K} as k from extractions e join documents d on e.document_id = d.id),
+        c as (select category, count(*) as n_human, count(*) filter (where exists (select 1 from f where f.source_file = t.source_file and f.category = t.category and f.k = t.k)) as n_matched from t where source_file is not null or true group by category),
+        r as (select *, n_matched::double / n_human as p, n_human::double as n from c) select category, n_human, n_matched, round(p, 6) as recall, round({low}, 6)::double as low, round({high}, 6)::double as high from r""",
+    "v15_overall": f"""with m as ({ORACLES['v12_exact_match']}), c as (select *, {_P} as p, {_R} as r from m), a as (select avg(p) as mp, avg(r) as mr, avg({_F1}) as mf, sum(tp)::double as tp, sum(fp)::double as fp, sum(fn)::double as fn from c),
+        o as (select mp, mr, mf, {_P} as p, {_R} as r from a)
+        select unnest(['macro_precision', 'macro_recall', 'macro_f1', 'micro_precision', 'micro_recall', 'micro_f1']) as measure, unnest([round(mp, 6), round(mr, 6), round(mf, 6), round(p, 6), round(r, 6), round({_F1}, 6)]) as value from o""",
+    "v17_error_examples": f"select category, error_type, position::int as position, id, text from (select category, {_KIND} as error_type, id::bigint as id, substr(exact_text, 1, 100) as text, row_number() over (partition by category, {_KIND} order by id) as position from ({S}) where not {C}) where position <= 3",
+    "v17_worst_category": f"select arg_min(category, row(k::double / (k + w), category)) as least_precise, arg_min(category, row(-w, category)) as most_errors from {COUNTS} where k + w > 0",
+    "r3_summary": "select 'total_documents' as measure, count(*) as value from documents union all select 'total_extractions', count(*) from extractions union all select coalesce(category, ''), count(*) from extractions group by category",
+    "s8_source_counts": "select coalesce(doc_type, 'unknown') as doc_type, count(*) as n_documents, coalesce(sum(n), 0)::bigint as n_extractions from documents d left join (select document_id, count(*) as n from extractions group by 1) on document_id = d.id group by 1",
+}

@@ -126,6 +126,10 @@ def l6_integrated(s, sf):
     return a.unionByName(b).unionByName(linking.integrated(e, d, "protected_area", "name", "protected_area"))
 
 
+def l0_all_links(s, sf):
+    return linking.all_links(_e(s, sf), _d(s, sf))
+
+
 def l7_entity_names(s, sf):
     e = _e(s, sf).where("category = 'protected_area'")
     return e.select("id", search.entity_name("name").alias("entity_name"))
@@ -134,7 +138,7 @@ def l7_entity_names(s, sf):
 QUERIES = (
     k1_insert_documents, k2_insert_extractions, k4_topk_extractions, k4_all_extractions, k5_document_summary, k6_extraction_counts, k7_cross_references, k8_upsert_integrated,
     q1_search, q1_search_all, q2_species_summary, q2_species_files, q3_methods_summary, q4_requirements_for_activity, q5_cross_document_entity, q6_statistics,
-    l1_species_links, l1_species_members, l2_methods_data, l2b_methods_data_words, l4_conflicts_stakeholders, l5_conflicts_places, l6_integrated, l7_entity_names,
+    l0_all_links, l1_species_links, l1_species_members, l2_methods_data, l2b_methods_data_words, l4_conflicts_stakeholders, l5_conflicts_places, l6_integrated, l7_entity_names,
 )
 
 HAS = "(coalesce(contains(" + FOLD.format("e.exact_text") + ", '{0}'), false) or coalesce(contains(" + FOLD.format("e.context") + ", '{0}'), false))"
@@ -209,3 +213,5 @@ ORACLES = {
     "l6_integrated": " union all ".join(integrated_sql(*x) for x in (("species", "species_name", "species"), ("method", "method_type", "method"), ("protected_area", "name", "protected_area"))),
     "l7_entity_names": f"select e.id, {name_sql('name')} as entity_name from extractions e where category = 'protected_area'",
 }
+_LINKS = " union all ".join(f"select id_1, id_2, link_type, confidence from ({ORACLES[n]})" for n in ("l1_species_links", "l2_methods_data", "l4_conflicts_stakeholders", "l5_conflicts_places"))
+ORACLES["l0_all_links"] = f"select least(id_1, id_2) as low_id, greatest(id_1, id_2) as high_id, link_type, max(confidence) as confidence, count(*) as n_offered from ({_LINKS}) where id_1 <> id_2 group by 1, 2, 3"

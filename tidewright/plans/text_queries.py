@@ -70,7 +70,26 @@ def t36_record_hash(s, sf):
     return e.groupBy("record_hash").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = (t1_document_class, s4_long_enough, t6_without_references, t9_scan_quality, t14_garbled, t15_coherence, t17_citations, t24_relevance, t25_false_positives, t30_activities, t31_reference_points, t36_record_hash)
+def t7_references(s, sf):
+    return _e(s, sf).select("id", T.has_reference(context()).alias("has_reference"))
+
+
+def t8_mended(s, sf):
+    """Contexts that the scan normaliser changes."""
+    return _e(s, sf).select("id", context().alias("before"), T.mended(context()).alias("mended")).where("mended <> before").select("id", "mended")
+
+
+def t27_marine_documents(s, sf):
+    return _d(s, sf).select("doc_id", T.document_is_marine(F.col("text")).alias("is_marine"))
+
+
+def t2_predicates(s, sf):
+    """Language and kind of each document, from its class."""
+    of = T.document_class(F.col("text"))
+    return _d(s, sf).select("doc_id", F.when(of.endswith("turkish"), "turkish").otherwise("english").alias("spoken"), of.startswith("legal").alias("is_legal"), of.startswith("scientific").alias("is_scientific"))
+
+
+QUERIES = (t7_references, t8_mended, t27_marine_documents, t2_predicates, t1_document_class, s4_long_enough, t6_without_references, t9_scan_quality, t14_garbled, t15_coherence, t17_citations, t24_relevance, t25_false_positives, t30_activities, t31_reference_points, t36_record_hash)
 
 
 def q(text: str) -> str:
@@ -124,3 +143,14 @@ ORACLES = {
     "t31_reference_points": "select * from (select id, case " + " ".join(f"when contains({LC}, {q(T.fold_term(t))}) then {q(t)}" for t, _ in T.REFERENCE_POINTS) + " end as term, case " + " ".join(f"when contains({LC}, {q(T.fold_term(t))}) then {q(k)}" for t, k in T.REFERENCE_POINTS) + " end as kind from extractions) where term is not null",
     "t36_record_hash": "select record_hash, min(id) as first_id, count(*) as n from (select id, md5(concat_ws('|', document_id, category, coalesce(exact_text, 'None')))[1:16] as record_hash from extractions) group by 1",
 }
+_mend = "context"
+for _p, _r in T.MENDED:
+    _mend = f"regexp_replace({_mend}, {q(_p)}, {q(_r)}, 'g')"
+_mend = f"regexp_replace(regexp_replace({_mend}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+_LT = FOLD.format("text")
+ORACLES |= {
+    "t7_references": "select id, coalesce(" + " or ".join(f"regexp_matches(context, {q(p)})" for p in (r"[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}", r"[0-9]{1,5} +sayılı", *T.LAW_REFERENCES)) + ", false) as has_reference from extractions",
+    "t8_mended": f"select id, mended from (select id, context, {_mend} as mended from extractions) where mended <> context",
+    "t27_marine_documents": f"select doc_id, coalesce({occurrences(_LT, T.MARINE + T.MARINE_TURKISH)} >= 5, false) as is_marine from documents",
+    "t2_predicates": f"select doc_id, case when document_class like '%turkish' then 'turkish' else 'english' end as spoken, document_class like 'legal%' as is_legal, document_class like 'scientific%' as is_scientific from ({ORACLES['t1_document_class']})",
+}

@@ -128,5 +128,8 @@ P2_FOUND = f"""with j as (select id, try_cast(metadata as json) as m from extrac
     select kept_id, id as copy_id from g where id <> kept_id"""
 
 
+P2_COLLAPSED = f"with p as (select * from ({P2_FOUND})) select id, 1 + count(copy_id) as n_copies from extractions left join p on kept_id = id where id not in (select copy_id from p) group by id"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND, "p2_collapsed": P2_COLLAPSED}

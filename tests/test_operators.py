@@ -223,3 +223,27 @@ def test_bibliography_runs_and_credits():
     credits = "Body.\nAcknowledgement\n" + "We thank all. " * 20 + "\n5. Results\nThe sea."
     assert D.bibliography(credits) == [(6, credits.index("\n5. Results"))]
     assert D.bibliography("Body.\n7. References\nx")[0][0] == 6
+
+
+def test_similar_pairs_against_brute_force(spark):
+    import random
+
+    from tidewright.operators import matching
+
+    rng = random.Random(6)
+    text = lambda: " ".join(["the"] + rng.sample(["a1", "b2", "c3", "d4", "e5", "f6", "g7", "h8"], rng.randrange(1, 8)))
+    left, right = [(f"l{i}", text()) for i in range(60)], [(f"r{i}", text()) for i in range(60)]
+    sets = lambda t: set(t.split())
+    for threshold in (0.5, 0.8, 1.0):
+        want = {(a, b) for a, x in left for b, y in right if len(sets(x) & sets(y)) / len(sets(x) | sets(y)) >= threshold - 1e-9}
+        got = matching.similar_pairs(spark.createDataFrame(left, "id string, text string"), spark.createDataFrame(right, "id string, text string"), threshold)
+        assert {(r["id_1"], r["id_2"]) for r in got.collect()} == want
+
+
+def test_page_of(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import documents as D
+
+    rows = spark.createDataFrame([(p, [5, 0, 3]) for p in (0, 6, 7, 8, 9, 13, 14, 99)], "p int, n array<int>")
+    assert [r[0] for r in rows.select(D.page_of(F.col("p"), F.col("n"))).collect()] == [1, 1, 2, 2, 3, 3, None, None]

@@ -136,6 +136,7 @@ def in_ranges(position: Column, ranges: Column) -> Column:
 
 def page_of(position: Column, lengths: Column) -> Column:
     """The page (from 1) that holds a character position, pages being joined by two characters; NULL beyond the last."""
-    ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x + 2))
-    at = F.array_position(F.transform(ends, lambda e: position < e), True)
-    return F.nullif(at, F.lit(0))
+    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).alias("page"))
+    step = lambda a, n: F.when(position < a["end"], a).otherwise(F.struct((a["end"] + n + 2).cast("bigint").alias("end"), (a["page"] + 1).alias("page")))
+    last = F.aggregate(lengths, start, step)
+    return F.when(position < last["end"], last["page"])

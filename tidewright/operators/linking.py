@@ -102,9 +102,9 @@ def token_overlap(left: DataFrame, right: DataFrame, longer_than: int, least: in
         x, y = a.withColumn("k", F.explode(grams(F.col("w1")))), b.withColumn("k", F.explode(grams(F.col("w2"))))
     else:
         x, y = a.withColumn("k", F.explode("w1")), b.withColumn("k", F.explode("w2"))
-    pairs = x.select("k", "text_1").join(y.select("k", "text_2"), "k").select("text_1", "text_2").distinct()
+    pairs = x.select("k", "id_1").join(y.select("k", "id_2"), "k").select("id_1", "id_2").distinct()
     shared = F.size(F.array_intersect("w1", "w2"))
-    found = pairs.join(a, "text_1").join(b, "text_2").withColumn("n_shared", shared).where(F.col("n_shared") >= least)
+    found = pairs.join(a, "id_1").join(b, "id_2").withColumn("n_shared", shared).where(F.col("n_shared") >= least)
     return found.select("text_1", "text_2", "id_1", "id_2", "n_1", "n_2", "n_shared", F.round(F.least(F.lit(1.0), F.lit(base) + 0.1 * F.col("n_shared")), 2).alias("confidence"))
 
 

@@ -26,7 +26,8 @@ def insert_extractions(extractions: DataFrame) -> DataFrame:
 
 
 def query_extractions(extractions: DataFrame, documents: DataFrame, category: str | None = None, min_confidence: float | None = None, doc_type: str | None = None, limit: int | None = 100) -> DataFrame:
-    """Extractions with their document, optionally filtered, the most confident first (NULL last, ties by id)."""
+    """Extractions with their document, optionally filtered: the ``limit`` most confident (NULL last, ties by id), or all
+    of them in no order."""
     e = extractions
     if category is not None:
         e = e.where(F.col("category") == category)
@@ -35,8 +36,8 @@ def query_extractions(extractions: DataFrame, documents: DataFrame, category: st
     d = documents.select(F.col("id").alias("document_id"), "filename", "doc_type")
     if doc_type is not None:
         d = d.where(F.col("doc_type") == doc_type)
-    found = e.select("id", "document_id", "category", "exact_text", "page_number", "confidence", "marine_relevance").join(d, "document_id").orderBy(F.col("confidence").desc_nulls_last(), "id")
-    return found.limit(limit) if limit else found
+    found = e.select("id", "document_id", "category", "exact_text", "page_number", "confidence", "marine_relevance").join(d, "document_id")
+    return found.orderBy(F.col("confidence").desc_nulls_last(), "id").limit(limit) if limit else found
 
 
 def document_summary(documents: DataFrame) -> DataFrame:

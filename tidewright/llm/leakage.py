@@ -88,6 +88,14 @@ def normed(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def hashes(columns: np.ndarray) -> np.ndarray:
+    """A hash of every RUN columns in a row, of at least RUN columns."""
+    h = np.zeros(len(columns) - RUN + 1, np.uint64)
+    for j in range(RUN):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + columns[j : len(columns) - RUN + 1 + j].astype(np.uint64) + np.uint64(1)
+    return h
+
+
 def _columns(texts: list[list[str]], seen: dict[str, int]) -> np.ndarray:
     return np.array([seen.get(w) or column(w, seen) for t in texts for w in t], np.int64)
 
@@ -180,8 +188,8 @@ class Items:
     owner: np.ndarray
     masks: list[dict[str, int]] = field(default_factory=list)
     runs: dict[tuple[str, ...], set[int]] = field(default_factory=dict)
-    vocabulary: frozenset[str] = frozenset()
     columns: np.ndarray | None = None
+    hashes: np.ndarray | None = None
     shortest: int = 0
 
     @classmethod
@@ -197,9 +205,11 @@ class Items:
             new.masks.append(mask)
             for i in range(len(w) - RUN + 1):
                 new.runs.setdefault(tuple(w[i : i + RUN]), set()).add(len(new.masks) - 1)
-        new.vocabulary, new.shortest = frozenset(x for w in words for x in w), min(map(len, words))
+        new.shortest = min(map(len, words))
         new.columns = np.zeros(DIMS, bool)
         new.columns[c] = True
+        edges = np.concatenate([[0], np.cumsum(list(map(len, words)))])
+        new.hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *[hashes(c[i:j]) for i, j in zip(edges, edges[1:], strict=False) if j - i >= RUN]]))
         return new
 
     def nearest(self, rows: np.ndarray, texts: np.ndarray, least: float) -> dict[int, dict[int, float]]:
@@ -222,13 +232,14 @@ class Items:
         return best
 
     def runs_of(self, columns: np.ndarray, sizes: list[int], words: list[list[str]]) -> dict[int, set[int]]:
-        """The items whose runs each text of a batch holds; hashed columns tell where a run can start."""
+        """The items whose runs each text of a batch holds: hashes of RUN columns tell where, the words themselves whether."""
         found: dict[int, set[int]] = {}
-        total = np.concatenate([[0], np.cumsum(self.columns[columns])])
-        if len(total) <= RUN:
+        if len(columns) < RUN or not len(self.hashes):
             return found
+        h = hashes(columns)
+        near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        at = np.flatnonzero(self.hashes[near] == h)
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.flatnonzero(total[RUN:] - total[:-RUN] == RUN)
         texts = np.searchsorted(edges, at, "right") - 1
         for d, i in zip(texts.tolist(), (at - edges[texts]).tolist(), strict=True):
             if i + RUN <= sizes[d] and (own := self.runs.get(tuple(words[d][i : i + RUN]))):
@@ -269,10 +280,9 @@ class Items:
                 share = max(share, self.longest_common(k, words[s : s + long]) / size)
         return share
 
-    def check(self, candidates: set[int], runs: set[int], words: list[str]) -> Iterator[tuple[int, int, float]]:
+    def check(self, candidates: set[int], runs: set[int], words: list[str], columns: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(item, longest run, share in order) of the items that a document's words hold, of its candidates and runs."""
-        flags = np.fromiter((w in self.vocabulary for w in words), bool, len(words))
-        total = np.concatenate([[0], np.cumsum(flags)])
+        total = np.concatenate([[0], np.cumsum(self.columns[columns])])
         # A passage that holds three quarters of any item has a stretch as long as the shortest item's that is as dense.
         long = min(len(words), int(self.shortest / SHARE) + 1)
         dense = (total[long:] - total[:-long]).max() >= SHARE * self.shortest * 0.9 if long else False
@@ -330,9 +340,10 @@ def _search(slim: DataFrame, items: Items, basis: np.ndarray, id_col: str, schem
                 keys = part[id_col].to_numpy()
                 best = own.nearest(rows_of, which, cosine)
                 runs = own.runs_of(columns, sizes, words)
+                edges = np.concatenate([[0], np.cumsum(sizes)])
                 for d in best.keys() | runs.keys():
                     top = best.get(d, {})
-                    for k, run, share in own.check(set(top), runs.get(d, set()), words[d]):
+                    for k, run, share in own.check(set(top), runs.get(d, set()), words[d], columns[edges[d] : edges[d + 1]]):
                         near = top.get(k)
                         if near is None:
                             near = (rows_of[which == d] @ own.vectors[own.owner == k].T).max()

@@ -82,7 +82,8 @@ def no_lines(c: Column) -> Column:
 
 
 def activity(m: Match) -> Column:
-    return T.activity(m.context)
+    """The activity of the context, which :func:`passed` adds for the categories in ``ACTIVE``."""
+    return F.col("activity")
 
 
 #: What a context or name may not hold.
@@ -249,6 +250,7 @@ SPECS = {
         ExtractorSpec("gap", lambda m: {"gap_type": V.label(V.lower(F.concat_ws(" ", m.text, m.context)), V.GAPS, "knowledge_gap"), "gap_description": F.substring(m["gap"], 1, 300), "severity": V.graded(m.context, V.GAP_SEVERITIES, "important"), "proposed_solution": m.search("solution"), "domain": V.label(m.low, V.DOMAINS)}, ("gap_type", "gap_description:50"), (0.1, 0.1), 0.6, _bonus(("proposed_solution", 0.1), ("domain", 0.1)), _long("gap"), False, False, True),
     )
 }
+ACTIVE = ("distance", "temporal", "permit")
 #: Which extractors a document of a type gets.
 RESEARCH = ("conclusion", "conflict", "data_source", "environmental", "finding", "gap", "institution", "method", "objective", "policy", "result", "species", "stakeholder")
 LEGAL = ("coordinate", "distance", "environmental", "legal_reference", "penalty", "permit", "prohibition", "protected_area", "species", "temporal")
@@ -314,7 +316,8 @@ def passed(matches: DataFrame, categories: tuple[str, ...]) -> DataFrame:
     rows = rows.where(~yes("false_positives") | T.false_positive(F.col("__clean"), text).isNull())
     rows = rows.withColumn("marine_relevance", T.marine_relevance(F.col("__clean")))
     least = _each(categories, lambda s: F.when(F.col("legal"), s.least[0]).otherwise(s.least[1]), F.lit(0.0))
-    return rows.where(F.col("marine_relevance") >= least).drop("__clean")
+    rows = rows.where(F.col("marine_relevance") >= least).drop("__clean")
+    return rows.withColumn("activity", F.when(F.col("category").isin(*ACTIVE), T.activity(F.col("context"))))
 
 
 RECORD = "array<struct<fields:map<string,string>,confidence:double,record_hash:string>>"

@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.operators.search import entity_name, folded
+from tidewright.operators.skew import skew_join
 from tidewright.operators.store import insert_cross_references
 
 
 def with_type(extractions: DataFrame, documents: DataFrame) -> DataFrame:
     """Extractions with the type of their document ("unknown" if NULL)."""
     d = documents.select(F.col("id").alias("document_id"), F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"))
-    return extractions.join(d, "document_id")
+    return skew_join(extractions, d, "document_id", hashed=False)
 
 
 def species_members(extractions: DataFrame, documents: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.skew import skew_join
+
 
 def folded(c: Column | str) -> Column:
     """Lower case with dotted and dotless i of either case as one letter."""
@@ -27,13 +29,14 @@ def entity_name(field: str) -> Column:
 
 
 def search_extractions(extractions: DataFrame, documents: DataFrame, keyword: str, category: str | None = None, limit: int | None = 100) -> DataFrame:
-    """Extractions whose text or context contains the keyword, the most confident first."""
+    """Extractions whose text or context contains the keyword: the ``limit`` most confident, or all in no order."""
     e = extractions.where(contains_text(keyword, "exact_text", "context"))
     if category is not None:
         e = e.where(F.col("category") == category)
     d = documents.select(F.col("id").alias("document_id"), "filename", "doc_type")
-    found = e.select("id", "document_id", "category", "page_number", "confidence").join(d, "document_id").orderBy(F.col("confidence").desc_nulls_last(), "id")
-    return found.limit(limit) if limit else found
+    found = e.select("id", "document_id", "category", "page_number", "confidence")
+    found = skew_join(found, d, "document_id", hashed=False)
+    return found.orderBy(F.col("confidence").desc_nulls_last(), "id").limit(limit) if limit else found
 
 
 def entity_summary(extractions: DataFrame, documents: DataFrame, category: str, field: str) -> DataFrame:
@@ -46,7 +49,7 @@ def entity_summary(extractions: DataFrame, documents: DataFrame, category: str,
     e = extractions.where(F.col("category") == category).select("id", "document_id", "confidence", entity_name(field).alias("name")).where("name is not null")
     order = F.struct(F.coalesce("confidence", F.lit(-1.0)), F.col("id"))
     return (
-        e.join(d, "document_id")
+        skew_join(e, d, "document_id", hashed=False)
         .groupBy(folded("name").alias("entity"))
         .agg(
             F.max_by("name", order).alias("display_name"),
@@ -62,7 +65,7 @@ def entity_files(extractions: DataFrame, documents: DataFrame, category: str, fi
     """(entity, filename, n_mentions): the files that name each entity of a category."""
     d = documents.where("filename is not null").select(F.col("id").alias("document_id"), "filename")
     e = extractions.where(F.col("category") == category).select("document_id", entity_name(field).alias("name")).where("name is not null")
-    return e.join(d, "document_id").groupBy(folded("name").alias("entity"), "filename").agg(F.count(F.lit(1)).alias("n_mentions"))
+    return skew_join(e, d, "document_id", hashed=False).groupBy(folded("name").alias("entity"), "filename").agg(F.count(F.lit(1)).alias("n_mentions"))
 
 
 #: Categories that state a requirement. Fixed values.
@@ -73,14 +76,14 @@ def requirements_for(extractions: DataFrame, documents: DataFrame, activity: str
     """Per category of requirement, how many extractions of legal documents concern the activity; empty groups are absent."""
     d = documents.where("doc_type = 'legal'").select(F.col("id").alias("document_id"))
     e = extractions.where(F.col("category").isin(*REQUIREMENTS) & contains_text(activity, "exact_text", "context"))
-    return e.join(d, "document_id").groupBy("category").agg(F.count(F.lit(1)).alias("n_requirements"), F.min("id").alias("first_id"), F.max("confidence").alias("best_confidence"))
+    return skew_join(e, d, "document_id", hashed=False).groupBy("category").agg(F.count(F.lit(1)).alias("n_requirements"), F.min("id").alias("first_id"), F.max("confidence").alias("best_confidence"))
 
 
 def cross_document_entity(extractions: DataFrame, documents: DataFrame, name: str) -> DataFrame:
     """Every mention of a name in text, context or metadata with its document, by document type and confidence."""
     d = documents.select(F.col("id").alias("document_id"), "filename", "doc_type")
     e = extractions.where(contains_text(name, "exact_text", "context", "metadata"))
-    return e.select("id", "document_id", "category", "confidence").join(d, "document_id")
+    return skew_join(e.select("id", "document_id", "category", "confidence"), d, "document_id", hashed=False)
 
 
 def statistics(documents: DataFrame, extractions: DataFrame, links: DataFrame) -> DataFrame:

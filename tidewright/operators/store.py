@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.skew import skew_join
+
 
 def text_or_none(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("None"))
@@ -36,7 +38,8 @@ def query_extractions(extractions: DataFrame, documents: DataFrame, category: st
     d = documents.select(F.col("id").alias("document_id"), "filename", "doc_type")
     if doc_type is not None:
         d = d.where(F.col("doc_type") == doc_type)
-    found = e.select("id", "document_id", "category", "exact_text", "page_number", "confidence", "marine_relevance").join(d, "document_id")
+    found = e.select("id", "document_id", "category", "exact_text", "page_number", "confidence", "marine_relevance")
+    found = skew_join(found, d, "document_id", hashed=False)
     return found.orderBy(F.col("confidence").desc_nulls_last(), "id").limit(limit) if limit else found
 
 

@@ -43,6 +43,13 @@ def v13_greedy_matches(s, sf):
     return matching.greedy_matches(found, truth)
 
 
+def t38_classifier_folds(s, sf):
+    """Held-out precision of the quality classifier on the annotated sheets."""
+    v = V.sheets({c: table(s, sf, f"validate_{c}") for c in V.SHEETS}).where(V.yes("is_correct").isNotNull())
+    rows = v.select(F.concat_ws("|", "category", "id").alias("id"), F.coalesce("exact_text", F.lit("")).alias("text"), V.yes("is_correct").cast("double").alias("label"))
+    return matching.classifier_folds(rows)
+
+
 def v14_similarity(s, sf):
     """Word similarity of each annotated distance's text to its context."""
     v = table(s, sf, "validate_distance").where("exact_text is not null and context is not null").select("id", F.lower("exact_text").alias("a"), F.lower("context").alias("b"))
@@ -54,7 +61,7 @@ def g20_gaps_by_category(s, sf):
     return gaps.all_gaps(table(s, sf, "extractions"), table(s, sf, "documents")).groupBy("gap_category", "gap_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = (parse_distances, parse_amounts, parse_coordinates, l3_legal_research, v13_greedy_matches, v14_similarity, g20_gaps_by_category)
+QUERIES = (t38_classifier_folds, parse_distances, parse_amounts, parse_coordinates, l3_legal_research, v13_greedy_matches, v14_similarity, g20_gaps_by_category)
 
 N = P.NUMBER
 

@@ -218,8 +218,10 @@ class Items:
         for at in range(0, len(rows), 2048):
             for low in range(0, len(self.vectors), ITEM_BLOCK):
                 close = rows[at : at + 2048] @ self.vectors[low : low + ITEM_BLOCK].T
+                hit = np.flatnonzero(close.max(1) >= least)
+                close = close[hit]
                 i, j = np.nonzero(close >= least)
-                keys.append(texts[at + i] * len(self.words) + self.owner[low + j])
+                keys.append(texts[at + hit[i]] * len(self.words) + self.owner[low + j])
                 found.append(close[i, j])
         key, value = np.concatenate(keys), np.concatenate(found)
         order = np.argsort(key, kind="stable")

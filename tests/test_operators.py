@@ -247,3 +247,16 @@ def test_page_of(spark):
 
     rows = spark.createDataFrame([(p, [5, 0, 3]) for p in (0, 6, 7, 8, 9, 13, 14, 99)], "p int, n array<int>")
     assert [r[0] for r in rows.select(D.page_of(F.col("p"), F.col("n"))).collect()] == [1, 1, 2, 2, 3, 3, None, None]
+
+
+def test_citations_and_reference_points(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import text as T
+
+    texts = {"Marine Policy 12": True, "a study in Marine Policy that goes on and on": False, "Smith, J. (2001). On reefs": True, "plain text of the sea": False}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.is_citation(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] for r in rows} == texts
+    points = {"200 m from the coastline there": ("coastline", "coastline"), "beside the harbours of old": ("harbours", "reference_point"), "by the port of old": ("port", "port"), "kıyıdan 200 m uzakta, dışında ölçülür": ("kıyıdan", "coastline"), "support of the airport": (None, None), "near the island": ("island", "reference_point")}
+    rows = spark.createDataFrame([(t,) for t in points], "t string").select("t", T.reference_point(F.col("t")).alias("r")).collect()
+    assert {r["t"]: (r["r"]["term"], r["r"]["kind"]) for r in rows} == points

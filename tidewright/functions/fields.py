@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import KEYWORDS, let, words_of
+from tidewright.functions.text import JOURNALS, KEYWORDS, let, words_of
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 #: Letter case aside, in all alphabets, with the word classes of all alphabets.
@@ -95,11 +95,6 @@ GENERIC_GROUPS = tuple(
 )
 PLACE_NAMES = ("coral sea", "whale bay", "turtle island", "dolphin coast", "seal beach", "crab island", "shark bay", "fish creek")
 QUALIFYING = ("species", "population", "habitat", "abundance", "distribution", "conservation", "threatened", "endangered", "protected", "monitoring", "survey", "breeding")
-JOURNALS = (
-    "marine policy", "ocean policy", "energy policy", "food policy", "land use policy", "environmental policy", "forest policy", "ocean & coastal management", "ocean and coastal management", "marine pollution bulletin", "marine ecology progress series",
-    "journal of environmental management", "ecological indicators", "environmental science & policy", "environmental modelling", "renewable and sustainable energy reviews", "renewable energy", "coastal engineering", "ocean engineering", "estuarine coastal",
-    "biological conservation", "conservation biology", "nature", "science", "plos one", "frontiers in marine science",
-)
 #: Patterns sought in the context, by language, the first that is found.
 SEARCHES: dict[str, dict[str, tuple[str, ...]]] = {
     "violation": {

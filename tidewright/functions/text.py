@@ -38,7 +38,13 @@ BIGRAMS = (
     "da ir ak bi ka ya ba ol il si ni di ki"
 ).split()
 INLINE_CITATIONS = (r"\([A-Z][a-z]+(?: (?:et al\.?|and|&)(?: [A-Z][a-z]+)?)?, [0-9]{4}[a-z]?\)", r"\[[0-9]+(?:[,; -]+[0-9]+)*\]", r"[A-Z][a-z]+ et al\.? \([0-9]{4}\)", r"[A-Z][a-z]+ (?:and|&) [A-Z][a-z]+ \([0-9]{4}\)")
-REFERENCE_ENTRIES = (r"(?:doi|DOI)[: ]*10\.[0-9]{4,}", r"https?://(?:dx\.)?doi\.org/10\.[0-9]{4,}", r"(?:Vol\.?|Volume) *[0-9]+.*(?:pp?\.? *[0-9]+|No\.? *[0-9]+)", r"(?:ISSN|ISBN)[ :-]*[0-9X-]+")
+REFERENCE_ENTRIES = (r"(?m)^[A-Z][a-z]+,\s*[A-Z]\.?\s*(?:[A-Z]\.?\s*)?\([0-9]{4}\)\.", r"(?:doi|DOI)[: ]*10\.[0-9]{4,}", r"https?://(?:dx\.)?doi\.org/10\.[0-9]{4,}", r"(?:Vol\.?|Volume) *[0-9]+.*(?:pp?\.? *[0-9]+|No\.? *[0-9]+)", r"(?:ISSN|ISBN)[ :-]*[0-9X-]+")
+#: Names of journals. Fixed values.
+JOURNALS = (
+    "marine policy", "ocean policy", "energy policy", "food policy", "land use policy", "environmental policy", "forest policy", "ocean & coastal management", "ocean and coastal management", "marine pollution bulletin", "marine ecology progress series",
+    "journal of environmental management", "ecological indicators", "environmental science & policy", "environmental modelling", "renewable and sustainable energy reviews", "renewable energy", "coastal engineering", "ocean engineering", "estuarine coastal",
+    "biological conservation", "conservation biology", "nature", "science", "plos one", "frontiers in marine science",
+)
 #: Activity: Turkish keywords, English keywords, weight.
 KEYWORDS = {
     "aquaculture": (("su ürünleri", "su ürünleri yetiştiriciliği", "yetiştiricilik", "balık çiftliği", "balık yetiştiriciliği", "balık üretimi", "midye", "istiridye", "kabuklu", "karides", "kafes", "balık kafesi", "ağ kafes", "yüzer kafes", "yetiştirme tesisi", "kuluçkahane", "marikultur", "akvakültür", "deniz yetiştiriciliği", "alabalık", "levrek", "çipura", "ton balığı", "orkinos", "yemleme", "stoklama", "hasat", "yavru balık"), ("aquaculture", "fish farm", "fish farming", "mariculture", "cage culture", "net pen", "shellfish", "mussel", "oyster", "shrimp", "hatchery", "finfish", "salmon", "sea bass", "sea bream", "trout", "tuna", "feeding", "stocking"), 4),
@@ -54,7 +60,14 @@ KEYWORDS = {
     "conservation": (("koruma", "doğa koruma", "habitat koruma", "ekosistem", "biyoçeşitlilik", "nesli tehlike", "endemik", "restorasyon"), ("conservation", "protection", "habitat protection", "ecosystem", "biodiversity", "endangered", "endemic", "restoration", "rehabilitation", "marine conservation"), 3),
     "research": (("araştırma", "bilimsel", "izleme", "ölçüm", "oşinografi"), ("research", "scientific", "monitoring", "survey", "oceanography", "marine science", "study", "sampling"), 2),
 }
-REFERENCE_POINTS = (("shoreline", "coastline"), ("coast", "coastline"), ("kıyı çizgisi", "coastline"), ("harbour", "port"), ("ferry pier", "port"), ("liman", "port"), ("iskele", "port"), ("reserve boundary", "protected_area"), ("koruma alanı", "protected_area"), ("cage site", "facility"), ("intake pipe", "facility"), ("kafes sahası", "facility"), ("lighthouse", "reference_point"), ("river mouth", "reference_point"), ("deniz feneri", "reference_point"), ("nehir ağzı", "reference_point"))
+#: Points that distances are taken from, in order, and their kinds by the first part that a term holds. Fixed values.
+REFERENCE_POINTS = {
+    "turkish": ("kıyı", "kıyıdan", "kıyı çizgisi", "kıyı kenar çizgisi", "sahil", "sahilden", "deniz", "denizden", "liman", "limandan", "liman sınırı", "iskele", "iskeleden", "tesis", "tesisten", "koruma alanı", "koruma alanından", "ada", "adadan"),
+    "english": ("coast", "coastline", "shore", "shoreline", "high water mark", "HWM", "low water mark", "LWM", "baseline", "mean high water", "MHW", "port", "harbor", "harbour", "facility", "protected area", "MPA boundary", "island"),
+}
+POINT_KINDS = (("coastline", ("kıyı", "coast", "shore")), ("port", ("liman", "port")), ("protected_area", ("koruma", "protected")), ("facility", ("tesis", "facility")))
+#: A journal's name between other letters' ends.
+JOURNAL = r"(?:^|[^\p{L}\p{N}_])(" + "|".join(JOURNALS) + r")(?:$|[^\p{L}\p{N}_])"
 
 
 def fold_term(term: str) -> str:
@@ -137,10 +150,12 @@ def citation_count(text: Column) -> Column:
 
 
 def is_citation(text: Column) -> Column:
-    """Two inline citations of one form, or an entry of a reference list."""
+    """Two inline citations of one form, an entry of a reference list, or a text that is mostly a journal's name."""
     inline = reduce(lambda a, b: a | b, [F.regexp_count(text, F.lit(p)) >= 2 for p in INLINE_CITATIONS])
     entry = reduce(lambda a, b: a | b, [text.rlike(p) for p in REFERENCE_ENTRIES])
-    return F.coalesce(inline | entry, F.lit(False))
+    low = F.lower(F.trim(text))
+    journal = F.length(F.regexp_extract(low, JOURNAL, 1)) > F.length(low) * 0.5
+    return F.coalesce(inline | entry | journal, F.lit(False))
 
 
 def building_terms(low: Column) -> Column:
@@ -199,14 +214,21 @@ def activity(text: Column) -> Column:
     return let(scored, named)
 
 
+def point_kind(term: str) -> str:
+    """The kind of a point that distances are taken from."""
+    return next((kind for kind, parts in POINT_KINDS if any(p in term.lower() for p in parts)), "reference_point")
+
+
 def reference_point(text: Column) -> Column:
-    """struct(term, kind): the first listed term that stands in the text, or NULLs."""
-    low = folded(text)
-    term, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for t, k in reversed(REFERENCE_POINTS):
-        has = F.contains(low, F.lit(fold_term(t)))
-        term, kind = F.when(has, F.lit(t)).otherwise(term), F.when(has, F.lit(k)).otherwise(kind)
-    return F.struct(term.alias("term"), kind.alias("kind"))
+    """struct(term, kind): the word of the first listed term of the text's language that a word starts with, or NULLs."""
+
+    def of(language: str) -> Column:
+        none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("kind"))
+        word = lambda t: F.regexp_extract(text, rf"(?iuU)\b({t}\w*)\b", 1)
+        one = lambda rest, t: F.when(word(t) != "", F.struct(word(t).alias("term"), F.lit(point_kind(t)).alias("kind"))).otherwise(rest)
+        return reduce(one, reversed(REFERENCE_POINTS[language]), none)
+
+    return F.when(is_turkish(text), of("turkish")).otherwise(of("english"))
 
 
 #: Broken letters and words of scans, and what they stand for, in order. Fixed values.

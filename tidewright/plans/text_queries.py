@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
+from tidewright.plans.field_queries import dialect
 from tidewright.plans.store_queries import FOLD
 from tidewright.sources.tables import spread, table
 
@@ -118,6 +119,11 @@ for _p in (r"\((?:Değişik|Ek|İptal|Amended)[^)]*\)", r"(?i)R\.?G\.?[- ][0-9]{
 LC = FOLD.format("context")
 M, B, O = occurrences(LC, T.MARINE + T.MARINE_TURKISH), occurrences(LC, T.BUILDING), occurrences(LC, T.OTHER_DOMAIN)
 NEAR = "substr(context, greatest(1, instr(context, exact_text) - 50)::bigint, length(exact_text) + 100)"
+def _point(language: str) -> str:
+    word = lambda t: "regexp_extract(context, " + q("(?:^|[^\\p{L}\\p{N}_])".join(["(?i)", f"({dialect(t)[4:]}[\\p{{L}}\\p{{N}}_\\p{{M}}]*)"])) + ", 1)"
+    return "case " + " ".join(f"when {word(t)} <> '' then {{'term': {word(t)}, 'kind': {q(T.point_kind(t))}}}" for t in T.REFERENCE_POINTS[language]) + " end"
+
+
 def _scores(language: int) -> str:
     return ", ".join(f"{{'score': {presence(LC, tuple(dict.fromkeys(map(T.fold_term, k[language]))))} * {k[2]}, 'i': {-i}}}" for i, k in enumerate(T.KEYWORDS.values()))
 
@@ -134,13 +140,13 @@ ORACLES = {
         n as (select *, length(c) as n, len([i for i in range(1, length(c)) if c[i:i+1] in ({', '.join(map(q, dict.fromkeys(T.BIGRAMS)))})])::double as pairs, {count('c', '[aeiouöü]')}::double as v, {count('context', '[^ \\t\\r\\n]+')}::double as w, length(regexp_replace(context, '[ \\t\\r\\n]+', '', 'g'))::double as l from c),
         s as (select id, case when context is null or length(context) < 10 or n < 6 then 0.5 else round(pairs / (n - 1) * 0.5 + greatest(0.0, least(1.0, 1 - abs(v / n - 0.4) * 3)) * 0.25 + greatest(0.0, least(1.0, 1 - abs(l / w - 5.5) / 5)) * 0.25, 6) end::double as coherence from n)
         select *, coherence < 0.25 as incoherent from s""",
-    "t17_citations": "select id, coalesce(" + " or ".join([f"{count('context', p)} >= 2" for p in T.INLINE_CITATIONS] + [f"regexp_matches(context, {q(p)})" for p in T.REFERENCE_ENTRIES]) + ", false) as citation, (" + " + ".join(count("context", p) for p in T.INLINE_CITATIONS) + ")::int as n_citations from extractions",
+    "t17_citations": "select id, coalesce(" + " or ".join([f"{count('context', p)} >= 2" for p in T.INLINE_CITATIONS] + [f"regexp_matches(context, {q(p)})" for p in T.REFERENCE_ENTRIES] + [f"length(regexp_extract(lower(trim(context, ' ')), {q(T.JOURNAL)}, 1)) > length(lower(trim(context, ' '))) * 0.5"]) + ", false) as citation, (" + " + ".join(count("context", p) for p in T.INLINE_CITATIONS) + ")::int as n_citations from extractions",
     "t24_relevance": f"select id, case when context is null or {M} + {B} = 0 then 0.5 else round({M}::double / ({M} + {B}), 6) end::double as relevance from extractions",
     "t25_false_positives": f"""select * from (select id, case when context is null or context = '' then 'empty' when {O} >= 2 and {M} = 0 then 'other_domain' when {B} >= 3 and {M} = 0 then 'building'
         when instr(context, exact_text) > 0 and ({' or '.join(f'regexp_matches({NEAR}, {q(p)})' for p in T.LAW_REFERENCES)}) then 'law_reference' when 2 * {B} - 4 * {M} > 5 and {M} = 0 then 'score' end as reason from extractions) where reason is not null""",
     "t30_activities": f"""with b as (select id, case when len(regexp_extract_all(context, '[çğışöüÇĞİŞÖÜ]')) > 2 then list_max([{_scores(0)}]) else list_max([{_scores(1)}]) end as b from extractions where context is not null union all select id, null from extractions where context is null)
         select id, case when b.score >= 2 then ([{', '.join(q(a) for a in T.KEYWORDS)}])[1 - b.i] else 'unspecified' end as activity, case when b.score >= 2 then greatest(0.4, least(1.0, b.score / 25.0)) else 0.25 end::double as confidence from b""",
-    "t31_reference_points": "select * from (select id, case " + " ".join(f"when contains({LC}, {q(T.fold_term(t))}) then {q(t)}" for t, _ in T.REFERENCE_POINTS) + " end as term, case " + " ".join(f"when contains({LC}, {q(T.fold_term(t))}) then {q(k)}" for t, k in T.REFERENCE_POINTS) + " end as kind from extractions) where term is not null",
+    "t31_reference_points": f"""with w as (select id, case when len(regexp_extract_all(context, '[çğışöüÇĞİŞÖÜ]')) > 2 then {_point('turkish')} else {_point('english')} end as p from extractions) select id, p.term, p.kind from w where p is not null""",
     "t36_record_hash": "select record_hash, min(id) as first_id, count(*) as n from (select id, md5(concat_ws('|', document_id, category, coalesce(exact_text, 'None')))[1:16] as record_hash from extractions) group by 1",
 }
 _mend = "context"

@@ -260,3 +260,16 @@ def test_citations_and_reference_points(spark):
     points = {"200 m from the coastline there": ("coastline", "coastline"), "beside the harbours of old": ("harbours", "reference_point"), "by the port of old": ("port", "port"), "kıyıdan 200 m uzakta, dışında ölçülür": ("kıyıdan", "coastline"), "support of the airport": (None, None), "near the island": ("island", "reference_point")}
     rows = spark.createDataFrame([(t,) for t in points], "t string").select("t", T.reference_point(F.col("t")).alias("r")).collect()
     assert {r["t"]: (r["r"]["term"], r["r"]["kind"]) for r in rows} == points
+
+
+def test_stated_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import fields as V
+
+    cases = {
+        "100-500 m": (100.0, 500.0, True, None), "between 500 and 100 m": (100.0, 500.0, True, None), "en az 200, en çok 800 metre": (200.0, 800.0, True, None), "85 ile 115 metre arası": (85.0, 115.0, True, None), "asgari 2,5 azami 4 mil": (2.5, 4.0, True, None),
+        "at least 30 m": (30.0, None, False, "minimum"), "up to 40 m": (None, 40.0, False, "maximum"), "12 or less": (None, 12.0, False, "maximum"), "yaklaşık 7 km": (7.0, 7.0, False, "approximately"), "500'ı geçemez": (None, 500.0, False, "maximum"), "no number": (None, None, False, None),
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", V.stated_range(F.col("t")).alias("r")).collect()
+    assert {r["t"]: tuple(r["r"]) for r in rows} == cases

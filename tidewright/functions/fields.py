@@ -371,3 +371,28 @@ def species_valid(text: Column, context: Column) -> Column:
 def is_journal(text: Column) -> Column:
     """Whether a text is the name of a journal, its article aside."""
     return F.coalesce(F.regexp_replace(lower(F.trim(text)), "^(?:the |a )", "").isin(*JOURNALS), F.lit(False))
+
+
+_N = r"(\d+(?:[.,]\d+)?)"
+#: Forms of ranges with their two bounds, and of bounded values with what they bound; in order. Fixed values.
+RANGES = (
+    rf"{_N}\s*[-–—]\s*{_N}", rf"{_N}\s*(?:ilâ|ila|ile)\s*{_N}", rf"{_N}\s*(?:ile|ve)\s*{_N}\s*(?:arası|arasında)", rf"en\s+az\s+{_N}\s*[,\s]\s*en\s+(?:çok|fazla)\s+{_N}",
+    rf"asgari\s+{_N}\s*[,\s]\s*azami\s+{_N}", rf"between\s+{_N}\s*(?:and|to)\s*{_N}", rf"from\s+{_N}\s*to\s*{_N}",
+)
+BOUNDS = (
+    (rf"en\s+az\s+{_N}", "minimum"), (rf"asgari\s+{_N}", "minimum"), (rf"en\s+(?:fazla|çok)\s+{_N}", "maximum"), (rf"azami\s+{_N}", "maximum"), (rf"{_N}['ıiuü]?[yni]?[ıi]?\s*geçemez", "maximum"), (rf"{_N}['ıiuü]?[yni]?[ıi]?\s*aşamaz", "maximum"),
+    (rf"at\s+least\s+{_N}", "minimum"), (rf"minimum\s+(?:of\s+)?{_N}", "minimum"), (rf"no\s+less\s+than\s+{_N}", "minimum"), (rf"at\s+most\s+{_N}", "maximum"), (rf"maximum\s+(?:of\s+)?{_N}", "maximum"), (rf"up\s+to\s+{_N}", "maximum"),
+    (rf"{_N}\s+or\s+less", "maximum"), (rf"not\s+(?:to\s+)?exceed\s+{_N}", "maximum"), (rf"(?:approximately|about|around|circa|~)\s*{_N}", "approximately"), (rf"(?:yaklaşık|civarında)\s*{_N}", "approximately"),
+)
+
+
+def stated_range(text: Column) -> Column:
+    """struct(low, high, is_range, qualifier): the bounds of the first form of range that is found, the smaller first; else
+    what the first form of bound bounds, with its kind (both, if about); NULLs where neither is found."""
+    said = lambda p, i: decimal(F.nullif(F.regexp_extract(text, ANY_CASE + p, i), F.lit("")))
+    entry = lambda low, high, ranged, kind: F.struct(low.cast("double").alias("low"), high.cast("double").alias("high"), F.lit(ranged).alias("is_range"), F.lit(kind).cast("string").alias("qualifier"))
+    none = F.lit(None)
+    forms = [let(F.array(said(p, 1), said(p, 2)), lambda x: F.when(x[0].isNotNull(), entry(F.least(x[0], x[1]), F.greatest(x[0], x[1]), True, None))) for p in RANGES]
+    bound = lambda kind: lambda x: F.when(x.isNotNull(), entry(none if kind == "maximum" else x, none if kind == "minimum" else x, False, kind))
+    forms += [let(said(p, 1), bound(kind)) for p, kind in BOUNDS]
+    return F.coalesce(*forms, entry(none, none, False, None))

@@ -32,12 +32,18 @@ def _first(pattern: str):
     return lambda x: F.nullif(F.regexp_extract(x, pattern, 1), F.lit(""))
 
 
+def t5_ranges(s, sf):
+    """Ranges and bounds that distances, periods and penalties state."""
+    return _rows(s, sf, "distance", "temporal", "penalty").select("id", V.stated_range(F.col("exact_text")).alias("r")).select("id", "r.*")
+
+
 PARAMETER, POLLUTANT = r"(?iu)(pH|salinity|tuzluluk|oxygen|oksijen|turbidity|temperature|noise|water quality|discharge)", r"(?iu)(nitrate|phosphate|nitrat|fosfat|metal|oil|petrol)"
 LIST = lambda name, most: lambda x, c, t: F.array_join(V.listed(name, c, t, most), "; ")
 SEARCH = lambda name: lambda x, c, t: V.searched(name, c, t)
 LABEL = lambda rules, default=None: lambda x, c, t: V.labelled(V.lower(x), t, rules, default)
 QUERIES = (
     _query("f2_distance_units", "The unit of each distance.", ("distance",), {"unit": lambda x, c, t: V.distance_unit(_first(r"[0-9] ?(\p{L}+)")(x))}),
+    t5_ranges,
     _query("f4_qualifiers", "Lower and upper bounds.", ("distance",), {"qualifier": lambda x, c, t: V.qualifier(x, t)}),
     _query("f5_penalty_types", "Kinds of penalty.", ("penalty",), {"penalty_type": lambda x, c, t: V.penalty_type(x, t)}),
     _query("f7_currencies", "Currencies, the default of a language included.", ("penalty",), {"currency": lambda x, c, t: V.currency(_first(r"(TL|lira|euro|EUR|USD|₺|€|\$)")(x), t)}),
@@ -149,7 +155,16 @@ def related_sql(terms) -> str:
     return "case " + " ".join(f"when contains({C}, {q(t.lower())}) then {q(t)}" for t in terms) + " end"
 
 
+def _number(p: str, i: int) -> str:
+    return f"try_cast(replace(nullif(regexp_extract(exact_text, {q(dialect(p))}, {i}), ''), ',', '.') as double)"
+
+
+_ANY = "[" + ", ".join(f"case when {_number(p, 1)} is not null then {{'low': least({_number(p, 1)}, {_number(p, 2)}), 'high': greatest({_number(p, 1)}, {_number(p, 2)}), 'is_range': true, 'qualifier': null::varchar}} end" for p in V.RANGES) + ", " + ", ".join(
+    f"case when {_number(p, 1)} is not null then {{'low': {'null::double' if k == 'maximum' else _number(p, 1)}, 'high': {'null::double' if k == 'minimum' else _number(p, 1)}, 'is_range': false, 'qualifier': {q(k)}}} end" for p, k in V.BOUNDS
+) + "]"
+_FIRST = f"list_filter({_ANY}, lambda r: r is not null)[1]"
 ORACLES = {
+    "t5_ranges": "select id, p.low, p.high, coalesce(p.is_range, false) as is_range, p.qualifier from (select id, " + _FIRST + " as p from extractions where category in ('distance', 'temporal', 'penalty'))",
     "f2_distance_units": sql("distance", unit=f"case when {UNIT} in ('m', 'm.') then 'metre' when regexp_matches({UNIT}, '^miles?$') then 'mile' else {label_sql(UNIT, V.DISTANCE_UNITS, 'metre')} end"),
     "f4_qualifiers": sql("distance", qualifier=f"case when coalesce(exact_text, '') <> '' then {lang(lambda r: label_sql(X, r), V.QUALIFIERS)} end"),
     "f5_penalty_types": sql("penalty", penalty_type=lang(lambda r: label_sql(X, r, "unspecified_penalty"), V.PENALTY_TYPES)),

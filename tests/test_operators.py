@@ -273,3 +273,16 @@ def test_stated_ranges(spark):
     }
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", V.stated_range(F.col("t")).alias("r")).collect()
     assert {r["t"]: tuple(r["r"]) for r in rows} == cases
+
+
+def test_filter_chain(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.functions import fields as V
+
+    cases = {
+        ("Posidonia oceanica", "meadows", "species"): (True, 1.5), ("whale", "seen here", "species"): (False, 0.0), ("whale", "a population there", "species"): (True, 0.7), ("sea bass", "seen", "species"): (True, 1.0), ("Coral Sea", "seen", "species"): (False, 0.0),
+        ("Marine Policy", "cited", "policy"): (False, 0.0), ("the harbour and the coast", "[1] and [2] and [3]", "gap"): (True, 0.5), ("xqztwvkbnmpqrstvxqztwvkbnmpq", "x", "gap"): (False, 0.0), (None, None, "gap"): (True, 1.0),
+    }
+    rows = spark.createDataFrame(list(cases), "t string, c string, k string").select("t", "c", "k", V.filter_chain(F.col("t"), F.col("c"), F.col("k")).alias("r")).collect()
+    assert {(r["t"], r["c"], r["k"]): tuple(r["r"]) for r in rows} == cases

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import JOURNALS, KEYWORDS, let, words_of
+from tidewright.functions.text import JOURNALS, KEYWORDS, citation_count, coherence, is_citation, let, words_of
 
 Rules = tuple[tuple[str, tuple[str, ...]], ...]
 #: Letter case aside, in all alphabets, with the word classes of all alphabets.
@@ -160,6 +160,11 @@ def lower(text: Column | str) -> Column:
     return F.lower(F.translate(text, "İ", "i"))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def any_of(text: Column, terms: tuple[str, ...]) -> Column:
     """Whether any of the terms stands in a text; false for NULL."""
     return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms]), F.lit(False))
@@ -363,14 +368,14 @@ def graded(context: Column, grades: tuple[tuple[str, str], ...], default: str) -
 
 def species_valid(text: Column, context: Column) -> Column:
     """Whether a name can be a species: two-part names are; places and lone group names without a qualifier are not."""
-    low = lower(F.trim(text))
+    low = lower(strip(text))
     lone = low.isin(*GENERIC_GROUPS) & ~any_of(lower(context), QUALIFYING)
-    return F.coalesce(F.trim(text).rlike("^[A-Z][a-z]{2,}\\s+[a-z]{2,}$") | ~(low.isin(*PLACE_NAMES) | lone), F.lit(True))
+    return F.coalesce(strip(text).rlike("^[A-Z][a-z]{2,}\\s+[a-z]{2,}\\z") | ~(low.isin(*PLACE_NAMES) | lone), F.lit(True))
 
 
 def is_journal(text: Column) -> Column:
     """Whether a text is the name of a journal, its article aside."""
-    return F.coalesce(F.regexp_replace(lower(F.trim(text)), "^(?:the |a )", "").isin(*JOURNALS), F.lit(False))
+    return F.coalesce(F.regexp_replace(lower(strip(text)), "^(?:the |a )", "").isin(*JOURNALS), F.lit(False))
 
 
 _N = r"(\d+(?:[.,]\d+)?)"
@@ -396,3 +401,27 @@ def stated_range(text: Column) -> Column:
     bound = lambda kind: lambda x: F.when(x.isNotNull(), entry(none if kind == "maximum" else x, none if kind == "minimum" else x, False, kind))
     forms += [let(said(p, 1), bound(kind)) for p, kind in BOUNDS]
     return F.coalesce(*forms, entry(none, none, False, None))
+
+
+#: The filter chain: context citations that make a text doubtful, and coherence that rejects or doubts it.
+MANY_CITATIONS, INCOHERENT, DOUBTFUL = 3, 0.2, 0.35
+
+
+def species_weight(text: Column, context: Column) -> Column:
+    """How much a species name counts: two-part names 1.5, qualified group names 0.7, names of several words 1, others 0.8."""
+    low = lower(strip(text))
+    return F.when(strip(text).rlike("^[A-Z][a-z]{2,}\\s+[a-z]{2,}\\z"), 1.5).when(low.isin(*GENERIC_GROUPS), 0.7).when(low.rlike(r"\S\s+\S"), 1.0).otherwise(0.8)
+
+
+def filter_chain(text: Column, context: Column, category: Column) -> Column:
+    """struct(valid, multiplier): whether a text passes the common filters, and what its confidence is multiplied by.
+
+    Citations and incoherent texts are invalid, as are species that are none and policies that are journals; a context of
+    many citations and a doubtful coherence lower the multiplier, which stays between 0.1 and 1.5 (0 if invalid). Tagger
+    and entity rules are neutral. A NULL text is valid.
+    """
+    species = category == "species"
+    bad = is_citation(text) | (coherence(text) < INCOHERENT) | (species & ~species_valid(text, context)) | ((category == "policy") & is_journal(text))
+    weight = F.when(F.coalesce(citation_count(context), F.lit(0)) >= MANY_CITATIONS, 0.5).otherwise(1.0) * F.when(coherence(text) < DOUBTFUL, 0.6).otherwise(1.0) * F.when(species, species_weight(text, context)).otherwise(1.0)
+    invalid = F.coalesce(bad, F.lit(False))
+    return F.struct((~invalid).alias("valid"), F.when(invalid, 0.0).otherwise(F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.5), weight)), 6)).alias("multiplier"))

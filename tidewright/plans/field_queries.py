@@ -191,5 +191,5 @@ ORACLES = {
         related_method=f"case when turkish then {related_sql(V.RELATED_METHODS['english'] + V.RELATED_METHODS['turkish'])} else {related_sql(V.RELATED_METHODS['english'])} end"),
     "f39_conclusions": sql("finding objective", conclusion_type=label_sql(C, V.CONCLUSIONS, "main_conclusion"), strength=graded_sql(V.STRENGTHS, "moderate"), audience=label_sql(C, V.AUDIENCES)),
     "f40_gaps": sql("gap", gap_type=label_sql("lower(concat_ws(' ', exact_text, context))", V.GAPS, "knowledge_gap"), severity=graded_sql(V.GAP_SEVERITIES, "important"), domain=label_sql(C, V.DOMAINS), solution=searched_sql("solution")),
-    "t22_species_valid": sql("species", valid=f"coalesce(regexp_matches(trim(exact_text, ' '), '^[A-Z][a-z]{{2,}}\\s+[a-z]{{2,}}$') or not (lower(trim(exact_text, ' ')) in ({', '.join(map(q, V.PLACE_NAMES))}) or (lower(trim(exact_text, ' ')) in ({', '.join(map(q, V.GENERIC_GROUPS))}) and not {any_sql(C, V.QUALIFYING)})), true)"),
+    "t22_species_valid": sql("species", valid=f"coalesce(regexp_matches(regexp_replace(exact_text, '^\\s+|\\s+\\z', '', 'g'), '^[A-Z][a-z]{{2,}}\\s+[a-z]{{2,}}\\z') or not (lower(regexp_replace(exact_text, '^\\s+|\\s+\\z', '', 'g')) in ({', '.join(map(q, V.PLACE_NAMES))}) or (lower(regexp_replace(exact_text, '^\\s+|\\s+\\z', '', 'g')) in ({', '.join(map(q, V.GENERIC_GROUPS))}) and not {any_sql(C, V.QUALIFYING)})), true)"),
 }

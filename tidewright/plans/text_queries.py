@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.functions import fields as V
 from tidewright.functions import text as T
 from tidewright.plans.field_queries import dialect
 from tidewright.plans.store_queries import FOLD
@@ -90,7 +91,13 @@ def t2_predicates(s, sf):
     return _d(s, sf).select("doc_id", F.when(of.endswith("turkish"), "turkish").otherwise("english").alias("spoken"), of.startswith("legal").alias("is_legal"), of.startswith("scientific").alias("is_scientific"))
 
 
-QUERIES = (t7_references, t8_mended, t27_marine_documents, t2_predicates, t1_document_class, s4_long_enough, t6_without_references, t9_scan_quality, t14_garbled, t15_coherence, t17_citations, t24_relevance, t25_false_positives, t30_activities, t31_reference_points, t36_record_hash)
+def t23_filter_chain(s, sf):
+    """Whether each extraction passes the common filters, and the multiplier of its confidence."""
+    e = _e(s, sf).select("id", V.filter_chain(F.col("exact_text"), context(), F.col("category")).alias("r"))
+    return e.select("id", "r.valid", "r.multiplier")
+
+
+QUERIES = (t23_filter_chain, t7_references, t8_mended, t27_marine_documents, t2_predicates, t1_document_class, s4_long_enough, t6_without_references, t9_scan_quality, t14_garbled, t15_coherence, t17_citations, t24_relevance, t25_false_positives, t30_activities, t31_reference_points, t36_record_hash)
 
 
 def q(text: str) -> str:
@@ -160,3 +167,12 @@ ORACLES |= {
     "t27_marine_documents": f"select doc_id, coalesce({occurrences(_LT, T.MARINE + T.MARINE_TURKISH)} >= 5, false) as is_marine from documents",
     "t2_predicates": f"select doc_id, case when document_class like '%turkish' then 'turkish' else 'english' end as spoken, document_class like 'legal%' as is_legal, document_class like 'scientific%' as is_scientific from ({ORACLES['t1_document_class']})",
 }
+_GROUPS, _NAME = f"lower(regexp_replace(exact_text, '^\\s+|\\s+\\z', '', 'g')) in ({', '.join(map(q, V.GENERIC_GROUPS))})", "lower(regexp_replace(exact_text, '^\\s+|\\s+\\z', '', 'g'))"
+_BINOMIAL = "regexp_matches(regexp_replace(exact_text, '^\\s+|\\s+\\z', '', 'g'), '^[A-Z][a-z]{2,}\\s+[a-z]{2,}\\z')"
+_QUALIFIED = "(" + " or ".join(f"coalesce(contains(lower(context), {q(t)}), false)" for t in V.QUALIFYING) + ")"
+ORACLES["t23_filter_chain"] = f"""with a as ({ORACLES['t15_coherence'].replace('context', 'exact_text')}), b as ({ORACLES['t17_citations'].replace('context', 'exact_text')}), c as ({ORACLES['t17_citations']}),
+    x as (select e.id, coalesce(b.citation or a.coherence < 0.2 or (category = 'species' and not ({_BINOMIAL} or not ({_NAME} in ({', '.join(map(q, V.PLACE_NAMES))}) or ({_GROUPS} and not {_QUALIFIED})))), false) as bad,
+        case when coalesce(c.n_citations, 0) >= 3 then 0.5 else 1.0 end * case when a.coherence < 0.35 then 0.6 else 1.0 end
+            * case when category = 'species' then case when {_BINOMIAL} then 1.5 when {_GROUPS} then 0.7 when regexp_matches({_NAME}, '\\S\\s+\\S') then 1.0 else 0.8 end else 1.0 end as w
+        from extractions e join a using (id) join b using (id) join c using (id))
+    select id, not bad as valid, case when bad then 0.0 else round(greatest(0.1, least(1.5, w)), 6) end::double as multiplier from x"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewright.operators import evaluation as V
 from tidewright.operators import reports as R
 from tidewright.operators.search import folded
+from tidewright.operators.skew import skew_join
 from tidewright.plans.store_queries import FOLD
 from tidewright.sources.tables import table
 
@@ -76,7 +77,7 @@ def v8_recall(s, sf):
     """How many of the correct rows of the sheets the store holds for their file, word for word."""
     key = F.trim(folded("exact_text")).alias("__k")
     d = table(s, sf, "documents").select(F.col("id").alias("document_id"), F.col("filename").alias("source_file"))
-    found = _e(s, sf).where(F.col("category").isin(*V.SHEETS)).join(d, "document_id").select("source_file", "category", key)
+    found = skew_join(_e(s, sf).where(F.col("category").isin(*V.SHEETS)), d, "document_id", hashed=False).select("source_file", "category", key)
     return V.recall_by_category(found, _s(s, sf).where(V.yes("is_correct")).select("source_file", "category", key))
 
 

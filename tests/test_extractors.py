@@ -106,3 +106,40 @@ def test_confidence_and_routes(spark, rows):
     got = {(r["doc_id"], r["category"], r["n_mentions"]) for r in X.extract(d, ("distance", "method"), routed=True).collect()}
     assert got == {("a", "distance", 2), ("b", "method", 1)}
     assert X.extract(d.limit(0)).count() == 0
+
+
+def test_required_strings_leave_no_match_out():
+    """A folded text holds what every letter of it may match without case; patterns are skipped only where they cannot match."""
+    import re
+    import sys
+
+    from tidewright.operators import patterns as P
+
+    letters = {x for p in P.LISTS.values() for each in p.needed.values() for clauses in each for c in clauses for x in "".join(c)}
+    for letter in letters:
+        own = re.compile(re.escape(letter), re.I)
+        assert all(P.folded(c) == letter for c in own.findall("".join(map(chr, range(sys.maxunicode + 1))))), letter
+    assert P.required(r"(?P<a>\w+)\s+(?:marine\s+park|natural?\s+reserve)s?") == (frozenset({"marine", "reserve"}),)
+    assert P.required(r"çat[ıi][şs]ma") == (frozenset({"çatişma", "çatisma"}),) and P.required(r"\d+\s*(?:km)?") == ()
+    held = P.Held("ÇATIŞMA alanı")
+    assert held.may_match(P.required(r"çat[ıi][şs]ma")) and not held.may_match(P.required("uyumsuzluk|rekabet"))
+
+
+def test_longest_of_terms_as_ordered_alternatives():
+    import itertools
+    import re
+
+    from tidewright.functions import text as T
+
+    texts = ["".join(x) for x in itertools.product("ab c", repeat=6)]
+    for terms in ({"a", "ab", "abc", "b c"}, {"aa", "ab a"}, {"c", "cab", "ca"}):
+        ordered = re.compile("|".join(sorted(terms, key=lambda t: (-len(t), t))))
+        assert all(re.findall(T.longest_of(terms), x) == ordered.findall(x) for x in texts)
+
+
+def test_cleaned_sentence_is_computed_once(spark):
+    from tidewright.operators import extraction as X
+
+    matches = X.scanned(spark.createDataFrame([(1, "legal", "x")], "doc_id bigint, doc_type string, text string"), ("distance",), "doc_id", "text", False)
+    plan = X.passed(matches, ("distance",))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Değişik") == 1

@@ -31,16 +31,19 @@ def sentences(text: str | None) -> list[str]:
     """Sentences of at least 15 characters; a shorter text is one sentence. NULL and blank texts have none."""
     if text is None or not text.strip():
         return []
-    text = re.sub(r"\s+", " ", text).strip()
+    text = " ".join(text.split())
     if len(text) < LEAST:
         return [text]
     out = []
     for article in ARTICLE.split(text):
         last = 0
         for m in END.finditer(article):
-            before = re.search(r"([^\W_](?:[^\W_]|\.)*)$", article[last : m.start()])
-            if before and m[1][0] == "." and before[1].lower() in ABBREVIATIONS:
-                continue
+            if m[1][0] == ".":
+                at = m.start()
+                while at > last and (article[at - 1] == "." or article[at - 1].isalnum()):
+                    at -= 1
+                if article[at : m.start()].lstrip(".").lower() in ABBREVIATIONS:
+                    continue
             out.append(article[last : m.end(1)])
             last = m.end()
         out.append(article[last:])

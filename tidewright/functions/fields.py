@@ -167,12 +167,12 @@ def strip(text: Column) -> Column:
 
 def any_of(text: Column, terms: tuple[str, ...]) -> Column:
     """Whether any of the terms stands in a text; false for NULL."""
-    return F.coalesce(reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms]), F.lit(False))
+    return F.coalesce(let(text, lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for t in terms])), F.lit(False))
 
 
 def label(text: Column, rules: Rules, default: str | None = None) -> Column:
     """The name of the first rule of which any term stands in the (lower-case) text."""
-    return reduce(lambda rest, r: F.when(any_of(text, r[1]), r[0]).otherwise(rest), reversed(rules), F.lit(default).cast("string"))
+    return let(text, lambda x: reduce(lambda rest, r: F.when(any_of(x, r[1]), r[0]).otherwise(rest), reversed(rules), F.lit(default).cast("string")))
 
 
 def by_language(turkish: Column, of, rules: dict) -> Column:

@@ -6,6 +6,7 @@ other dialects.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -91,17 +92,36 @@ def presence(text: Column, terms: tuple[str, ...]) -> Column:
 
 def occurrences(text: Column, terms: tuple[str, ...]) -> Column:
     """How often the terms stand in the (folded) text, counted without overlaps, longer terms first."""
-    pattern = "|".join(sorted({fold_term(t) for t in terms}, key=lambda t: (-len(t), t)))
-    return F.regexp_count(text, F.lit(f"(?:{pattern})"))
+    return F.regexp_count(text, F.lit(longest_of({fold_term(t) for t in terms})))
+
+
+def longest_of(terms: set[str]) -> str:
+    """A pattern of the longest of the terms that begins at a place: the alternatives as a tree, so that a place is left
+    at the first letter that no term has."""
+    if any(re.search(r"[^\w\s/-]", t) for t in terms):
+        return "(?:" + "|".join(sorted(terms, key=lambda t: (-len(t), t))) + ")"
+
+    def tree(tails: set[str]) -> str:
+        firsts = sorted({t[0] for t in tails if t})
+        if not firsts:
+            return ""
+        each = [c + tree({t[1:] for t in tails if t[:1] == c}) for c in firsts]
+        return each[0] if len(each) == 1 and "" not in tails else "(?:" + "|".join(each) + ")" + "?" * ("" in tails)
+
+    return f"(?=[{begins(terms)}]){tree(terms)}"
+
+
+def begins(terms: set[str]) -> str:
+    """The first letters of terms, for a class of characters."""
+    return "".join(sorted({"\\" + t[0] if t[0] in "/-" else t[0] for t in terms}))
 
 
 def document_class(text: Column) -> Column:
     """legal or scientific, Turkish or English, from the first 5000 characters; "unknown" for NULL or empty text."""
     head = F.substring(text, 1, HEAD)
     turkish = F.regexp_count(head, F.lit(f"[{TURKISH_LETTERS}]")) > F.length(head) * TURKISH_SHARE
-    low = folded(head)
-    kind = lambda lang: F.when(presence(low, LEGAL[lang]) >= presence(low, SCIENTIFIC[lang]), F.lit(f"legal_{lang}")).otherwise(F.lit(f"scientific_{lang}"))
-    return F.when(text.isNull() | (text == ""), "unknown").when(turkish, kind("turkish")).otherwise(kind("english"))
+    kind = lambda low, lang: F.when(presence(low, LEGAL[lang]) >= presence(low, SCIENTIFIC[lang]), F.lit(f"legal_{lang}")).otherwise(F.lit(f"scientific_{lang}"))
+    return F.when(text.isNull() | (text == ""), "unknown").otherwise(let(folded(head), lambda low: F.when(turkish, kind(low, "turkish")).otherwise(kind(low, "english"))))
 
 
 def without_references(text: Column) -> Column:
@@ -160,8 +180,8 @@ def is_citation(text: Column) -> Column:
 
 def building_terms(low: Column) -> Column:
     """How often building terms stand in the (folded) text."""
-    words = "|".join(dict.fromkeys(fold_term(t) for t in BUILDING_WORDS))
-    return occurrences(low, BUILDING) + F.regexp_count(low, F.lit(rf"(?U)\b(?:{words})\b"))
+    terms = dict.fromkeys(fold_term(t) for t in BUILDING_WORDS)
+    return occurrences(low, BUILDING) + F.regexp_count(low, F.lit(rf"(?U)(?=[{begins(set(terms))}])\b(?:{'|'.join(terms)})\b"))
 
 
 def marine_relevance(text: Column) -> Column:
@@ -222,13 +242,15 @@ def point_kind(term: str) -> str:
 def reference_point(text: Column) -> Column:
     """struct(term, kind): the word of the first listed term of the text's language that a word starts with, or NULLs."""
 
-    def of(language: str) -> Column:
+    def of(low: Column, language: str) -> Column:
         none = F.struct(F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("kind"))
         word = lambda t: F.regexp_extract(text, rf"(?iuU)\b({t}\w*)\b", 1)
-        one = lambda rest, t: F.when(word(t) != "", F.struct(word(t).alias("term"), F.lit(point_kind(t)).alias("kind"))).otherwise(rest)
+        # Only terms that the text holds at all are looked for as the beginning of a word.
+        one = lambda rest, t: F.when(F.contains(low, F.lit(fold_term(t))) & (word(t) != ""), F.struct(word(t).alias("term"), F.lit(point_kind(t)).alias("kind"))).otherwise(rest)
         return reduce(one, reversed(REFERENCE_POINTS[language]), none)
 
-    return F.when(is_turkish(text), of("turkish")).otherwise(of("english"))
+    # As the pattern compares letters without case: long s and the Kelvin sign too.
+    return let(F.lower(F.translate(text, "İIıſ\u212a", "iiisk")), lambda low: F.when(is_turkish(text), of(low, "turkish")).otherwise(of(low, "english")))
 
 
 #: Broken letters and words of scans, and what they stand for, in order. Fixed values.

@@ -38,7 +38,7 @@ class Match:
 
     def __init__(self):
         self.text, self.sentence, self.context, self.broad = F.col("exact_text"), F.col("sentence"), F.col("context"), F.col("broad")
-        self.low, self.turkish, self.relevance = V.lower("context"), F.col("turkish"), F.col("marine_relevance")
+        self.low, self.turkish, self.relevance = F.col("low"), F.col("turkish"), F.col("marine_relevance")
 
     def __getitem__(self, group: str) -> Column:
         return F.nullif(F.trim(F.col("groups")[group]), F.lit(""))
@@ -269,16 +269,16 @@ def surroundings(text: str, start: int, end: int) -> tuple[str, str, str]:
 
 def scan(text: str, language: str, categories: tuple[str, ...]) -> Iterator[tuple]:
     """The rows of ``FOUND`` of one text; matches that start in a list of references are left out."""
-    forms: dict[bool, tuple[str, list[tuple[int, int]]]] = {}
+    forms: dict[bool, tuple[patterns.Held, list[tuple[int, int]]]] = {}
     for c in categories:
         numbers = patterns.LISTS[c].numbers
         if numbers not in forms:
             form = numbers_in_digits(text) if numbers else text
-            forms[numbers] = form, bibliography(form)
-        form, ranges = forms[numbers]
-        for i, m in patterns.LISTS[c].matches(form, language):
+            forms[numbers] = patterns.Held(form), bibliography(form)
+        held, ranges = forms[numbers]
+        for i, m in patterns.LISTS[c].matches(held, language):
             if not any(s <= m.start() < e for s, e in ranges):
-                yield c, i, m.start(), m[0], {k: v for k, v in m.groupdict().items() if v is not None}, *surroundings(form, m.start(), m.end())
+                yield c, i, m.start(), m[0], {k: v for k, v in m.groupdict().items() if v is not None}, *surroundings(held.text, m.start(), m.end())
 
 
 def scanned(documents: DataFrame, categories: tuple[str, ...], id_col: str, text_col: str, routed: bool, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -304,20 +304,26 @@ def _each(categories: tuple[str, ...], of: Callable[[ExtractorSpec], Column], ot
     return reduce(lambda rest, c: F.when(F.col("category") == c, of(SPECS[c])).otherwise(rest), categories, otherwise)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row: no filter on it is pushed below, where it would be computed
+    as often as the filter names it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def passed(matches: DataFrame, categories: tuple[str, ...]) -> DataFrame:
-    """The matches that pass the common filters, with ``marine_relevance`` of their (cleaned) sentence."""
+    """The matches that pass the common filters, with ``marine_relevance`` of their (cleaned) sentence, ``low`` context and ``activity``."""
     yes = lambda flag: F.col("category").isin(*[c for c in categories if getattr(SPECS[c], flag)] or [""])
     text = F.col("exact_text")
     sound = ~T.is_garbled(text) & ~T.is_citation(text) & (T.coherence(text) >= COHERENT)
     rows = matches.where(sound)
     rows = rows.where(F.when(F.col("category") == "species", V.species_valid(text, F.lit(None).cast("string"))).when(F.col("category") == "policy", ~V.is_journal(text)).otherwise(True))
-    rows = rows.withColumn("__clean", F.when(yes("clean"), T.without_references(F.col("sentence"))).otherwise(F.col("sentence")))
+    rows = once(rows, "__clean", F.when(yes("clean"), T.without_references(F.col("sentence"))).otherwise(F.col("sentence")))
     rows = rows.where(~yes("drop") | F.contains("__clean", F.trim(F.regexp_replace(text, r"\s+", " "))))
     rows = rows.where(~yes("false_positives") | T.false_positive(F.col("__clean"), text).isNull())
-    rows = rows.withColumn("marine_relevance", T.marine_relevance(F.col("__clean")))
+    rows = once(rows, "marine_relevance", T.marine_relevance(F.col("__clean")))
     least = _each(categories, lambda s: F.when(F.col("legal"), s.least[0]).otherwise(s.least[1]), F.lit(0.0))
     rows = rows.where(F.col("marine_relevance") >= least).drop("__clean")
-    return rows.withColumn("activity", F.when(F.col("category").isin(*ACTIVE), T.activity(F.col("context"))))
+    return rows.withColumn("low", V.lower("context")).withColumn("activity", F.when(F.col("category").isin(*ACTIVE), T.activity(F.col("context"))))
 
 
 RECORD = "array<struct<fields:map<string,string>,confidence:double,record_hash:string>>"
